@@ -56,8 +56,12 @@ def parsed_date(text: Column, fmt: str) -> Column:
 
 
 def local_date(text: Column) -> Column:
-    """Date of a timestamp text such as 2020-03-01T00:00:00-05:00, whatever the session zone."""
-    return F.try_to_date(F.substring(text.cast("string"), 1, 10), "yyyy-MM-dd")
+    """Date of a timestamp text such as 2020-03-01T00:00:00-05:00, whatever the session zone.
+
+    A cast reads year-month-day text without a formatter; shorter text is not taken for a date.
+    """
+    day = F.substring(text.cast("string"), 1, 10)
+    return F.when(F.length(day) == 10, day.try_cast("date"))
 
 
 def density(population: Column, area: Column) -> Column:

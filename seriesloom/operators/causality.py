@@ -210,22 +210,16 @@ def _lag_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], m: int,
         lagged = lagged.unionByName(
             over_long(scored, n_rows, keys, order, build, m, 2 * m, max_rows))
 
-    core = ~F.col("__early") & ~F.col("__late")
-    lagged = lagged.withColumns({"cx": F.when(core, F.col("zx")), "cy": F.when(core, F.col("zy"))})
-
-    def at(c: str, d: int) -> Column:
-        return F.col(f"{c}{d}" if d else c)
-
-    sums = [F.coalesce(F.sum("cy"), F.lit(0.0)), F.coalesce(F.sum("cx"), F.lit(0.0))]
+    lagged = lagged.withColumns({
+        f"c{c}": F.expr(f"CASE WHEN NOT __early AND NOT __late THEN z{c} END") for c in ("x", "y")})
+    sums = ["cy", "cx"]
     for d in range(m + 1):
-        for now, then in (("cy", "zy"), ("cx", "zx"), ("cy", "zx"), ("cx", "zy")):
-            sums.append(F.coalesce(F.sum(F.col(now) * at(then, d)), F.lit(0.0)))
-    names = [f"__s{i}" for i in range(len(sums))]
+        zx, zy = (f"zx{d}", f"zy{d}") if d else ("zx", "zy")
+        sums += [f"cy * {zy}", f"cx * {zx}", f"cy * {zx}", f"cx * {zy}"]
     inner = lagged.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        (F.max("zx").isNotNull() & F.max("zy").isNotNull()).alias("__varies"),
-        *[s.alias(name) for s, name in zip(sums, names)])
-    inner = inner.select(*keys, "__n", "__varies", F.array(*names).alias("__sums"))
+        F.expr("count(1) AS __n"),
+        F.expr("max(zx) IS NOT NULL AND max(zy) IS NOT NULL AS __varies"),
+        F.expr("array(" + ", ".join(f"coalesce(sum({s}), 0D)" for s in sums) + ") AS __sums"))
     # At most 3 m rows of a series carry one of the flags.
     ends = (lagged.where(F.col("__early") | F.col("__end")).groupBy(*keys)
             .agg(F.array_sort(F.collect_list(F.struct(*order, "zx", "zy"))).alias("__ends")))

@@ -1,9 +1,9 @@
 """Joins that enrich facts with dimensions.
 
-No side is broadcast by hint: Spark compares measured sizes with
-``spark.sql.autoBroadcastJoinThreshold`` when planning and again at run time, and
-otherwise shuffles and splits skewed partitions. Dimensions are joined to each other
-before they meet the fact table, so that the large side is joined once per role.
+Dimensions are joined to each other before they meet the fact table, so that the large side
+is joined once per role. Spark cannot tell the size of such a joined dimension beforehand and
+would shuffle the fact table; so it is measured, and broadcast only if it is small. Otherwise
+Spark shuffles and, with adaptive execution, splits skewed partitions.
 """
 
 from __future__ import annotations
@@ -14,6 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Largest dimension that is broadcast, in bytes of its values written as JSON.
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def small_side(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcasting if its measured size allows it, else unchanged."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
+
+
 def join_shared(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on columns of the same name; the keys appear once."""
     return left.join(right, list(keys), "inner")
@@ -30,9 +40,10 @@ def join_named(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Data
 
 def enrich_role(fact: DataFrame, dimension: DataFrame, key: str, dimension_key: str, prefix: str) -> DataFrame:
     """Attach a dimension in one role: its columns arrive as ``<prefix>_<column>``."""
-    role = dimension.withColumnsRenamed(
-        {c: f"{prefix}_{c}" for c in dimension.columns if c != dimension_key})
-    return join_named(fact, role, {key: dimension_key})
+    role = dimension.select(
+        F.col(dimension_key).alias("__role_key"),
+        *[F.col(c).alias(f"{prefix}_{c}") for c in dimension.columns if c != dimension_key])
+    return fact.join(role, F.col(key) == F.col("__role_key"), "inner").drop("__role_key")
 
 
 def enrich_chain(fact: DataFrame, dimension: DataFrame, dimension_keys: Sequence[str],

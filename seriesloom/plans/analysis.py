@@ -22,8 +22,11 @@ def cases_with_mobility(cases: DataFrame, mobility: DataFrame) -> DataFrame:
 
 
 def normalized_panel(cases: DataFrame, mobility: DataFrame) -> DataFrame:
-    """Joined panel with growth and factors rescaled to 0..1000 over the whole table."""
-    return features.minmax_normalize(cases_with_mobility(cases, mobility), NORMALIZED)
+    """Joined panel with growth and factors rescaled to 0..1000 over the whole table.
+
+    The panel (one row per place and day) is stored, as the extremes and the result both read it.
+    """
+    return features.minmax_normalize(written_table(cases_with_mobility(cases, mobility)), NORMALIZED)
 
 
 def mobility_causality(cases: DataFrame, mobility: DataFrame, max_lag: int = MAX_LAG,

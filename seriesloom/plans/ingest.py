@@ -1,4 +1,7 @@
-"""From raw tables to the six analysis tables. Every function is lazy."""
+"""From raw tables to the six analysis tables.
+
+Lazy but for two measurements: the length of series and the size of the airport dimension.
+"""
 
 from __future__ import annotations
 
@@ -95,7 +98,7 @@ def social_distancing(mobility: DataFrame, area_dictionary: DataFrame, dense: Da
 def climate(raw: DataFrame, country: str = "US", avg_mode: str = "reference") -> DataFrame:
     """Daily weather per state of one country."""
     return raw.where(F.col("`Country/Region`") == country).select(
-        F.try_to_date(F.col("time").cast("string"), "yyyy-MM-dd").alias("Date"),
+        S.local_date(F.col("time")).alias("Date"),
         F.lower("`Province/State`").alias("State"), F.col("precipIntensity").alias("Precipitation"),
         "windSpeed", "temperatureHigh", "temperatureLow",
         S.avg_temp(F.col("temperatureHigh"), F.col("temperatureLow"), avg_mode).alias("Avg_Temp"))
@@ -104,15 +107,16 @@ def climate(raw: DataFrame, country: str = "US", avg_mode: str = "reference") ->
 def air_traffic(flights: DataFrame, airports: DataFrame, countries: DataFrame) -> DataFrame:
     """Flights with airport and country attributes of both ends.
 
-    Airports get their country once; the flights then meet that one dimension in two roles.
+    Airports get their country once; the flights then meet that one dimension in two roles,
+    destination first, so that a filter on the destination removes flights early.
     """
     legs = flights.select(
         "origin", "destination", S.local_date(F.col("day")).alias("date")).na.drop()
     named = countries.select(F.col("`alpha-2`").alias("iso_country"), F.lower("name").alias("country"))
     places = enrich.join_shared(airports.select("ident", *AIRPORT_NAMES), named, ["iso_country"])
-    places = places.withColumnsRenamed(AIRPORT_NAMES)
-    joined = enrich.enrich_role(legs, places, "origin", "ident", "origin")
-    joined = enrich.enrich_role(joined, places, "destination", "ident", "destination")
+    places = enrich.small_side(places.withColumnsRenamed(AIRPORT_NAMES))
+    joined = enrich.enrich_role(legs, places, "destination", "ident", "destination")
+    joined = enrich.enrich_role(joined, places, "origin", "ident", "origin")
     return joined.select(
         "destination_iso_country", "origin_iso_country", "origin", "destination", "date",
         *[f"{role}_{c}" for role in ("origin", "destination") for c in ROLE_COLUMNS])

@@ -12,6 +12,7 @@ from seriesloom.functions import scalar as S
 from seriesloom.functions.fdist import f_tail
 from seriesloom.operators import causality, enrich, features, quality, series
 from seriesloom.plans import analysis
+from seriesloom.storage import written_table
 from workload import tables as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -269,7 +270,8 @@ def granger_panel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def climate_panel(spark: SparkSession, sf: str) -> DataFrame:
-    return analysis.cases_with_climate(W.us_cases(spark, sf), W.climate(spark, sf))
+    """Stored once: the tests read it several times."""
+    return written_table(analysis.cases_with_climate(W.us_cases(spark, sf), W.climate(spark, sf)))
 
 
 def granger_pooled(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesloom.plans import ingest
 
 
+@lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet table; its footer is read once per session."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -64,8 +68,21 @@ def block_code(state_no: str, nation: str, supplier: str) -> Column:
             + F.col(supplier) % 10_000_000)
 
 
+def placed(df: DataFrame, spark: SparkSession, sf: str, nation_key: str) -> DataFrame:
+    """Attach nation and region one after the other, each small by its file size."""
+    return (df.join(table(spark, sf, "nation"), F.col(nation_key) == F.col("n_nationkey"))
+            .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            .withColumn("state_no", F.col("n_regionkey") + 1))
+
+
 def suppliers(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "supplier").join(nations(spark, sf), F.col("s_nationkey") == F.col("n_nationkey"))
+    return placed(table(spark, sf, "supplier"), spark, sf, "s_nationkey")
+
+
+def supplied_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items with supplier, nation and region."""
+    items = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return placed(items, spark, sf, "s_nationkey")
 
 
 def mobility_raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,9 +92,9 @@ def mobility_raw(spark: SparkSession, sf: str) -> DataFrame:
     def flagged(flag: str) -> Column:
         return F.when(F.col("l_returnflag") == flag, quantity).otherwise(0)
 
-    return (table(spark, sf, "lineitem").join(suppliers(spark, sf), F.col("l_suppkey") == F.col("s_suppkey"))
+    return (supplied_items(spark, sf)
             .select(block_code("state_no", "n_nationkey", "s_suppkey").alias("origin_census_block_group"),
-                    F.concat(F.date_format(month("l_shipdate"), "yyyy-MM-dd"),
+                    F.concat(month("l_shipdate").cast("string"),
                              F.lit("T00:00:00-05:00")).alias("date_range_start"),
                     quantity.alias("device_count"),
                     flagged("R").alias("completely_home_device_count"),
@@ -129,7 +146,7 @@ def climate_raw(spark: SparkSession, sf: str) -> DataFrame:
     def hundredths(column: str) -> Column:
         return F.sum(F.round(F.col(column) * 100).cast("long")) / rows
 
-    return (table(spark, sf, "lineitem").join(suppliers(spark, sf), F.col("l_suppkey") == F.col("s_suppkey"))
+    return (supplied_items(spark, sf)
             .groupBy(month("l_shipdate").alias("time"), F.col("r_name").alias("Province/State"),
                      F.when(F.col("l_linestatus") == "F", "US").otherwise("XX").alias("Country/Region"))
             .agg(hundredths("l_tax").alias("precipIntensity"), hundredths("l_discount").alias("windSpeed"),
@@ -149,7 +166,7 @@ def flights_raw(spark: SparkSession, sf: str) -> DataFrame:
             .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
             .select(F.concat(F.lit("A"), "s_nationkey").alias("origin"),
                     F.concat(F.lit("A"), "c_nationkey").alias("destination"),
-                    F.date_format(month("l_shipdate"), "yyyy-MM-dd").alias("day")))
+                    month("l_shipdate").cast("string").alias("day")))
 
 
 def iso_country(region: str) -> Column:
