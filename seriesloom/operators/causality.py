@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.functions.fdist import f_upper_tail
-from seriesloom.operators.series import MAX_SERIES_ROWS, over_long, over_short, separate_long, total_order
+from seriesloom.operators.series import (
+    MAX_SERIES_ROWS, over_long, over_short, renamed_keys, same_keys, separate_long, total_order)
 
 # Fixed value: largest lag tested by default.
 MAX_LAG = 14
@@ -31,138 +32,132 @@ MAX_LAG = 14
 JITTER_UNIT, JITTER_STEPS = 1e-8, 100
 # A regressor explained by the earlier ones up to this share of its variance is collinear.
 COLLINEAR = 1e-10
-_SOLVE_ROWS = 256
+_SOLVE_ROWS = 512
 
 DOF_MODES = ("reference", "standard")
 
-_RESULT = T.ArrayType(T.StructType([
-    T.StructField("lag", T.IntegerType()),
-    T.StructField("n", T.LongType()),
-    T.StructField("f", T.DoubleType()),
-    T.StructField("p", T.DoubleType()),
-]))
 
+def _end_products(first: np.ndarray, last: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Products value(r) * value(r - d) of the first m and of the last m rows.
 
-def _edge_products(ends_x: np.ndarray, ends_y: np.ndarray, n: np.ndarray, m: int):
-    """Positions, validity and lag products of the first m and last m rows of each series.
+    ``first`` holds (y, x) of the first m rows, ``last`` of the last 2m. Each result has, per row,
+    y and x followed by yy, xx, yx and xy for d = 0..m, the later value named first.
+    """
+    rows, back = np.arange(m)[:, None], np.arange(m + 1)
+
+    def products(padded: np.ndarray) -> np.ndarray:
+        lagged = padded[:, :, m + rows - back]
+        y, x = lagged[:, 0], lagged[:, 1]
+        pairs = np.stack([y[..., :1] * y, x[..., :1] * x, y[..., :1] * x, x[..., :1] * y], axis=-1)
+        return np.concatenate([y[..., :1], x[..., :1], pairs.reshape(*pairs.shape[:2], -1)], axis=-1)
+
+    return products(np.concatenate([np.zeros_like(first), first], axis=2)), products(last)
 
-    ``ends`` hold the first m and the last 2m values (or all, if fewer than 3m), padded to a
-    common width with the first rows left-aligned and the last rows right-aligned.
+
+def _grams(lags: Sequence[int], n: np.ndarray, core: np.ndarray, head: np.ndarray, tail: np.ndarray,
+           m: int) -> dict[int, np.ndarray]:
+    """Lower triangles of the cross products of (1, y lags, x lags, y) after the first lag rows.
+
+    A product of lags i <= j runs over the rows from lag + 1 - i to n - i: all core rows, the
+    head rows from that start on, and the tail rows up to that end.
     """
-    rows = np.arange(m)
-    back = np.arange(m + 1)
-
-    def lagged(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        padded = np.concatenate([np.zeros_like(first), first], axis=1)
-        head = padded[:, m + rows[:, None] - back]
-        tail = last[:, m + rows[:, None] - back]
-        return np.concatenate([head, tail], axis=1)
-
-    xs, ys = lagged(*ends_x), lagged(*ends_y)
-    position = np.concatenate([np.broadcast_to(rows + 1, (len(n), m)), n[:, None] - m + 1 + rows], axis=1)
-    valid = np.concatenate([position[:, :m] <= n[:, None], position[:, m:] > m], axis=1)
-    x0, y0 = xs[:, :, :1], ys[:, :, :1]
-    products = np.stack([y0 * ys, x0 * xs, y0 * xs, x0 * ys], axis=-1)
-    return position, valid, y0[:, :, 0], x0[:, :, 0], products
-
-
-def _gram(lag: int, n: np.ndarray, core: np.ndarray, core_sums: np.ndarray, edges) -> np.ndarray:
-    """Cross products of (1, y lags, x lags, y) over the rows after the first ``lag``."""
-    position, valid, y0, x0, products = edges
-    size = 2 * lag + 2
-    g = np.zeros((len(n), size, size))
-    # column of y at lag i and of x at lag i
-    y_at = np.array([size - 1, *range(1, lag + 1)])
-    x_at = np.array([-1, *range(lag + 1, 2 * lag + 1)])
-    g[:, 0, 0] = n - lag
-    for i in range(lag + 1):
-        used = (valid & (position >= lag + 1 - i) & (position <= n[:, None] - i)).astype(float)
-        sums = core + np.einsum("be,bedp->bdp", used, products)
-        reach = lag - i + 1
-        later = np.arange(i, lag + 1)
-        g[:, 0, y_at[i]] = core_sums[:, 0] + (used * y0).sum(axis=1)
-        g[:, y_at[i], y_at[later]] = sums[:, :reach, 0]
-        if i > 0:
-            g[:, 0, x_at[i]] = core_sums[:, 1] + (used * x0).sum(axis=1)
-            g[:, x_at[i], x_at[later]] = sums[:, :reach, 1]
-            g[:, x_at[i], y_at[later]] = sums[:, :reach, 3]
-            g[:, y_at[i], x_at[later]] = sums[:, :reach, 2]
-        else:
-            g[:, y_at[0], x_at[1:]] = sums[:, 1:reach, 2]
-    # each pair was written on one side of the diagonal at least
-    return np.where(g == 0, np.swapaxes(g, 1, 2), g)
+    row = np.arange(1, m + 1)
+    tail_row = n[:, None] - m + row
+    grams = {lag: np.zeros((len(n), 2 * lag + 2, 2 * lag + 2)) for lag in lags}
+    for lag, g in grams.items():
+        g[:, 0, 0] = n - lag
+    for i in range(max(lags) + 1):
+        late = (tail_row > m) & (tail_row <= n[:, None] - i)
+        ended = core + np.einsum("br,brk->bk", late.astype(float), tail)
+        from_row = (head * (row <= n[:, None] - i)[:, :, None])[:, ::-1].cumsum(axis=1)[:, ::-1]
+        for lag in lags:
+            if lag < i:
+                continue
+            start = lag - i
+            sums = ended + from_row[:, start] if start < m else ended
+            pairs = sums[:, 2:].reshape(len(n), m + 1, 4)[:, :lag - i + 1]
+            yy, xx, yx, xy = (pairs[:, :, k] for k in range(4))
+            g, x_at = grams[lag], lag + i
+            if i == 0:
+                g[:, -1, 0] = sums[:, 0]
+                g[:, -1, 1:lag + 1] = yy[:, 1:]
+                g[:, -1, lag + 1:-1] = yx[:, 1:]
+                g[:, -1, -1] = yy[:, 0]
+            else:
+                g[:, i, 0] = sums[:, 0]
+                g[:, x_at, 0] = sums[:, 1]
+                g[:, i:lag + 1, i] = yy
+                g[:, x_at:-1, x_at] = xx
+                g[:, x_at:-1, i] = yx
+                g[:, x_at, i:lag + 1] = xy
+    return grams
+
+
+def _cholesky(g: np.ndarray) -> np.ndarray:
+    """Lower factors; NaN for matrices that have none."""
+    try:
+        return np.linalg.cholesky(g)
+    except np.linalg.LinAlgError:
+        out = np.full_like(g, np.nan)
+        for i, one in enumerate(g):
+            try:
+                out[i] = np.linalg.cholesky(one)
+            except np.linalg.LinAlgError:
+                pass
+        return out
 
 
 def _residuals(g: np.ndarray, lag: int) -> tuple[np.ndarray, np.ndarray]:
     """(drop in residual sum by the x lags, full residual sum); NaN if not determined."""
-    size = g.shape[1]
     scale = np.einsum("bii->bi", g).copy()
-    work = g.copy()
-    ok = np.isfinite(work).all(axis=(1, 2))
-    work[~ok] = np.eye(size)
-    drop = np.zeros(len(g))
-    for k in range(size - 1):
-        pivot = work[:, k, k].copy()
-        sound = pivot > COLLINEAR * scale[:, k]
-        ok &= sound
-        pivot[~sound] = 1.0
-        row = work[:, k, k:].copy()
-        if k > lag:
-            drop += row[:, -1] ** 2 / pivot
-        if k == lag:
-            restricted = work[:, -1, -1] - row[:, -1] ** 2 / pivot
-            ok &= restricted > COLLINEAR * scale[:, -1]
-        work[:, k:, k:] -= row[:, :, None] * (row / pivot[:, None])[:, None, :]
-    full = np.maximum(work[:, -1, -1], np.finfo(float).eps * np.abs(scale[:, -1]))
-    drop[~ok] = np.nan
-    return drop, full
-
-
-def _ends_matrix(values: Sequence[np.ndarray], m: int) -> tuple[np.ndarray, np.ndarray]:
-    first, last = np.zeros((len(values), m)), np.zeros((len(values), 2 * m))
-    for i, v in enumerate(values):
-        head, tail = v[:m], v[-2 * m:]
-        first[i, :len(head)] = head
-        last[i, 2 * m - len(tail):] = tail
-    return first, last
+    total = scale[:, -1]
+    # doubling the last entry keeps the matrix definite even if y is fitted exactly
+    g[:, -1, -1] *= 2
+    factor = _cholesky(g)
+    pivots = np.einsum("bii->bi", factor)[:, :-1] ** 2
+    explained = factor[:, -1, :-1] ** 2
+    drop = explained[:, lag + 1:].sum(axis=1)
+    restricted = total - explained[:, :lag + 1].sum(axis=1)
+    full = np.maximum(restricted - drop, np.finfo(float).eps * total)
+    sound = (pivots > COLLINEAR * scale[:, :-1]).all(axis=1) & (restricted > COLLINEAR * total)
+    return np.where(sound, drop, np.nan), full
+
+
+def _tests(lags: Sequence[int], n: np.ndarray, core: np.ndarray, first: np.ndarray, last: np.ndarray,
+           m: int, dof_mode: str) -> np.ndarray:
+    """f of every lag, then p of every lag, per series; NaN where there is none."""
+    head, tail = _end_products(first, last, m)
+    rows, lag = n[:, None], np.array(lags)
+    drop, full = np.full((len(n), len(lags)), np.nan), np.ones((len(n), len(lags)))
+    for i, (k, g) in enumerate(_grams(lags, n, core, head, tail, m).items()):
+        enough = n >= 3 * k + 2
+        if enough.any():
+            drop[enough, i], full[enough, i] = _residuals(g[enough], k)
+    spare = np.maximum(rows - 3 * lag - 1, 1)
+    f = (drop / lag) / (full / (spare + (1 if dof_mode == "reference" else 0)))
+    return np.concatenate([f, f_upper_tail(f, lag, spare)], axis=1)
 
 
 def _solver(lags: Sequence[int], m: int, dof_mode: str):
-    """Pandas UDF: (n, sums, ends of x, ends of y) to one result per lag."""
+    """Pandas UDF: (n, means and deviations with sums, values at the ends) to f and p per lag."""
 
-    def solve(n: np.ndarray, sums: np.ndarray, ends_x, ends_y) -> list[tuple[np.ndarray, np.ndarray]]:
-        core = sums[:, 2:].reshape(len(n), m + 1, 4)
-        edges = _edge_products(_ends_matrix(ends_x, m), _ends_matrix(ends_y, m), n, m)
-        found = []
-        for lag in lags:
-            feasible = n >= 3 * lag + 2
-            f = np.full(len(n), np.nan)
-            p = np.full(len(n), np.nan)
-            if feasible.any():
-                g = _gram(lag, n, core, sums[:, :2], edges)
-                drop, full = _residuals(g, lag)
-                used = n - lag
-                dof = used - 2 * lag - (0 if dof_mode == "reference" else 1)
-                with np.errstate(all="ignore"):
-                    f = np.where(feasible, (drop / lag) / (full / dof), np.nan)
-                p = f_upper_tail(f, lag, np.where(feasible, used - 2 * lag - 1, 1))
-            found.append((f, p))
-        return found
-
-    @F.pandas_udf(_RESULT)
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def solved(n: pd.Series, sums: pd.Series, ends_x: pd.Series, ends_y: pd.Series) -> pd.Series:
         out = []
         for start in range(0, len(n), _SOLVE_ROWS):
             part = slice(start, start + _SOLVE_ROWS)
-            count = n.iloc[part].to_numpy(np.int64)
-            table = np.array([np.asarray(v, dtype=float) for v in sums.iloc[part]])
-            found = solve(count, table, ends_x.iloc[part].tolist(), ends_y.iloc[part].tolist())
-            for i, size in enumerate(count):
-                out.append([
-                    {"lag": lag, "n": max(int(size) - lag, 0),
-                     "f": None if np.isnan(f[i]) else float(f[i]),
-                     "p": None if np.isnan(p[i]) else float(p[i])}
-                    for lag, (f, p) in zip(lags, found)])
+            size = n.iloc[part].to_numpy(np.int64)
+            table = np.stack(sums.iloc[part].to_numpy()).astype(float)
+            first, last = np.zeros((len(size), 2, m)), np.zeros((len(size), 2, 2 * m))
+            for i, pair in enumerate(zip(ends_y.iloc[part], ends_x.iloc[part])):
+                values = (np.array(pair) - table[i, [[2], [0]]]) / table[i, [[3], [1]]]
+                first[i, :, :min(m, values.shape[1])] = values[:, :m]
+                last[i, :, max(0, 2 * m - values.shape[1]):] = values[:, -2 * m:]
+            varies = np.isfinite(table[:, :4]).all(axis=1)
+            found = np.full((len(size), 2 * len(lags)), np.nan)
+            if varies.any():
+                found[varies] = _tests(lags, size[varies], table[varies, 4:], first[varies], last[varies], m, dof_mode)
+            out.extend(found)
         return pd.Series(out)
 
     return solved
@@ -175,40 +170,34 @@ def _jittered(value: Column, seed: int, salt: str, keys: Sequence[str], order: S
 
 def _lag_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], m: int,
               max_rows: int | None) -> DataFrame:
-    """One row per series: row count, sums of products, and values at both ends."""
+    """One row per series: row count, moments with sums of products, and values at both ends."""
     order = total_order(df, keys, order)
-    short, long, n_rows = separate_long(df, keys, max_rows)
-
-    def standard(value: str, mean: Column, sd: Column) -> Column:
-        return F.try_divide(F.col(value) - mean, sd)
+    parts = separate_long(df, keys, max_rows)
 
     def build(w: WindowSpec) -> dict[str, Column]:
-        lags = {f"{c}{d}": F.lag(c, d).over(w) for c in ("zx", "zy") for d in range(1, m + 1)}
+        lags = {f"z{c}{d}": F.lag(f"z{c}", d).over(w) for c in ("x", "y") for d in range(1, m + 1)}
         return {**lags,
                 "__early": F.lag(F.lit(1), m).over(w).isNull(),
                 "__late": F.lead(F.lit(1), m).over(w).isNull(),
                 "__end": F.lead(F.lit(1), 2 * m).over(w).isNull()}
 
     # F and p do not change when x or y is shifted or scaled; standard scores keep the sums exact.
+    scores = {f"z{c}": F.expr(f"({c} - __mean_{c}) / __sd_{c}") for c in ("x", "y")}
+
+    def moments(aggregate) -> dict[str, Column]:
+        return {f"__{name}_{c}": F.nullif(aggregate(agg(c)), F.lit(0.0)) if name == "sd" else aggregate(agg(c))
+                for c in ("x", "y") for name, agg in (("mean", F.avg), ("sd", F.stddev_samp))}
+
     whole = (Window.partitionBy(*keys).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    scores = {f"z{c}": standard(c, F.avg(c).over(whole), F.stddev_samp(c).over(whole)) for c in ("x", "y")}
-    lagged = over_short(short.withColumns(scores), keys, order, build)
-    if long is not None:
-        stats = long.groupBy(*keys).agg(*[
-            agg(c).alias(f"__{name}_{c}") for c in ("x", "y")
-            for name, agg in (("mean", F.avg), ("sd", F.stddev_samp))])
-        named = stats.select(*[F.col(k).alias(f"__k_{k}") for k in keys],
-                             *[c for c in stats.columns if c not in keys])
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-        # Long series number fewer than rows / max_rows; Spark sizes this join at run time.
-        scored = long.join(named, same).withColumns(
-            {f"z{c}": standard(c, F.col(f"__mean_{c}"), F.col(f"__sd_{c}")) for c in ("x", "y")})
-        scored = scored.select(*long.columns, "zx", "zy")
+    scored = parts.short.withColumns(moments(lambda a: a.over(whole))).withColumns(scores)
+    lagged = over_short(scored, keys, order, build)
+    if parts.long is not None:
+        stats = parts.long.groupBy(*keys).agg(*[c.alias(name) for name, c in moments(lambda a: a).items()])
+        scored = parts.long.join(parts.sized(renamed_keys(stats, keys, "__k_")), same_keys(keys, "__k_"))
+        scored = scored.withColumns(scores).drop(*[f"__k_{k}" for k in keys])
         lagged = lagged.unionByName(
-            over_long(scored, n_rows, keys, order, build, m, 2 * m, max_rows))
+            over_long(scored, parts.long_rows, keys, order, build, m, 2 * m, max_rows))
 
     lagged = lagged.withColumns({
         f"c{c}": F.expr(f"CASE WHEN NOT __early AND NOT __late THEN z{c} END") for c in ("x", "y")})
@@ -216,19 +205,16 @@ def _lag_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], m: int,
     for d in range(m + 1):
         zx, zy = (f"zx{d}", f"zy{d}") if d else ("zx", "zy")
         sums += [f"cy * {zy}", f"cx * {zx}", f"cy * {zx}", f"cx * {zy}"]
+    numbers = [f"coalesce(max(__{name}_{c}), double('NaN'))" for c in ("x", "y") for name in ("mean", "sd")]
+    numbers += [f"coalesce(sum({s}), 0D)" for s in sums]
     inner = lagged.groupBy(*keys).agg(
-        F.expr("count(1) AS __n"),
-        F.expr("max(zx) IS NOT NULL AND max(zy) IS NOT NULL AS __varies"),
-        F.expr("array(" + ", ".join(f"coalesce(sum({s}), 0D)" for s in sums) + ") AS __sums"))
+        F.expr("count(1) AS __n"), F.expr(f"array({', '.join(numbers)}) AS __sums"))
     # At most 3 m rows of a series carry one of the flags.
     ends = (lagged.where(F.col("__early") | F.col("__end")).groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct(*order, "zx", "zy"))).alias("__ends")))
-    named = ends.select(*[F.col(k).alias(f"__e_{k}") for k in keys],
-                        F.col("__ends.zx").alias("__ends_x"), F.col("__ends.zy").alias("__ends_y"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__e_{k}"))
-    return inner.join(named, same).select(*keys, "__n", "__varies", "__sums", "__ends_x", "__ends_y")
+            .agg(F.array_sort(F.collect_list(F.struct(*order))).alias("__ends")))
+    ends = ends.select(*keys, F.col("__ends.x").alias("__ends_x"), F.col("__ends.y").alias("__ends_y"))
+    both = inner.join(renamed_keys(ends, keys, "__e_"), same_keys(keys, "__e_"))
+    return both.select(*keys, "__n", "__sums", "__ends_x", "__ends_y")
 
 
 def _driver_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Sequence[str],
@@ -265,13 +251,15 @@ def granger_all_lags(df: DataFrame, keys: Sequence[str], order: Sequence[str], x
         rows = rows.withColumns({c: _jittered(F.col(c), jitter_seed, c, by, order) for c in ("x", "y")})
     m = lags[-1]
     sums = _lag_sums(rows, by, order, m, max_rows)
-    solved = _solver(lags, m, dof_mode)
-    results = solved("__n", "__sums", "__ends_x", "__ends_y")
-    untested = F.transform("__results", lambda r: F.struct(
-        r["lag"].alias("lag"), r["n"].alias("n"),
-        F.lit(None).cast("double").alias("f"), F.lit(None).cast("double").alias("p")))
-    return (sums.select(*by, "__varies", results.alias("__results"))
-            .select(*by, F.when(F.col("__varies"), F.col("__results")).otherwise(untested).alias("results")))
+    stat = _solver(lags, m, dof_mode)("__n", "__sums", "__ends_x", "__ends_y")
+
+    def number(at: Column) -> Column:
+        return F.nullif(F.get("__stat", at), F.lit(float("nan")))
+
+    results = F.transform(F.array(*[F.lit(lag) for lag in lags]), lambda lag, i: F.struct(
+        lag.alias("lag"), F.greatest(F.col("__n") - lag, F.lit(0)).cast("long").alias("n"),
+        number(i).alias("f"), number(i + len(lags)).alias("p")))
+    return sums.select(*by, "__n", stat.alias("__stat")).select(*by, results.alias("results"))
 
 
 def granger_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, y: str, lag: int,

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -43,34 +44,50 @@ def total_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> lis
     return [*order, *rest]
 
 
-def _same_keys(keys: Sequence[str], prefix: str) -> Column:
+def same_keys(keys: Sequence[str], prefix: str) -> Column:
+    """Condition that each key equals its renamed copy, NULL being equal to NULL."""
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(f"`{k}`").eqNullSafe(F.col(f"`{prefix}{k}`"))
     return cond
 
 
-def separate_long(df: DataFrame, keys: Sequence[str], max_rows: int | None = MAX_SERIES_ROWS,
-                  ) -> tuple[DataFrame, DataFrame | None, int]:
+def renamed_keys(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
+    """``df`` with its key columns prefixed, ready to be joined by ``same_keys``."""
+    return df.withColumnsRenamed({k: f"{prefix}{k}" for k in keys})
+
+
+class Parts(NamedTuple):
+    """Rows of short series, rows of long series (or None), and the measured size of the latter."""
+
+    short: DataFrame
+    long: DataFrame | None = None
+    long_keys: int = 0
+    long_rows: int = 0
+
+    def sized(self, per_key: DataFrame) -> DataFrame:
+        """Mark a table of one row per long series for broadcasting if these are few."""
+        return F.broadcast(per_key) if self.long_keys <= MAX_BROADCAST_KEYS else per_key
+
+
+def separate_long(df: DataFrame, keys: Sequence[str], max_rows: int | None = MAX_SERIES_ROWS) -> Parts:
     """Split ``df`` into rows of short series and rows of series longer than ``max_rows``.
 
-    Returns ``(short, long or None, rows in long)``. The measuring job reads the key columns
-    only and combines counts before its shuffle. There are fewer than rows / max_rows long
-    keys; they are broadcast when their measured number is small, else joined by shuffle.
+    The measuring job reads the key columns only and combines counts before its shuffle. There
+    are fewer than rows / max_rows long keys; they are broadcast when their measured number is
+    small, else joined by shuffle.
     """
     if max_rows is None:
-        return df, None, 0
+        return Parts(df)
     long_keys = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
                  .where(F.col("__rows") > max_rows))
-    found = long_keys.agg(F.count(F.lit(1)), F.sum("__rows")).first()
-    n_keys, n_rows = found[0], found[1] or 0
+    n_keys, n_rows = long_keys.agg(F.count(F.lit(1)), F.sum("__rows")).first()
     if n_keys == 0:
-        return df, None, 0
-    marks = long_keys.select(*[F.col(f"`{k}`").alias(f"__long_{k}") for k in keys])
-    if n_keys <= MAX_BROADCAST_KEYS:
-        marks = F.broadcast(marks)
-    same = _same_keys(keys, "__long_")
-    return df.join(marks, same, "left_anti"), df.join(marks, same, "left_semi"), n_rows
+        return Parts(df)
+    parts = Parts(df, None, n_keys, n_rows)
+    marks = parts.sized(renamed_keys(long_keys.drop("__rows"), keys, "__long_"))
+    same = same_keys(keys, "__long_")
+    return parts._replace(short=df.join(marks, same, "left_anti"), long=df.join(marks, same, "left_semi"))
 
 
 def over_short(df: DataFrame, keys: Sequence[str], order: Sequence[str], build: Build,
@@ -97,16 +114,15 @@ def over_long(df: DataFrame, n_rows: int, keys: Sequence[str], order: Sequence[s
     rows = written_table(rows.repartitionByRange(n_blocks, *keys, *order)
                          .withColumn(_BLOCK, F.spark_partition_id()))
     if position:
-        # One row per (key, block): at most blocks + long keys rows.
+        # One row per (key, block): at most blocks + long keys rows, as blocks follow the key order.
         sizes = rows.groupBy(*keys, _BLOCK).agg(F.count(F.lit(1)).alias("__rows"))
-        earlier = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-        shifts = sizes.select(
-            *[F.col(f"`{k}`").alias(f"__s_{k}") for k in keys], F.col(_BLOCK).alias("__s_block"),
-            F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias(_SHIFT))
+        shifts = renamed_keys(sizes, [*keys, _BLOCK], "__s_").withColumn(
+            _SHIFT, F.coalesce(F.sum("__rows").over(
+                Window.partitionBy(*[f"__s_{k}" for k in keys]).orderBy(f"__s_{_BLOCK}")
+                .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__rows")
         if n_blocks + n_rows // max_rows <= MAX_BROADCAST_KEYS:
             shifts = F.broadcast(shifts)
-        rows = (rows.join(shifts, _same_keys(keys, "__s_") & (F.col(_BLOCK) == F.col("__s_block")))
-                .drop("__s_block", *[f"__s_{k}" for k in keys]))
+        rows = rows.join(shifts, same_keys([*keys, _BLOCK], "__s_")).drop(*[f"__s_{k}" for k in (*keys, _BLOCK)])
 
     reach = max(1, before + after)
     in_block = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
@@ -147,12 +163,12 @@ def over_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], build:
     ``position`` names an extra column with the 1-based row number in the series.
     """
     order = total_order(df, keys, order)
-    short, long, n_rows = separate_long(df, keys, max_rows)
-    out = over_short(short, keys, order, build, position)
-    if long is None:
+    parts = separate_long(df, keys, max_rows)
+    out = over_short(parts.short, keys, order, build, position)
+    if parts.long is None:
         return out
-    blocks = over_long(long, n_rows, keys, order, build, before, after, max_rows, position)
-    return out.unionByName(blocks)
+    return out.unionByName(
+        over_long(parts.long, parts.long_rows, keys, order, build, before, after, max_rows, position))
 
 
 def growth(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str = "growth",
