@@ -191,13 +191,18 @@ def _lag_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], m: int,
     whole = (Window.partitionBy(*keys).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     scored = parts.short.withColumns(moments(lambda a: a.over(whole))).withColumns(scores)
-    lagged = over_short(scored, keys, order, build)
+    lagged = edges = over_short(scored, keys, order, build)
+
+    def with_scores(long: DataFrame) -> DataFrame:
+        stats = long.groupBy(*keys).agg(*[c.alias(name) for name, c in moments(lambda a: a).items()])
+        joined = long.join(parts.sized(renamed_keys(stats, keys, "__k_")), same_keys(keys, "__k_"))
+        return joined.withColumns(scores).drop(*[f"__k_{k}" for k in keys])
+
     if parts.long is not None:
-        stats = parts.long.groupBy(*keys).agg(*[c.alias(name) for name, c in moments(lambda a: a).items()])
-        scored = parts.long.join(parts.sized(renamed_keys(stats, keys, "__k_")), same_keys(keys, "__k_"))
-        scored = scored.withColumns(scores).drop(*[f"__k_{k}" for k in keys])
-        lagged = lagged.unionByName(
-            over_long(scored, parts.long_rows, keys, order, build, m, 2 * m, max_rows))
+        inner, border = over_long(
+            parts.long, parts.long_rows, keys, order, build, m, 2 * m, max_rows, prepare=with_scores)
+        # The first m and the last 2 m rows of a series are always at a border.
+        lagged, edges = lagged.unionByName(inner).unionByName(border), edges.unionByName(border)
 
     lagged = lagged.withColumns({
         f"c{c}": F.expr(f"CASE WHEN NOT __early AND NOT __late THEN z{c} END") for c in ("x", "y")})
@@ -210,7 +215,7 @@ def _lag_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], m: int,
     inner = lagged.groupBy(*keys).agg(
         F.expr("count(1) AS __n"), F.expr(f"array({', '.join(numbers)}) AS __sums"))
     # At most 3 m rows of a series carry one of the flags.
-    ends = (lagged.where(F.col("__early") | F.col("__end")).groupBy(*keys)
+    ends = (edges.where(F.col("__early") | F.col("__end")).groupBy(*keys)
             .agg(F.array_sort(F.collect_list(F.struct(*order))).alias("__ends")))
     ends = ends.select(*keys, F.col("__ends.x").alias("__ends_x"), F.col("__ends.y").alias("__ends_y"))
     both = inner.join(renamed_keys(ends, keys, "__e_"), same_keys(keys, "__e_"))

@@ -79,10 +79,12 @@ def separate_long(df: DataFrame, keys: Sequence[str], max_rows: int | None = MAX
     """
     if max_rows is None:
         return Parts(df)
+    # Kept for the joins below; if an executor is lost, counting again gives the same keys.
     long_keys = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-                 .where(F.col("__rows") > max_rows))
+                 .where(F.col("__rows") > max_rows)).persist()
     n_keys, n_rows = long_keys.agg(F.count(F.lit(1)), F.sum("__rows")).first()
     if n_keys == 0:
+        long_keys.unpersist()
         return Parts(df)
     parts = Parts(df, None, n_keys, n_rows)
     marks = parts.sized(renamed_keys(long_keys.drop("__rows"), keys, "__long_"))
@@ -101,16 +103,20 @@ def over_short(df: DataFrame, keys: Sequence[str], order: Sequence[str], build:
 
 
 def over_long(df: DataFrame, n_rows: int, keys: Sequence[str], order: Sequence[str], build: Build,
-              before: int, after: int, max_rows: int, position: str | None = None) -> DataFrame:
-    """Add window columns to long series block by block.
+              before: int, after: int, max_rows: int, position: str | None = None,
+              prepare: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Add window columns to long series block by block: (rows inside blocks, rows at borders).
 
+    A row is inside if its block holds ``before`` rows ahead of it and ``after`` rows behind it.
     Row ids and block numbers are stored before they are used, so exact copies can be
-    spread over blocks and a lost executor cannot change either.
+    spread over blocks and a lost executor cannot change either. ``prepare`` may add columns
+    to the stored rows before they are cut into blocks.
     """
-    out_columns = df.columns
     order = [*order, _ROW_ID]
     n_blocks = max(2, min(MAX_BLOCKS, math.ceil(n_rows / max_rows)))
     rows = written_table(df.withColumn(_ROW_ID, F.monotonically_increasing_id()))
+    if prepare:
+        rows = prepare(rows)
     rows = written_table(rows.repartitionByRange(n_blocks, *keys, *order)
                          .withColumn(_BLOCK, F.spark_partition_id()))
     if position:
@@ -144,14 +150,9 @@ def over_long(df: DataFrame, n_rows: int, keys: Sequence[str], order: Sequence[s
     border = marked.withColumn("__near", near).where("__near")
     border = border.withColumns(build(Window.partitionBy(*keys).orderBy(*order))).where(~complete)
 
-    names = [*out_columns, *[c for c in inner.columns if c not in out_columns]]
-    names = [c for c in names if c not in (_ROW_ID, _BLOCK, _BEFORE, _AFTER, _SHIFT)]
-    names = list(dict.fromkeys(names))
-    return inner.select(*_quoted(names)).unionByName(border.select(*_quoted(names)))
-
-
-def _quoted(names: Sequence[str]) -> list[Column]:
-    return [F.col(f"`{c}`") for c in names]
+    names = [c for c in inner.columns if c not in (_ROW_ID, _BLOCK, _BEFORE, _AFTER, _SHIFT)]
+    columns = [F.col(f"`{c}`") for c in names]
+    return inner.select(*columns), border.select(*columns)
 
 
 def over_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], build: Build, *,
@@ -167,8 +168,8 @@ def over_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], build:
     out = over_short(parts.short, keys, order, build, position)
     if parts.long is None:
         return out
-    return out.unionByName(
-        over_long(parts.long, parts.long_rows, keys, order, build, before, after, max_rows, position))
+    inner, border = over_long(parts.long, parts.long_rows, keys, order, build, before, after, max_rows, position)
+    return out.unionByName(inner).unionByName(border)
 
 
 def growth(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str = "growth",
