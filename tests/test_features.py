@@ -33,7 +33,10 @@ def test_place_codes(spark):
 def test_block_codes(spark):
     assert values(spark, [10010201001], S.padded_block_code, "long") == ["010010201001"]
     assert values(spark, ["10010201001", "0100102010015"], S.padded_block_code) == ["010010201001", "0100102010015"]
-    assert values(spark, [10010201001], lambda c: F.array(*S.block_code_parts(c)), "long") == [[1, 1]]
+    assert values(spark, [10010201001, 999999999999, 5, 1234567890123],
+                  lambda c: F.array(*S.block_code_parts(c)), "long") == [[1, 1], [99, 999], [0, 0], [12, 345]]
+    assert values(spark, ["10010201001", "010010201001", "39AB", None],
+                  lambda c: F.array(*S.block_code_parts(c))) == [[1, 1], [1, 1], [0, 0], [None, None]]
 
 
 def test_dates(spark):
