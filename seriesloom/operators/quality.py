@@ -74,7 +74,10 @@ def describe(df: DataFrame) -> DataFrame:
 
 
 def profile(datasets: dict[str, DataFrame], approximate: bool = False) -> DataFrame:
-    """``dataset, column, type, distinct, count, mean, stddev, min, max`` for every column."""
+    """``dataset, column, type, distinct, count, mean, stddev, min, max`` for every column.
+
+    A dataset is read once for the statistics and once per column type; store a derived one first.
+    """
     parts = []
     for name, df in datasets.items():
         distinct = approx_distinct_counts(df) if approximate else distinct_counts(df)

@@ -215,8 +215,9 @@ def profile_describe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def profile(spark: SparkSession, sf: str) -> DataFrame:
+    # Derived tables are stored, as a profile reads each dataset once per column type.
     found = quality.profile({
-        "cases": W.us_cases(spark, sf), "climate": W.climate(spark, sf),
+        "cases": written_table(W.us_cases(spark, sf)), "climate": written_table(W.climate(spark, sf)),
         "orders": W.table(spark, sf, "orders")})
     return rounded(found)
 
