@@ -177,3 +177,15 @@ def test_shared_folder_is_the_configured_one(spark):
     stored = written_table(spark.range(5).withColumn("v", F.rand(1)))
     assert stored.inputFiles()[0].startswith("file:") and "/shared/" in stored.inputFiles()[0]
     assert stored.count() == 5
+
+
+def test_cluster_without_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from seriesloom.storage import shared_folder
+    settings = {"spark.master": "k8s://host"}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: settings.get(name, default)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session)
+    settings["spark.checkpoint.dir"] = "s3://bucket/shared/"
+    assert shared_folder(session) == "s3://bucket/shared"

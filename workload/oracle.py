@@ -109,7 +109,8 @@ def granger_ctes(source: str, lags: range, dof_mode: str = "reference") -> str:
 
     Gaussian elimination on the cross products, one variable per step of a recursive query:
     after the constant and the y lags the last entry is the restricted residual sum, at the
-    end the full one. p comes from Simpson's rule on the F density in the angle atan(sqrt(d1 f / d2)).
+    end the full one. p comes from Simpson's rule on the F density in the angle atan(sqrt(d1 f / d2)),
+    over at most 12 / sqrt(d2), beyond which the density is below exp(-72) of its peak.
     """
     top = max(lags)
     vectors = " UNION ALL ".join(
@@ -138,12 +139,14 @@ def granger_ctes(source: str, lags: range, dof_mode: str = "reference") -> str:
         FROM steps WHERE i = 2 * lag + 2 AND j = 2 * lag + 2 AND k IN (lag + 1, 2 * lag + 1) GROUP BY 1, 2),
     stat AS (SELECT g, lag, n, ((r0 - r1) / lag) / (r1 / (n - 2 * lag - {extra})) f, n - 2 * lag - 1 d2
         FROM rss JOIN sizes USING (g, lag)),
-    simpson AS (SELECT g, lag, n, f, d2, atan(sqrt(lag * f / d2)) th, unnest(range(0, 2001)) i FROM stat),
+    angle AS (SELECT g, lag, n, f, d2, atan(sqrt(lag * f / d2)) th FROM stat),
+    simpson AS (SELECT g, lag, n, f, d2, th, least(pi() / 2 - th, 12 / sqrt(d2)) width, unnest(range(0, 2001)) i
+        FROM angle),
     tested AS (SELECT g, lag, n, any_value(f) f,
         sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
-            * power(sin(th + (pi() / 2 - th) * i / 2000.0), lag - 1)
-            * power(greatest(cos(th + (pi() / 2 - th) * i / 2000.0), 0), d2 - 1))
-        * any_value((pi() / 2 - th) / 2000.0) / 3 * 2
+            * power(sin(th + width * i / 2000.0), lag - 1)
+            * power(greatest(cos(th + width * i / 2000.0), 0), d2 - 1))
+        * any_value(width / 2000.0) / 3 * 2
         * exp(lgamma(any_value(lag + d2) / 2.0) - lgamma(any_value(d2) / 2.0) - lgamma(any_value(lag) / 2.0)) p
         FROM simpson GROUP BY 1, 2, 3)"""
 
