@@ -1,39 +1,104 @@
 """Shared-folder storage for intermediate tables.
 
-Intermediate tables go to the folder the cluster names in ``spark.checkpoint.dir``,
-so they outlive any executor. They are not removed automatically: like Spark's own
-checkpoints, they belong to the retention policy of that folder.
+Intermediate tables go to the folder the cluster names in ``spark.checkpoint.dir`` (or set with
+``SparkContext.setCheckpointDir``), so they outlive any executor. Like Spark's own checkpoints they
+stay until the retention policy of that folder removes them; ``released_tables`` removes those of
+one run at its end.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folders that each machine of a cluster has for itself.
+MACHINE_LOCAL = ("/tmp/", "/var/tmp/", "/dev/shm/")
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_folder: str | None = None
+_runs: list[list[str]] = []
+
+
+def _one_machine(spark: SparkSession) -> bool:
+    master = spark.conf.get("spark.master", "")
+    return master == "local" or master.startswith("local[")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    """The shared folder named for this session; a temporary one in local mode only."""
     global _local_folder
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
+        parsed = urlparse(named)
+        on_machine = parsed.scheme in ("", "file") and f"{parsed.path}/".startswith(MACHINE_LOCAL)
+        if on_machine and not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError(f"{named} is local to each machine; name a folder every executor can reach")
         return named.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not _one_machine(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="seriesloom-")
     return _local_folder
 
 
+def new_path(spark: SparkSession) -> str:
+    """An unused path in the shared folder, noted for ``released_tables``."""
+    path = f"{shared_folder(spark)}/seriesloom-{uuid.uuid4().hex}"
+    for paths in _runs:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def early_cleanup(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the actions inside go when each action ends: nothing reads them again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def written_table(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return the stored table.
 
     Unlike a cached DataFrame the result is fixed: losing an executor cannot make
     Spark recompute non-deterministic columns (partition ids, row ids) differently.
     """
-    path = f"{shared_folder(df.sparkSession)}/seriesloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark)
+    with early_cleanup(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def released_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end of the block, the intermediate tables stored inside it.
+
+    Results read inside the block must be written or counted there; lazy ones lose their tables.
+    """
+    paths: list[str] = []
+    _runs.append(paths)
+    try:
+        yield
+    finally:
+        _runs.remove(paths)
+        for path in paths:
+            remove(spark, path)
