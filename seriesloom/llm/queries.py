@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import packing, token_files
+from seriesloom.llm import packing, quality_rules, token_files
 from seriesloom.llm.common import table
 from seriesloom.llm.encoding import default_tokenizer
 
@@ -16,11 +16,15 @@ def op1_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(docs, default_tokenizer()))
 
 
+def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules.quality_verdicts(table(spark, sf, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), default_tokenizer())
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op8_best_fit_packing)}
+    f.__name__: f for f in (op1_token_files, op6_quality_rules, op8_best_fit_packing)}
 
 LLM_ORACLE: dict[str, str] = {}
