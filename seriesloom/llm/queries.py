@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import packing, quality_rules, token_files, warc
+from seriesloom.llm import html_text, packing, quality_rules, token_files, warc
 from seriesloom.llm.common import table
 from seriesloom.llm.encoding import default_tokenizer
 
@@ -20,6 +20,10 @@ def op3_warc_chain(spark: SparkSession, sf: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf, "pages")))
 
 
+def op4_html_layout(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf, "documents"))
 
@@ -29,6 +33,6 @@ def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op3_warc_chain, op6_quality_rules, op8_best_fit_packing)}
+    f.__name__: f for f in (op1_token_files, op3_warc_chain, op4_html_layout, op6_quality_rules, op8_best_fit_packing)}
 
 LLM_ORACLE: dict[str, str] = {}
