@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +49,39 @@ def open_store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 def by_partition_order(df: DataFrame, *keys: str) -> DataFrame:
     """Rows range-partitioned and sorted by ``keys``."""
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+class WordHashes(dict):
+    """64-bit hash per word; unseen words are hashed on first use, the memory is bounded."""
+
+    def __init__(self, seed: int = 0, normal: Callable[[bytes], bytes] | None = None, most: int = 1_000_000):
+        super().__init__()
+        self.seed, self.normal, self.most = seed, normal, most
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(self.normal(word) if self.normal else word, self.seed)
+        self[word] = value
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Scramble 64-bit numbers (finalizer of splitmix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` words, by its first word; empty if there are fewer words."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total = np.zeros(n, np.uint64)
+    for i in range(size):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + words[i:i + n]
+    return mixed(total)

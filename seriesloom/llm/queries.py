@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import html_text, packing, quality_rules, token_files, warc
+from seriesloom.llm import html_text, licenses, packing, quality_rules, token_files, warc
 from seriesloom.llm.common import table
 from seriesloom.llm.encoding import default_tokenizer
 
@@ -16,6 +16,10 @@ def op1_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(docs, default_tokenizer()))
 
 
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf, "documents"))
+
+
 def op3_warc_chain(spark: SparkSession, sf: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf, "pages")))
 
@@ -33,6 +37,6 @@ def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op3_warc_chain, op4_html_layout, op6_quality_rules, op8_best_fit_packing)}
+    f.__name__: f for f in (op1_token_files, op2_license_scan, op3_warc_chain, op4_html_layout, op6_quality_rules, op8_best_fit_packing)}
 
 LLM_ORACLE: dict[str, str] = {}
