@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import html_text, licenses, packing, quality_rules, token_files, toxicity, warc
+from seriesloom.llm import decontamination, html_text, licenses, packing, quality_rules, token_files, toxicity, warc
 from seriesloom.llm.common import table
 from seriesloom.llm.encoding import default_tokenizer
 
@@ -28,6 +28,10 @@ def op4_html_layout(spark: SparkSession, sf: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf, "pages"))
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf, "documents"))
 
@@ -41,6 +45,6 @@ def op10_toxicity_models(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_license_scan, op3_warc_chain, op4_html_layout, op6_quality_rules, op8_best_fit_packing, op10_toxicity_models)}
+    f.__name__: f for f in (op1_token_files, op2_license_scan, op3_warc_chain, op4_html_layout, op5_benchmark_leaks, op6_quality_rules, op8_best_fit_packing, op10_toxicity_models)}
 
 LLM_ORACLE: dict[str, str] = {}
