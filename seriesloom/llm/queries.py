@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import decontamination, html_text, licenses, packing, quality_rules, token_files, toxicity, warc
+from seriesloom.llm import decontamination, html_text, licenses, packing, quality_rules, substrings, token_files, toxicity, warc
 from seriesloom.llm.common import table
 from seriesloom.llm.encoding import default_tokenizer
 
@@ -40,11 +40,17 @@ def op8_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), default_tokenizer())
 
 
+def op9_repeated_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.removal_report(table(spark, sf, "documents"))
+
+
 def op10_toxicity_models(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_license_scan, op3_warc_chain, op4_html_layout, op5_benchmark_leaks, op6_quality_rules, op8_best_fit_packing, op10_toxicity_models)}
+    f.__name__: f for f in (
+        op1_token_files, op2_license_scan, op3_warc_chain, op4_html_layout, op5_benchmark_leaks, op6_quality_rules, op8_best_fit_packing, op9_repeated_phrases,
+                            op10_toxicity_models)}
 
 LLM_ORACLE: dict[str, str] = {}
