@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import packing
+from seriesloom.llm import decontamination, ngram_join, packing, substrings, toxicity
 from seriesloom.llm.common import table
 from seriesloom.llm.encoding import default_tokenizer
 from seriesloom.storage import written_table
@@ -14,14 +14,40 @@ from seriesloom.storage import written_table
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models reject go."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by shingle similarity stays: that with the smallest id."""
+    return ngram_join.one_per_group(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has as well are cut out of the texts; no document goes."""
+    return substrings.without_repeats(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 4096 ids that hold every document left."""
     return packing.pack_documents(docs, default_tokenizer())
 
 
-STAGES: list[tuple[str, Stage]] = [("best-fit packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("substring dedup", cut_repeats),
+    ("benchmark decontamination", drop_leaks),
+    ("best-fit packing", pack),
+]
 
-# Tokenizers, language models and packing have no SQL form; tests/llm compares the stages with brute force.
+# Models, shingle joins, automata and tokenizers have no SQL form; tests/llm holds run() against brute force.
 ORACLE_SQL = None
 
 
