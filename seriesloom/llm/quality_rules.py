@@ -115,7 +115,7 @@ def document_features(docs: DataFrame) -> DataFrame:
 
 def _shares(histogram: str) -> Column:
     total = F.aggregate(histogram, F.lit(0), lambda a, x: a + x)
-    return bound(total, lambda n: F.transform(histogram, lambda x: x / n))
+    return bound(F.greatest(total, F.lit(1)), lambda n: F.transform(histogram, lambda x: x / n))
 
 
 def js_distance(p: Column, q: Column) -> Column:
