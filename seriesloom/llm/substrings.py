@@ -7,9 +7,10 @@ whose words also start in a document with a smaller doc_id. In three steps:
    ``ANCHOR``-word runs; about one run in five is an anchor. Anchors of only one document go first;
    the windows left are counted by 64-bit hash, which gives each recurring window its first document.
 2. The recurring passages are cut out of their first documents as phrases. Phrases are dealt to shards
-   of bounded size, and each shard is compiled into an Aho-Corasick automaton over words.
+   of bounded size, and each shard is compiled into an Aho-Corasick automaton over words. Its patterns are
+   the phrases' runs of ``SEED`` words at every ``SEED``-th place: each window of a phrase holds one whole.
 3. Every document that holds a recurring passage is streamed through the automata of the shards
-   it needs, which locate every occurrence word by word.
+   it needs; each pattern found is extended to both sides, word by word, as far as the phrase goes.
 
 Counts are combined before their shuffles; shards wanted by many documents are built several times,
 each for a part of the documents.
@@ -34,8 +35,10 @@ WINDOW, ANCHOR = 13, 5
 # Windows of a long document are dealt in blocks of so many starts.
 BLOCK_WORDS = 20_000
 # Windows per automaton, and bytes of text that one copy of an automaton reads.
-SHARD_WINDOWS = 60_000
+SHARD_WINDOWS = 300_000
 SHARD_BYTES = 16_000_000
+# A window has a whole aligned run of so many words wherever it starts.
+SEED = (WINDOW + 1) // 2
 
 
 def window_anchors(hashes: np.ndarray) -> np.ndarray:
@@ -57,6 +60,12 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
 
+def _among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which values are listed (not empty)."""
+    listed = np.sort(listed)
+    return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
 
@@ -74,10 +83,7 @@ def document_anchors(docs: DataFrame) -> DataFrame:
 
 
 def candidate_windows(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, block, windows, text`` for the windows whose anchor recurs.
-
-    The text comes with block 0 only.
-    """
+    """``doc_id, text_hash, block, windows`` for the windows whose anchor recurs."""
     anchors = written_table(document_anchors(docs))
     each = anchors.select("doc_id", F.explode("anchors").alias("anchor"))
     again = each.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
@@ -85,7 +91,7 @@ def candidate_windows(docs: DataFrame) -> DataFrame:
     hot = each.join(again, F.col("anchor") == F.col("again"), "left_semi")
     hot = written_table(hot.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("anchor").alias("hot")))
     rows = docs.join(hot, F.col("doc_id") == F.col("__id")).select("doc_id", "text_hash", "hot", "text")
-    schema = "doc_id long, text_hash long, block int, windows array<long>, text string"
+    schema = "doc_id long, text_hash long, block int, windows array<long>"
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -95,16 +101,17 @@ def candidate_windows(docs: DataFrame) -> DataFrame:
             for i, text in enumerate(texts):
                 hashes = words.of(text.split())
                 near = window_anchors(hashes)
-                starts = np.flatnonzero(np.isin(near, batch.column("hot")[i].values.to_numpy().view(np.uint64)))
-                windows = gram_hashes(hashes, WINDOW)[starts] if len(starts) else starts
-                for block in np.unique(np.append(starts // BLOCK_WORDS, 0)).tolist():
-                    out.append((ids[i], keys[i], block, np.unique(windows[starts // BLOCK_WORDS == block]),
-                                text.decode() if block == 0 else None))
+                starts = np.flatnonzero(_among(near, batch.column("hot")[i].values.to_numpy().view(np.uint64)))
+                if not len(starts):
+                    continue
+                windows = gram_hashes(hashes, WINDOW)[starts]
+                for block in np.unique(starts // BLOCK_WORDS).tolist():
+                    out.append((ids[i], keys[i], block, np.unique(windows[starts // BLOCK_WORDS == block])))
             if out:
-                a, b, c, d, e = zip(*out)
+                a, b, c, d = zip(*out)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), _lists(list(d)),
-                     pa.array(e, pa.string())], names=["doc_id", "text_hash", "block", "windows", "text"])
+                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), _lists(list(d))],
+                    names=["doc_id", "text_hash", "block", "windows"])
 
     return rows.mapInArrow(find, schema)
 
@@ -120,7 +127,7 @@ def phrases(sources: DataFrame) -> DataFrame:
                 first = blocks[i] * BLOCK_WORDS
                 part = words[first:first + BLOCK_WORDS + WINDOW - 1]
                 listed = batch.column("windows")[i].values.to_numpy().view(np.uint64)
-                at = np.flatnonzero(np.isin(gram_hashes(hashes.of(part), WINDOW), listed))
+                at = np.flatnonzero(_among(gram_hashes(hashes.of(part), WINDOW), listed))
                 runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else []
                 out.append(b"\n".join(b" ".join(part[r[0]:r[-1] + WINDOW]) for r in runs))
             yield pa.RecordBatch.from_arrays(
@@ -131,33 +138,51 @@ def phrases(sources: DataFrame) -> DataFrame:
 
 
 class PhraseAutomaton:
-    """Aho-Corasick automaton of all windows of the phrases added, over numbered words."""
+    """Aho-Corasick automaton of the aligned runs of phrases, over numbered words."""
 
     def __init__(self):
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         self.numbers: dict[bytes, int] = {}
+        self.phrases: list[tuple[list[int], int]] = []
+        self.places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         self.ready = False
 
     def add(self, phrase: bytes, source: int) -> None:
-        numbers = self.numbers
+        numbers, places = self.numbers, self.places
         coded = [numbers.setdefault(w, len(numbers) + 1) for w in phrase.split()]
-        for i in range(len(coded) - WINDOW + 1):
-            self.automaton.add_word(tuple(coded[i:i + WINDOW]), source)
+        for at in range(0, len(coded) - SEED + 1, SEED):
+            places.setdefault(tuple(coded[at:at + SEED]), []).append((len(self.phrases), at))
+        self.phrases.append((coded, source))
+
+    def _compile(self) -> None:
+        for run, places in self.places.items():
+            self.automaton.add_word(run, places)
+        self.automaton.make_automaton()
+        self.places, self.ready = {}, True
 
     def covered(self, text: bytes, doc_id: int) -> list[tuple[int, int]]:
-        """Spans of words in windows whose source is smaller than ``doc_id``, merged."""
+        """Spans of at least a window of words that are in a phrase of a source smaller than ``doc_id``."""
         if not self.ready:
-            self.automaton.make_automaton()
-            self.ready = True
-        spans: list[tuple[int, int]] = []
+            self._compile()
         known = self.numbers.get
-        for last, source in self.automaton.iter(tuple([known(w, 0) for w in text.split()])):
-            if source < doc_id:
-                start = last - WINDOW + 1
-                if spans and start <= spans[-1][1]:
-                    spans[-1] = (spans[-1][0], last + 1)
-                else:
-                    spans.append((start, last + 1))
+        words = [known(w, 0) for w in text.split()]
+        spans: list[tuple[int, int]] = []
+        reached: dict[tuple[int, int], int] = {}
+        for last, places in self.automaton.iter(tuple(words)):
+            for number, at in places:
+                phrase, source = self.phrases[number]
+                start, end = last - SEED + 1, last + 1
+                shift = start - at
+                if source >= doc_id or reached.get((number, shift), 0) >= end:
+                    continue
+                while start > max(0, shift) and words[start - 1] == phrase[start - 1 - shift]:
+                    start -= 1
+                stop = min(len(words), len(phrase) + shift)
+                while end < stop and words[end] == phrase[end - shift]:
+                    end += 1
+                reached[number, shift] = end
+                if end - start >= WINDOW:
+                    spans.append((start, end))
         return spans
 
 
@@ -176,7 +201,7 @@ def located(rows: DataFrame) -> DataFrame:
                 if row["kind"] == 0:
                     for phrase in text.split(b"\n"):
                         automaton.add(phrase, row["doc_id"])
-                elif automaton.numbers:
+                elif automaton.phrases:
                     spans = automaton.covered(text, row["doc_id"])
                     if spans:
                         out.append((row["doc_id"], row["text_hash"], [s for s, _ in spans], [e for _, e in spans]))
@@ -200,16 +225,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     n_shards = max(1, -(-recurring.count() // SHARD_WINDOWS))
     shard = F.pmod(F.xxhash64("source", "part"), F.lit(n_shards)).alias("shard")
 
-    texts = candidates.where("block = 0").select("doc_id", "text_hash", "text")
     listed = recurring.groupBy("source", "part").agg(F.collect_list("window").alias("windows"))
-    sources = texts.join(listed, F.col("doc_id") == F.col("source"))
+    sources = docs.join(listed, F.col("doc_id") == F.col("source"))
     sources = sources.select("doc_id", F.col("part").alias("block"), "windows", "text")
-    found = phrases(sources).where("phrases <> ''").withColumnsRenamed({"doc_id": "source", "block": "part"})
+    found = written_table(phrases(sources).where("phrases <> ''").withColumnsRenamed({"doc_id": "source", "block": "part"}))
 
     wanted = each.join(recurring.withColumnRenamed("window", "known"), F.col("window") == F.col("known"))
-    wanted = wanted.where(F.col("source") < F.col("doc_id")).select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), shard).distinct()
-    routed = texts.join(wanted, (F.col("doc_id") == F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+    wanted = written_table(wanted.where(F.col("source") < F.col("doc_id")).select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), shard).distinct())
+    routed = docs.join(wanted, (F.col("doc_id") == F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
     routed = written_table(routed.select("shard", "doc_id", "text_hash", "text"))
     copies = routed.groupBy(F.col("shard").alias("__shard")).agg(
         F.ceil(F.sum(F.octet_length("text") + 1) / SHARD_BYTES).cast("int").alias("copies"))
