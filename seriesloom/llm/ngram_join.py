@@ -85,18 +85,29 @@ def shingle_set(hashes: np.ndarray) -> np.ndarray:
     return np.unique(gram_hashes(hashes, min(GRAM, len(hashes)))) if len(hashes) else np.zeros(0, np.uint64)
 
 
-def segment_signatures(shingles: np.ndarray, scheme: int) -> tuple[np.ndarray, int]:
-    """Signatures of the segments that are not empty, and the number of empty ones."""
+def _segments(shingles: np.ndarray, scheme: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Scrambled shingles of the emitted segments, their segments, and the number of segments emitted."""
     n_segments = emitted_segments(bands()[scheme][1])
     emitted = min(emitted_segments(len(shingles)), n_segments)
     spread = mixed(shingles + np.uint64(scheme + 1))
     segment = (spread % np.uint64(n_segments)).astype(np.int64)
     inside = segment < emitted
+    return spread[inside], segment[inside], emitted
+
+
+def empty_segments(shingles: np.ndarray, scheme: int) -> int:
+    _, segment, emitted = _segments(shingles, scheme)
+    return emitted - int(np.count_nonzero(np.bincount(segment, minlength=emitted)))
+
+
+def segment_signatures(shingles: np.ndarray, scheme: int) -> np.ndarray:
+    """Signatures of the emitted segments that are not empty."""
+    spread, segment, emitted = _segments(shingles, scheme)
     total = np.zeros(emitted, np.uint64)
-    np.add.at(total, segment[inside], mixed(spread[inside]))
-    filled = np.flatnonzero(np.bincount(segment[inside], minlength=emitted))
+    np.add.at(total, segment, mixed(spread))
+    filled = np.flatnonzero(np.bincount(segment, minlength=emitted))
     signature = mixed(total[filled] + filled.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return (signature << np.uint64(SCHEME_BITS)) | np.uint64(scheme), emitted - len(filled)
+    return (signature << np.uint64(SCHEME_BITS)) | np.uint64(scheme)
 
 
 def _sets(texts: list[bytes], words: WordHashes) -> list[np.ndarray]:
@@ -111,7 +122,7 @@ def set_sizes(docs: DataFrame) -> DataFrame:
         words = WordHashes()
         for batch, texts in text_chunks(batches):
             sets = _sets(texts, words)
-            rooms = [[room(len(s)) - segment_signatures(s, g)[1] for g in schemes(len(s))] for s in sets]
+            rooms = [[room(len(s)) - empty_segments(s, g) for g in schemes(len(s))] for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(list(map(len, sets)), pa.int64()),
                  pa.array(rooms, pa.list_(pa.int32()))], names=["doc_id", "text_key", "n_shingles", "rooms"])
@@ -132,7 +143,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 seen.add(text)
                 shingles = shingle_set(words.of(text.lower().split()))
                 for g in schemes(len(shingles)):
-                    keys.append(segment_signatures(shingles, g)[0])
+                    keys.append(segment_signatures(shingles, g))
                     ids.append(np.full(len(keys[-1]), doc_id, np.int64))
             if keys:
                 yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))],
@@ -212,20 +223,23 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFr
     mapped = written_table(mapped.select(F.least("rep_a", "rep_b").alias("a"),
                                          F.greatest("rep_a", "rep_b").alias("b")).distinct())
     needed = mapped.select(F.col("a").alias("__id")).union(mapped.select("b")).distinct()
-    sets = written_table(document_sets(docs.join(needed, F.col("doc_id") == F.col("__id"), "left_semi")))
-    first = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
-    second = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
-    rows = mapped.join(first, "b").join(second, "a").select("a", "b", "set_a", "set_b")
+    texts = written_table(docs.join(needed, F.col("doc_id") == F.col("__id"), "left_semi"))
+    rows = mapped.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        words = WordHashes()
+        for batch, texts_a in text_chunks(batches, "text_a"):
             alike = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
+            texts_b = batch.column("text_b").cast(pa.binary()).to_pylist()
+            for i, y in enumerate(_sets([t or b"" for t in texts_b], words)):
+                if i == 0 or texts_a[i] != texts_a[i - 1]:
+                    x = shingle_set(words.of(texts_a[i].lower().split()))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 alike.append(100 * common >= 80 * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
+    rows = rows.select("a", "b", "text_a", "text_b")
     return written_table(rows.mapInArrow(compare, "a long, b long").distinct())
 
 
@@ -243,29 +257,32 @@ def document_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, "id long, shingles array<long>")
 
 
-def searched_again(nodes: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Ids of the representatives whose partners the signatures may have missed."""
+def slack(nodes: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``id, rep, n_shingles, slack``: signatures that a document shares with each similar one, at least.
+
+    Of the segments in which two similar sets agree, the empty and frequent ones yield nothing;
+    ``slack`` is what remains for certain (0 or less: nothing; null: too small for segments).
+    """
     scheme = F.col("key").bitwiseAND(F.lit((1 << SCHEME_BITS) - 1)).cast("int")
-    counts = frequent.select(F.col("a").alias("id"), scheme.alias("scheme")).groupBy("id", "scheme").agg(
-        F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.max("n").alias("n_frequent"))
-    rows = nodes.where("n_shingles > 0").join(counts, F.col("doc_id") == F.col("id"), "left")
-    least = F.array_min("rooms")
-    hard = (F.col("n_shingles") <= SMALL) | (F.coalesce("n_frequent", F.lit(0)) >= least)
-    return rows.where(hard).select(F.col("rep").alias("id")).distinct()
+    counts = frequent.select(F.col("a").alias("__id"), scheme.alias("scheme")).groupBy("__id", "scheme").agg(
+        F.count(F.lit(1)).alias("n")).groupBy("__id").agg(F.max("n").alias("n_frequent"))
+    rows = nodes.where("n_shingles > 0").join(counts, F.col("doc_id") == F.col("__id"), "left")
+    left = F.array_min("rooms") - F.coalesce("n_frequent", F.lit(0))
+    return rows.groupBy(F.col("doc_id").alias("id"), "rep").agg(
+        F.min("n_shingles").alias("n_shingles"), F.min(left).alias("slack"))
 
 
 def rare_elements(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``key, id``: for each set of ``ids``, the elements of its rarest part that others have as well."""
-    sets = written_table(document_sets(docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi")).distinct())
-    each = sets.select("id", F.explode("shingles").alias("key"))
+    sets = document_sets(docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi"))
+    sets = written_table(sets.withColumn("set", F.monotonically_increasing_id()))
+    each = sets.select("set", "id", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
     often = each.groupBy("key").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
     shared = each.join(often.withColumnRenamed("key", "known"), F.col("key") == F.col("known"))
-    shared = shared.select("id", "key", "uses")
-    sizes = sets.select(F.col("id").alias("__id"), F.size("shingles").alias("n"))
-    by_use = Window.partitionBy("id").orderBy("uses", "key")
+    shared = shared.select("set", "id", "n", "key", "uses")
+    by_use = Window.partitionBy("set").orderBy("uses", "key")
     shared = shared.withColumns({"place": F.row_number().over(by_use),
-                                 "n_shared": F.count(F.lit(1)).over(Window.partitionBy("id"))})
-    shared = shared.join(sizes, F.col("id") == F.col("__id"))
+                                 "n_shared": F.count(F.lit(1)).over(Window.partitionBy("set"))})
     # elements of one set only come first in the order
     chosen = F.expr("n - (4 * n + 4) DIV 5 + 1 - (n - n_shared)")
     return written_table(shared.where(F.col("place") <= chosen).select("key", "id"))
@@ -287,11 +304,18 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     identified = nodes.where("doc_id IS NOT NULL")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
 
-    rows = written_table(bucket_rows(signatures(docs)).distinct())
-    links = similar_pairs(rows.where("key IS NULL").select("a", "b"), docs, identified)
+    rows = bucket_rows(signatures(docs)).groupBy("a", "b", "key").agg(F.count(F.lit(1)).alias("shared"))
+    rows = written_table(rows)
+    spare = written_table(slack(identified, rows.where("key IS NOT NULL")))
+
+    def limit(name: str) -> DataFrame:
+        return spare.select(F.col("id").alias(name), F.coalesce("slack", F.lit(1)).alias(f"least_{name}"))
+
+    pairs = rows.where("key IS NULL").join(limit("a"), "a").join(limit("b"), "b")
+    links = similar_pairs(pairs.where("shared >= greatest(least_a, least_b)").select("a", "b"), docs, identified)
 
-    again = written_table(searched_again(identified, rows.where("key IS NOT NULL")))
-    elements = rare_elements(docs, again)
+    again = spare.where((F.col("n_shingles") <= SMALL) | (F.col("slack") <= 0)).select(F.col("rep").alias("id"))
+    elements = rare_elements(docs, written_table(again.distinct()))
     found = written_table(bucket_rows(elements).distinct())
     links = links.union(similar_pairs(found.select("a", "b").distinct(), docs, identified))
 
