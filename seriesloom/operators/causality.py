@@ -3,13 +3,15 @@
 For lag L the target y(t) is regressed on its own last L values (restricted) and on
 the last L values of x as well (full). The F statistic compares the residual sums.
 
-How it runs on Spark. Every cross product a regression at any lag L <= M needs is one of
-4 (M + 1) sums of value(t) * value(t - d), d = 0..M, except for the few rows at either end
-of a series, which only some lags include. So one ordinary aggregation yields
-those sums for all lags together, with map-side combining; the at most 3 M rows at the ends
-travel along, and a small numpy routine per Arrow batch turns (sums, ends) into the
-Gram matrices and solves them. No series is ever gathered: a series of any length
-becomes one row of about 60 numbers.
+How it runs on Spark. The last L values of a series span the same space as its last value and
+the L - 1 differences before it, and the target may be replaced by its difference. In that
+form the columns of a trending series stay apart however long it gets. Every cross product
+a regression at any lag L <= M needs is then one of 8 M + 9 sums of products of levels and differences at
+distances 0..M, except for the few rows at either end of a series, which only some lags
+include. So one ordinary aggregation yields those sums for all lags together, with map-side
+combining; the at most 3 M rows at the ends travel along, and a small numpy routine per Arrow
+batch turns (sums, ends) into the Gram matrices and solves them. No series is ever
+gathered: a series of any length becomes one row of about 120 numbers.
 """
 
 from __future__ import annotations
@@ -24,86 +26,110 @@ from pyspark.sql import types as T
 
 from seriesloom.functions.fdist import f_upper_tail
 from seriesloom.operators.series import (
-    MAX_SERIES_ROWS, over_long, over_short, renamed_keys, same_keys, separate_long, total_order)
+    MAX_SERIES_ROWS, Parts, over_long, over_short, renamed_keys, same_keys, separate_long, total_order)
 
 # Fixed value: largest lag tested by default.
 MAX_LAG = 14
 # Scale of the optional jitter and number of its steps.
 JITTER_UNIT, JITTER_STEPS = 1e-8, 100
-# A regressor explained by the earlier ones up to this share of its variance is collinear.
-COLLINEAR = 1e-10
+# A column explained by the earlier ones up to this share of its sum of squares is lost in rounding.
+ROUNDING = 1e-12
 _SOLVE_ROWS = 512
 
 DOF_MODES = ("reference", "standard")
 
 
+# Products per row: y, x, their differences, then these, the later factor first ("y" level, "dy" difference).
+_SINGLE = (("y", "y", 0), ("x", "x", 0), ("y", "x", 0), ("dy", "y", 1), ("dy", "x", 1))
+_DIFFERENCES = (("dy", "dy"), ("dx", "dx"), ("dy", "dx"), ("dx", "dy"))
+_LEVELS = (("y", "dy"), ("x", "dx"), ("y", "dx"), ("x", "dy"))
+
+
+def _product_list(m: int) -> list[tuple[str, str, int]]:
+    """(later factor, earlier factor, distance) of every product, in order."""
+    return [*_SINGLE, *[(a, b, d) for d in range(m) for a, b in _DIFFERENCES],
+            *[(a, b, d) for d in range(m) for a, b in _LEVELS]]
+
+
 def _end_products(first: np.ndarray, last: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Products value(r) * value(r - d) of the first m and of the last m rows.
+    """Levels, differences and products of the first m and of the last m rows.
 
-    ``first`` holds (y, x) of the first m rows, ``last`` of the last 2m. Each result has, per row,
-    y and x followed by yy, xx, yx and xy for d = 0..m, the later value named first.
+    ``first`` holds (y, x) of the first m rows, ``last`` of the last 2m. Products that reach beyond what is
+    held are meaningless; no regression uses them.
     """
-    rows, back = np.arange(m)[:, None], np.arange(m + 1)
+    rows = m + np.arange(m)
 
     def products(padded: np.ndarray) -> np.ndarray:
-        lagged = padded[:, :, m + rows - back]
-        y, x = lagged[:, 0], lagged[:, 1]
-        pairs = np.stack([y[..., :1] * y, x[..., :1] * x, y[..., :1] * x, x[..., :1] * y], axis=-1)
-        return np.concatenate([y[..., :1], x[..., :1], pairs.reshape(*pairs.shape[:2], -1)], axis=-1)
+        change = np.diff(padded, axis=2, prepend=0.0)
+        series = {"y": padded[:, 0], "x": padded[:, 1], "dy": change[:, 0], "dx": change[:, 1]}
+        return np.stack([*[series[c][:, rows] for c in ("y", "x", "dy", "dx")],
+                         *[series[a][:, rows] * series[b][:, rows - d] for a, b, d in _product_list(m)]], axis=-1)
 
     return products(np.concatenate([np.zeros_like(first), first], axis=2)), products(last)
 
 
 def _grams(lags: Sequence[int], n: np.ndarray, core: np.ndarray, head: np.ndarray, tail: np.ndarray,
            m: int) -> dict[int, np.ndarray]:
-    """Lower triangles of the cross products of (1, y lags, x lags, y) after the first lag rows.
+    """Lower triangles of the cross products of (1, y columns, x columns, target) after the first lag rows.
 
-    A product of lags i <= j runs over the rows from lag + 1 - i to n - i: all core rows, the
-    head rows from that start on, and the tail rows up to that end.
+    The columns of a series are its level one row back and its differences 1..lag - 1 rows back; the target is
+    the difference of y. A product with its later factor i rows back runs over the rows
+    from lag + 1 - i to n - i: all core rows, the head rows from that start on, and the tail rows
+    up to that end.
     """
     row = np.arange(1, m + 1)
     tail_row = n[:, None] - m + row
+    at_differences = 4 + len(_SINGLE)
+    at_levels = at_differences + 4 * m
     grams = {lag: np.zeros((len(n), 2 * lag + 2, 2 * lag + 2)) for lag in lags}
     for lag, g in grams.items():
         g[:, 0, 0] = n - lag
-    for i in range(max(lags) + 1):
+    for i in range(max(max(lags), 2)):
         late = (tail_row > m) & (tail_row <= n[:, None] - i)
         ended = core + np.einsum("br,brk->bk", late.astype(float), tail)
         from_row = (head * (row <= n[:, None] - i)[:, :, None])[:, ::-1].cumsum(axis=1)[:, ::-1]
         for lag in lags:
-            if lag < i:
+            if lag < max(i, 1):
                 continue
             start = lag - i
             sums = ended + from_row[:, start] if start < m else ended
-            pairs = sums[:, 2:].reshape(len(n), m + 1, 4)[:, :lag - i + 1]
-            yy, xx, yx, xy = (pairs[:, :, k] for k in range(4))
-            g, x_at = grams[lag], lag + i
+            g = grams[lag]
+            y_at, x_at = 1, lag + 1  # the levels; the difference k rows back is k columns further
+            dd = sums[:, at_differences:at_levels].reshape(len(n), m, 4)
             if i == 0:
-                g[:, -1, 0] = sums[:, 0]
-                g[:, -1, 1:lag + 1] = yy[:, 1:]
-                g[:, -1, lag + 1:-1] = yx[:, 1:]
-                g[:, -1, -1] = yy[:, 0]
-            else:
-                g[:, i, 0] = sums[:, 0]
-                g[:, x_at, 0] = sums[:, 1]
-                g[:, i:lag + 1, i] = yy
-                g[:, x_at:-1, x_at] = xx
-                g[:, x_at:-1, i] = yx
-                g[:, x_at, i:lag + 1] = xy
+                g[:, -1, 0] = sums[:, 2]
+                g[:, -1, y_at], g[:, -1, x_at] = sums[:, 7], sums[:, 8]
+                g[:, -1, y_at + 1:x_at] = dd[:, 1:lag, 0]
+                g[:, -1, x_at + 1:-1] = dd[:, 1:lag, 2]
+                g[:, -1, -1] = dd[:, 0, 0]
+                continue
+            if i == 1:
+                level = sums[:, at_levels:].reshape(len(n), m, 4)[:, :lag]
+                g[:, y_at, 0], g[:, x_at, 0] = sums[:, 0], sums[:, 1]
+                g[:, y_at, y_at], g[:, x_at, x_at], g[:, x_at, y_at] = sums[:, 4], sums[:, 5], sums[:, 6]
+                g[:, y_at + 1:x_at, y_at] = level[:, :lag - 1, 0]
+                g[:, x_at + 1:-1, x_at] = level[:, :lag - 1, 1]
+                g[:, x_at + 1:-1, y_at] = level[:, :lag - 1, 2]
+                g[:, x_at, y_at + 1:x_at] = level[:, :lag - 1, 3]
+            if i < lag:
+                far = lag - i
+                g[:, y_at + i, 0], g[:, x_at + i, 0] = sums[:, 2], sums[:, 3]
+                g[:, y_at + i:x_at, y_at + i] = dd[:, :far, 0]
+                g[:, x_at + i:-1, x_at + i] = dd[:, :far, 1]
+                g[:, x_at + i:-1, y_at + i] = dd[:, :far, 2]
+                g[:, x_at + i, y_at + i:x_at] = dd[:, :far, 3]
     return grams
 
 
 def _cholesky(g: np.ndarray) -> np.ndarray:
-    """Lower factors; NaN for matrices that have none."""
+    """Lower factors; NaN from the column on where a matrix has none."""
     try:
         return np.linalg.cholesky(g)
     except np.linalg.LinAlgError:
-        out = np.full_like(g, np.nan)
-        for i, one in enumerate(g):
-            try:
-                out[i] = np.linalg.cholesky(one)
-            except np.linalg.LinAlgError:
-                pass
+        out = np.zeros_like(g)
+        for j in range(g.shape[1]):
+            rest = g[:, j:, j] - np.einsum("bik,bk->bi", out[:, j:, :j], out[:, j, :j])
+            out[:, j:, j] = rest / np.sqrt(np.where(rest[:, :1] > 0, rest[:, :1], np.nan))
         return out
 
 
@@ -119,7 +145,7 @@ def _residuals(g: np.ndarray, lag: int) -> tuple[np.ndarray, np.ndarray]:
     drop = explained[:, lag + 1:].sum(axis=1)
     restricted = total - explained[:, :lag + 1].sum(axis=1)
     full = np.maximum(restricted - drop, np.finfo(float).eps * total)
-    sound = (pivots > COLLINEAR * scale[:, :-1]).all(axis=1) & (restricted > COLLINEAR * total)
+    sound = (pivots > ROUNDING * scale[:, :-1]).all(axis=1) & (restricted > ROUNDING * total)
     return np.where(sound, drop, np.nan), full
 
 
@@ -168,11 +194,10 @@ def _jittered(value: Column, seed: int, salt: str, keys: Sequence[str], order: S
     return value + step * JITTER_UNIT
 
 
-def _lag_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], m: int,
+def _lag_sums(parts: Parts, keys: Sequence[str], order: Sequence[str], m: int,
               max_rows: int | None) -> DataFrame:
     """One row per series: row count, moments with sums of products, and values at both ends."""
-    order = total_order(df, keys, order)
-    parts = separate_long(df, keys, max_rows)
+    order = total_order(parts.short, keys, order)
 
     def build(w: WindowSpec) -> dict[str, Column]:
         lags = {f"z{c}{d}": F.lag(f"z{c}", d).over(w) for c in ("x", "y") for d in range(1, m + 1)}
@@ -204,12 +229,14 @@ def _lag_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], m: int,
         # The first m and the last 2 m rows of a series are always at a border.
         lagged, edges = lagged.unionByName(inner).unionByName(border), edges.unionByName(border)
 
+    def back(factor: str, d: int) -> str:
+        """A level ("y") or difference ("dy") ``d`` rows back."""
+        level = [f"z{factor[-1]}{k or ''}" for k in (d, d + 1)]
+        return f"({level[0]} - {level[1]})" if factor[0] == "d" else level[0]
+
     lagged = lagged.withColumns({
-        f"c{c}": F.expr(f"CASE WHEN NOT __early AND NOT __late THEN z{c} END") for c in ("x", "y")})
-    sums = ["cy", "cx"]
-    for d in range(m + 1):
-        zx, zy = (f"zx{d}", f"zy{d}") if d else ("zx", "zy")
-        sums += [f"cy * {zy}", f"cx * {zx}", f"cy * {zx}", f"cx * {zy}"]
+        f"c{f}": F.expr(f"CASE WHEN NOT __early AND NOT __late THEN {back(f, 0)} END") for f in ("y", "x", "dy", "dx")})
+    sums = ["cy", "cx", "cdy", "cdx", *[f"c{a} * {back(b, d)}" for a, b, d in _product_list(m)]]
     numbers = [f"coalesce(max(__{name}_{c}), double('NaN'))" for c in ("x", "y") for name in ("mean", "sd")]
     numbers += [f"coalesce(sum({s}), 0D)" for s in sums]
     inner = lagged.groupBy(*keys).agg(
@@ -223,15 +250,28 @@ def _lag_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], m: int,
 
 
 def _driver_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Sequence[str],
-                 y: str) -> DataFrame:
-    """Long form ``keys, driver, order, x, y``; rows with a missing value are left out."""
+                 y: str, max_rows: int | None) -> Parts:
+    """Long form ``keys, driver, order, x, y``; rows with a missing value are left out.
+
+    Rows are shuffled by the keys before they are repeated per driver; windows over keys and driver
+    then need no shuffle of their own. The limit on rows in one task counts repeated rows.
+    """
     if taken := {"x", "y", "driver"} & {c.lower() for c in (*keys, *order)}:
         raise ValueError(f"rename key or order columns {sorted(taken)} first")
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(x).alias("driver"), F.col(x).cast("double").alias("x")) for x in xs])).alias("__pair")
-    rows = df.select(*keys, *order, F.col(y).cast("double").alias("y"), pairs)
-    rows = rows.select(*keys, "__pair.driver", *order, "__pair.x", "y")
-    return rows.na.drop(subset=[*order, "x", "y"])
+    wide = df.select(*keys, *order, F.col(y).cast("double").alias("__y"),
+                     *[F.col(x).cast("double").alias(f"__x{i}") for i, x in enumerate(xs)])
+    parts = separate_long(wide, keys, None if max_rows is None else max(1, max_rows // len(xs)))
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("driver"), F.col(f"__x{i}").alias("x"))
+                                    for i, x in enumerate(xs)])).alias("__pair")
+        rows = rows.select(*keys, *order, F.col("__y").alias("y"), pairs)
+        rows = rows.select(*keys, "__pair.driver", *order, "__pair.x", "y")
+        return rows.na.drop(subset=[*order, "x", "y"])
+
+    short = parts.short.repartition(*keys) if keys and len(xs) > 1 else parts.short
+    return Parts(repeated(short), None if parts.long is None else repeated(parts.long),
+                 parts.long_keys * len(xs), parts.long_rows * len(xs))
 
 
 def granger_all_lags(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Sequence[str], y: str,
@@ -250,12 +290,14 @@ def granger_all_lags(df: DataFrame, keys: Sequence[str], order: Sequence[str], x
     lags = sorted(set(lags))
     if not lags or lags[0] < 1:
         raise ValueError("lags must be positive")
-    rows = _driver_rows(df, keys, order, xs, y)
+    parts = _driver_rows(df, keys, order, xs, y, max_rows)
     by = [*keys, "driver"]
     if jitter_seed is not None:
-        rows = rows.withColumns({c: _jittered(F.col(c), jitter_seed, c, by, order) for c in ("x", "y")})
+        moved = {c: _jittered(F.col(c), jitter_seed, c, by, order) for c in ("x", "y")}
+        parts = parts._replace(short=parts.short.withColumns(moved),
+                               long=parts.long and parts.long.withColumns(moved))
     m = lags[-1]
-    sums = _lag_sums(rows, by, order, m, max_rows)
+    sums = _lag_sums(parts, by, order, m, max_rows)
     stat = _solver(lags, m, dof_mode)("__n", "__sums", "__ends_x", "__ends_y")
 
     def number(at: Column) -> Column:

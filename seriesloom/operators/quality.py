@@ -93,12 +93,12 @@ def unmatched_keys(df: DataFrame, key: str, dictionary: DataFrame, dictionary_ke
                    lower_dictionary: bool = True, lower_input: bool = False) -> DataFrame:
     """Distinct values of ``key`` missing in the dictionary, as a column named ``key``.
 
-    Repeats are removed before the shuffle, so a frequent key costs one row per task.
+    Repeats are removed on both sides before the shuffle, so a frequent key or word costs one row per task.
     """
     wanted = F.lower(key) if lower_input else F.col(key)
     known = F.lower(dictionary_key) if lower_dictionary else F.col(dictionary_key)
     keys = df.select(wanted.alias(key)).distinct()
-    words = dictionary.select(known.alias("__known"))
+    words = dictionary.select(known.alias("__known")).distinct()
     return keys.join(words, F.col(key) == F.col("__known"), "left_anti")
 
 

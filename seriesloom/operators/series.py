@@ -79,6 +79,9 @@ def separate_long(df: DataFrame, keys: Sequence[str], max_rows: int | None = MAX
     """
     if max_rows is None:
         return Parts(df)
+    if not keys:
+        n_rows = df.count()
+        return Parts(df) if n_rows <= max_rows else Parts(df.limit(0), df, 1, n_rows)
     # Kept for the joins below; if an executor is lost, counting again gives the same keys.
     long_keys = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
                  .where(F.col("__rows") > max_rows)).persist()

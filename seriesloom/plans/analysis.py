@@ -67,9 +67,12 @@ def climate_causality_by_state(panel: DataFrame, max_lag: int = MAX_LAG,
 
 
 def inbound_flights(worldwide: DataFrame, traffic: DataFrame, country: str = "US") -> DataFrame:
-    """Flights into one country with the case rows of their origin country on that date."""
+    """Flights into one country with the case rows of their origin country on that date.
+
+    The case side, one row per country and day, is measured and broadcast if small: then no flight moves.
+    """
     inbound = traffic.where(F.col("destination_iso_country") == country).withColumnRenamed("date", "__date")
-    joined = worldwide.join(
+    joined = enrich.small_side(worldwide).join(
         inbound, (F.col("Date") == F.col("__date")) & (F.col("origin_country") == F.col("Country")), "inner")
     return joined.drop("__date").withColumn(
         "destination_region", S.region_suffix(F.col("destination_region")))

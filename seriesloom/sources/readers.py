@@ -1,11 +1,14 @@
 """CSV readers with declared schemas: no inference pass, unreadable cells become NULL.
 
-Columns of header files are found by name, so extra columns do no harm. Only the first line of
-one file is looked at up front; the scan then parses just the wanted columns.
+Columns of header files are found by name in every file, so extra columns and changed orders do
+no harm. A narrow job looks at the first line of each file; files are then read in groups of one header.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,38 +22,54 @@ def _struct(spark: SparkSession, ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, quote: str = '"', escape: str = '"',
+def _headers(spark: SparkSession, paths: list[str], recursive: bool) -> dict[str, list[str]]:
+    """Files by header line: one row per file reaches the driver, as with Spark's own file listing."""
+    lines = spark.read.option("recursiveFileLookup", recursive).text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("line"), "value")
+    first = lines.where("at = 0 AND trim(value) <> ''").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for row in first.collect():
+        groups.setdefault(row["header"].strip(), []).append(row["file"])
+    return groups
+
+
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str, quote: str = '"', escape: str = '"',
              sep: str = ",", recursive: bool = False) -> DataFrame:
     """Read header CSV files and keep the columns of ``schema`` with their types.
 
-    Files of one path share a column order. A cell that does not fit its type becomes NULL.
+    ``path`` is one path or a list. Files may order their columns differently: each is read by its own
+    header. A cell that does not fit its type becomes NULL.
     """
     reader = (spark.read.option("header", True).option("quote", quote).option("escape", escape)
-              .option("sep", sep).option("recursiveFileLookup", recursive).option("mode", "PERMISSIVE"))
-    raw = reader.csv(path)
+              .option("sep", sep).option("mode", "PERMISSIVE").option("enforceSchema", False))
     fields = _struct(spark, schema).fields
-    present = {c.lower(): c for c in raw.columns}
-    missing = [f.name for f in fields if f.name.lower() not in present]
-    if missing:
-        raise ValueError(f"{path}: columns {missing} not found in {raw.columns}")
-    return raw.select(*[
-        F.col(f"`{present[f.name.lower()]}`").try_cast(f.dataType).alias(f.name) for f in fields])
-
-
-def read_csv_tree(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
+    parts = []
+    for files in _headers(spark, [path] if isinstance(path, str) else list(path), recursive).values():
+        raw = reader.csv(files)
+        present = {c.lower(): c for c in raw.columns}
+        missing = [f.name for f in fields if f.name.lower() not in present]
+        if missing:
+            raise ValueError(f"{files[0]}: columns {missing} not found in {raw.columns}")
+        parts.append(raw.select(*[
+            F.col(f"`{present[f.name.lower()]}`").try_cast(f.dataType).alias(f.name) for f in fields]))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _struct(spark, schema))
+
+
+def read_csv_tree(spark: SparkSession, path: str | Sequence[str], schema: str, **options: str) -> DataFrame:
     """Read every CSV file below a directory as one table."""
     return read_csv(spark, path, schema, recursive=True, **options)
 
 
-def read_positional_csv(spark: SparkSession, path: str, schema: str, sep: str = ",",
+def read_positional_csv(spark: SparkSession, path: str | Sequence[str], schema: str, sep: str = ",",
                         corrupt: str | None = None) -> DataFrame:
-    """Read headerless files by position. ``corrupt`` names a column for lines that do not fit."""
+    """Read headerless files (one path or a list) by position. ``corrupt`` names a column for lines that do not fit."""
     declared = _struct(spark, schema)
     reader = spark.read.option("header", False).option("sep", sep).option("mode", "PERMISSIVE")
     if corrupt:
         declared = declared.add(corrupt, "string")
         reader = reader.option("columnNameOfCorruptRecord", corrupt)
-    return reader.schema(declared).csv(path)
+    return reader.schema(declared).csv(path if isinstance(path, str) else list(path))
 
 
 def typed(df: DataFrame, types: dict[str, str], dates: dict[str, str] | None = None) -> DataFrame:

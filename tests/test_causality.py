@@ -192,3 +192,42 @@ def test_golden_scan(spark, scale):
             r = found[row[1]]
             assert (round(r["f"], 6), round(r["p"], 6), r["lag"]) == (f, p, lag)
             assert r["n"] == row[2] - lag
+
+
+@pytest.mark.parametrize("n, max_rows", [(300, None), (3000, None), (20_000, None), (3000, 400), (20_000, 4000)])
+def test_trending_series_keep_every_lag(spark, n, max_rows):
+    """Twice-summed noise: levels are nearly collinear, and more so the longer the series."""
+    rnd = np.random.default_rng(n)
+    x, y = rnd.normal(size=n).cumsum().cumsum(), rnd.normal(size=n)
+    y[1:] += 0.3 * np.diff(np.diff(x, prepend=0), prepend=0)[:-1]
+    y = y.cumsum().cumsum()
+    found = all_lags(spark, {"t": (x, y)}, max_rows=max_rows)
+    dx, dy = np.diff(x, prepend=0), np.diff(y, prepend=0)
+    for lag in range(1, 15):
+        # the same space in a well-conditioned form: level and differences, target differenced
+        own = [(y - y.mean())[lag - 1:-1], *[dy[lag - k:-k] for k in range(1, lag)]]
+        other = [(x - x.mean())[lag - 1:-1], *[dx[lag - k:-k] for k in range(1, lag)]]
+
+        def rss(columns):
+            a = np.column_stack([np.ones(n - lag), *[c / c.std() for c in columns]])
+            q, _ = np.linalg.qr(a)
+            target = dy[lag:]
+            for _ in range(2):
+                target = target - q @ (q.T @ target)
+            return float((target ** 2).sum())
+
+        r0, r1 = rss(own), rss(own + other)
+        f = ((r0 - r1) / lag) / (r1 / (n - 3 * lag))
+        r = found[("t", lag)]
+        assert r["f"] == pytest.approx(f, rel=1e-6)
+        assert r["p"] == pytest.approx(float(f_upper_tail(f, lag, n - 3 * lag - 1)), rel=1e-5, abs=1e-12)
+
+
+def test_rows_move_once_for_all_drivers(spark):
+    wide = spark.range(1000).selectExpr("id % 7 AS k", "id AS d", "rand(1) AS a", "rand(2) AS b", "rand(3) AS c", "rand(4) AS y")
+    found = causality.granger_panel(wide, ["k"], ["d"], ["a", "b", "c"], "y", max_lag=2, max_rows=None)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Generate"):]
+    assert "Exchange hashpartitioning(k" in below
+    window_parts = plan[:plan.index("Generate")].split("Window")
+    assert len(window_parts) > 1 and all("Exchange" not in part for part in window_parts[1:])

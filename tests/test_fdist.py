@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.functions.fdist import f_tail, f_upper_tail, log_gamma
@@ -44,3 +45,31 @@ def test_column_function(spark):
     df = spark.createDataFrame([(1.5, 2.0, 10.0), (None, 2.0, 10.0)], "f double, a double, b double")
     out = [r[0] for r in df.select(f_tail("f", "a", F.col("b"))).collect()]
     assert abs(out[0] - (1 + 3 / 10) ** -5) < 1e-14 and out[1] is None
+
+
+def test_huge_degrees_of_freedom_approach_the_chi_square_limit():
+    f = np.array([0.3, 0.9, 1.5, 2.5])
+    for d1 in (1, 2, 14, 40):
+        limit = f_upper_tail(f, d1, 1e15)
+        near = f_upper_tail(f, d1, 1e12)
+        assert np.abs(near - limit).max() < 1e-9
+        if d1 == 2:  # the exponential distribution
+            assert np.abs(near - np.exp(-f)).max() < 1e-9
+    # even d1: a finite sum
+    half = 7 * f
+    exact = np.exp(-half) * sum(half ** k / float(math.factorial(k)) for k in range(7))
+    assert np.abs(f_upper_tail(f, 14, 1e12) - exact).max() < 1e-9
+
+
+def test_ways_agree_where_they_meet():
+    f = np.array([0.9, 0.9999, 1.0, 1.0002, 1.1])
+    for d1, d2 in ((14, 2e7), (3, 2e7), (2e6, 2e6), (2e6, 8e6), (2e7, 9)):
+        below, above = f_upper_tail(f, d1 * 0.999999, d2 * 0.999999), f_upper_tail(f, d1 * 1.000001, d2 * 1.000001)
+        assert np.abs(below - above).max() < 1e-5
+    assert f_upper_tail(1.0, 1e12, 1e12) == pytest.approx(0.5, abs=1e-9)
+
+
+def test_no_finite_input_is_undefined():
+    f, d1, d2 = np.meshgrid([0.0, 1e-9, 0.5, 1.0, 3.0, 1e6, 1e12], [1, 14, 1e4, 1e7, 1e12], [1, 30, 1e5, 1e8, 1e12])
+    p = f_upper_tail(f, d1, d2)
+    assert np.isfinite(p).all() and (p >= 0).all() and (p <= 1).all()

@@ -74,3 +74,15 @@ def test_hot_series_never_meet_in_one_window(spark, monkeypatch):
     out = series.growth(events, ["event_type"], ["ts", "event_id"], "value", max_rows=50)
     assert out.count() == events.count() == seen["inner"] + seen["border"]
     assert seen["border"] < seen["inner"] / 10
+
+
+def test_flights_do_not_move_to_meet_the_cases(spark):
+    plan = plan_of(queries.inbound_with_cases(spark, SF))
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins if "SortMergeJoin" in line or "Broadcast" in line)
+    assert "SortMergeJoin" not in plan
+
+
+def test_repeated_dictionary_words_are_combined_before_the_shuffle(spark):
+    plan = plan_of(queries.QUERIES["unmatched_labels"](spark, SF))
+    assert plan.count("HashAggregate") >= 4

@@ -65,3 +65,24 @@ def test_schema_report(spark):
     rows = sinks.schema_report({"a": spark.range(1), "b": spark.sql("SELECT 1 AS x, 'y' AS z")}).collect()
     assert [(r["dataset"], r["position"], r["column"], r["type"]) for r in rows] == [
         ("a", 0, "id", "bigint"), ("b", 0, "x", "int"), ("b", 1, "z", "string")]
+
+
+def test_files_with_different_column_orders_are_united_by_name(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "two.csv").write_text("b,a\n2,1\n")
+    deep = tmp_path / "deep"
+    deep.mkdir()
+    (deep / "three.csv").write_text("c,b,a\n9,2,1\n8,2,1\n")
+    rows = readers.read_csv_tree(spark, str(tmp_path), "a int, b int").collect()
+    assert [tuple(r) for r in rows] == [(1, 2)] * 4
+
+
+def test_a_list_of_paths_is_one_table(spark, tmp_path):
+    paths = []
+    for i in range(3):
+        paths.append(str(tmp_path / f"{i}.csv"))
+        (tmp_path / f"{i}.csv").write_text(f"a\n{i}\n")
+    assert sorted(r.a for r in readers.read_csv(spark, paths, "a int").collect()) == [0, 1, 2]
+    (tmp_path / "4.csv").write_text("x\n1\n")
+    with pytest.raises(ValueError):
+        readers.read_csv(spark, [*paths, str(tmp_path / "4.csv")], "a int")
