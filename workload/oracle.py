@@ -301,7 +301,7 @@ ORACLE: dict[str, str] = {
         profile_row(dataset, table, column, type_)
         for dataset, table, columns in PROFILED for column, type_ in columns)),
     "unmatched_keys": "SELECT doc_id FROM (SELECT DISTINCT doc_id FROM documents) ANTI JOIN labels USING (doc_id)",
-    "unmatched_labels": """SELECT DISTINCT name FROM (SELECT lower('BRAND#' || substr(source, 4, 9)) name FROM documents)
+    "unmatched_labels": """SELECT DISTINCT name FROM (SELECT 'brand#' || (CAST(substr(source, 4, 9) AS INTEGER) + 16) name FROM documents)
         WHERE name NOT IN (SELECT lower(p_brand) FROM part)""",
     "unmatched_sample": """SELECT doc_id FROM (SELECT DISTINCT doc_id FROM documents) ANTI JOIN labels USING (doc_id)
         ORDER BY doc_id LIMIT 10""",
@@ -336,3 +336,24 @@ ORACLE: dict[str, str] = {
         CAST(user_id AS DOUBLE) x, value y FROM events""", range(1, 4), """SELECT g event_type, CAST(lag AS INTEGER) lag,
         CAST(n AS BIGINT) n, round(f, 6) f, round(p, 6) p FROM tested"""),
 }
+
+# On running totals, with the difference of y as target: same residuals, and sums that keep their digits.
+ORACLE["granger_totals"] = (
+    ORACLE["granger_lag1"].replace("corr(y, y1)", "corr(y - y1, y1)").replace("corr(y, x1)", "corr(y - y1, x1)")
+    .replace("FROM (SELECT o_orderpriority g, ", "FROM (SELECT g, m, sum(x) OVER s x, sum(y) OVER s y FROM (SELECT o_orderpriority g, ")
+    .replace("y FROM orders GROUP BY 1, 2)", "y FROM orders GROUP BY 1, 2) WINDOW s AS (PARTITION BY g ORDER BY m))"))
+ORACLE |= {
+    "csv_header": "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders",
+    "csv_quoted_tree": "SELECT event_id, user_id, value, props FROM events",
+    "csv_positional": "SELECT c_custkey k, c_name AS name, CAST(c_nationkey AS INTEGER) nation FROM customer",
+    "saved_table": """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) d, count(*) orders, o_orderpriority k
+        FROM orders GROUP BY ALL""",
+    "saved_files": "SELECT o_orderpriority k, CAST(o_orderdate AS DATE) d, count(*) v FROM orders GROUP BY ALL",
+    "csv_density": ORACLE["density"],
+    "csv_us_cases": ORACLE["us_cases"],
+    "csv_global_cases": ORACLE["global_cases"],
+    "csv_mobility_factor": ORACLE["mobility_factor"],
+    "csv_air_traffic": ORACLE["air_traffic"],
+    "run_all_causality": ORACLE["granger_panel"],
+    "run_all_flights": ORACLE["inbound_with_cases"],
+}

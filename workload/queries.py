@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,7 @@ from seriesloom.functions.fdist import f_tail
 from seriesloom.operators import causality, enrich, features, quality, series
 from seriesloom.plans import analysis
 from seriesloom.storage import written_table
+from workload import files
 from workload import tables as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,8 +229,9 @@ def unmatched_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unmatched_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Lower-cased source names of the documents checked against brand names of the parts."""
-    names = W.table(spark, sf, "documents").select(F.concat(F.lit("BRAND#"), F.substring("source", 4, 9)).alias("name"))
+    """Lower-cased names made from the documents' sources, checked against brand names of the parts."""
+    number = F.substring("source", 4, 9).cast("int") + 16
+    names = W.table(spark, sf, "documents").select(F.concat(F.lit("BRAND#"), number.cast("string")).alias("name"))
     return quality.unmatched_keys(names, "name", W.table(spark, sf, "part"), "p_brand", lower_input=True)
 
 
@@ -237,6 +239,12 @@ def unmatched_sample(spark: SparkSession, sf: str) -> DataFrame:
     return quality.unmatched_sample(unmatched_keys(spark, sf))
 
 
+# --- files ----------------------------------------------------------------------------
+
+def rounded_result(query: Query) -> Query:
+    return lambda spark, sf: rounded(query(spark, sf))
+
+
 # --- causality ------------------------------------------------------------------------
 
 def f_tail_closed_form(spark: SparkSession, sf: str) -> DataFrame:
@@ -290,6 +298,17 @@ def granger_events(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(found.select("event_type", F.inline("results")))
 
 
+def granger_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Running totals of value and count per priority: trending series."""
+    months = W.monthly_orders(spark, sf)
+    # one row per priority and calendar month
+    so_far = Window.partitionBy("k").orderBy("d")
+    totals = months.select("k", "d", F.sum("price").over(so_far).alias("price"),
+                           F.sum("orders").over(so_far).cast("double").alias("orders"))
+    found = causality.granger_lag(totals, ["k"], ["d"], "price", "orders", 1, max_rows=None)
+    return rounded(found.select("k", "n", "f", "p"))
+
+
 QUERIES: dict[str, Query] = {
     "drop_nulls": drop_nulls,
     "filter_col_ne_col": filter_col_ne_col,
@@ -336,4 +355,17 @@ QUERIES: dict[str, Query] = {
     "granger_pooled": granger_pooled,
     "granger_by_state": granger_by_state,
     "granger_events": granger_events,
+    "granger_totals": granger_totals,
+    "csv_header": files.csv_header,
+    "csv_quoted_tree": files.csv_quoted_tree,
+    "csv_positional": files.csv_positional,
+    "saved_table": files.saved_table,
+    "saved_files": files.saved_files,
+    "csv_density": rounded_result(files.loaded("population_density")),
+    "csv_us_cases": files.loaded("us_cases"),
+    "csv_global_cases": files.loaded("global_cases"),
+    "csv_mobility_factor": rounded_result(files.loaded("social_distancing")),
+    "csv_air_traffic": files.loaded("air_traffic"),
+    "run_all_causality": rounded_result(files.whole_run("granger_result_table")),
+    "run_all_flights": files.whole_run("Air_Traffic_Cases"),
 }
