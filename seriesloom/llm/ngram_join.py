@@ -18,8 +18,8 @@ the n - ceil(0.8 n) + 1 rarest must contain one that the partner has as well (de
 remove them all). A set whose rarest elements are its own alone needs no search.
 
 **Exact check.** Candidates are compared element by element. Where many sets share an element, each is
-compared with the first; then only sets that are still in different components are compared with each
-other. So a large group of near copies costs about one comparison per copy, and no link between
+compared with the first; then the sets of buckets that are still in different components are compared
+with each other, block by block. So a large group of near copies costs about one comparison per copy, and no link between
 components is lost. Exact copies are represented by the one with the smallest id.
 """
 
@@ -45,6 +45,8 @@ SMALL = 50
 # Segments emitted per difference that must be survived, and growth of the size bands.
 SPARE, BAND_GROWTH = 1.4, 1.6
 SCHEME_BITS = 6
+# Elements of the sets in one block of a large group.
+BLOCK_SHINGLES = 50_000
 
 
 def most_differences(size: int) -> int:
@@ -288,6 +290,80 @@ def rare_elements(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return written_table(shared.where(F.col("place") <= chosen).select("key", "id"))
 
 
+def members_apart(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """``id, component, cluster``: members of large buckets whose members are not all linked by now.
+
+    Clusters join the buckets that have members in common.
+    """
+    members = found.where("key IS NOT NULL").select("key", F.col("a").alias("id"))
+    members = members.join(labels.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").select(
+        "key", "id", F.coalesce("component", "id").alias("component"))
+    buckets = members.groupBy(F.col("key").alias("open")).agg(
+        F.min("id").alias("first"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    apart = written_table(members.join(buckets.select("open", "first"), F.col("key") == F.col("open"))
+                          .select("id", "component", "first").distinct())
+    clusters = connected_components(apart.select(F.col("id").alias("a"), F.col("first").alias("b")))
+    return apart.select("id", "component").distinct().join(clusters.withColumnsRenamed(
+        {"id": "__id", "component": "cluster"}), F.col("id") == F.col("__id")).drop("__id")
+
+
+def links_between_blocks(members: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) within the clusters of ``members`` that join components.
+
+    A cluster is ordered by set size and cut into blocks of about ``BLOCK_SHINGLES`` elements. Each two
+    blocks of sizes that can match meet in one task, which compares their sets by an inverted
+    index and yields only links that join what is not yet joined: no pair leaves the task otherwise.
+    """
+    sizes = nodes.groupBy(F.col("doc_id").alias("__id")).agg(F.max("n_shingles").alias("n"))
+    in_order = Window.partitionBy("cluster").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = members.join(sizes, F.col("id") == F.col("__id")).drop("__id").withColumn(
+        "block", F.floor((F.sum("n").over(in_order) - F.col("n")) / BLOCK_SHINGLES))
+    placed = written_table(placed)
+    blocks = placed.groupBy(F.col("cluster").alias("of"), F.col("block").alias("other")).agg(
+        F.min("n").alias("low"), F.max("n").alias("high"))
+    texts = docs.join(placed, F.col("doc_id") == F.col("id"))
+    meets = texts.join(blocks, F.col("cluster") == F.col("of")).where("5 * high >= 4 * n AND 5 * n >= 4 * low")
+    rows = meets.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                        "id", "component", "text")
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, group, waiting = WordHashes(), None, []
+
+        def links_of(rows: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            if len({component for _, component, _ in rows}) < 2:
+                return
+            sizes = np.array([len(s) for _, _, s in rows])
+            owner = np.repeat(np.arange(len(rows)), sizes)
+            _, token = np.unique(np.concatenate([s for _, _, s in rows]), return_inverse=True)
+            order = np.argsort(token, kind="stable")
+            postings, starts = owner[order], np.searchsorted(token[order], np.arange(token.max() + 2))
+            label = np.array([component for _, component, _ in rows])
+            ends, links = np.cumsum(sizes), []
+            for x in range(len(rows)):
+                mine = token[ends[x] - sizes[x]:ends[x]]
+                met = np.concatenate([postings[starts[t]:starts[t + 1]] for t in mine])
+                common = np.bincount(met, minlength=len(rows))
+                alike = np.flatnonzero(100 * common >= 80 * (sizes[x] + sizes - common))
+                for y in alike[label[alike] != label[x]].tolist():
+                    if label[y] != label[x]:
+                        links.append((rows[x][0], rows[y][0]))
+                        label[label == label[y]] = label[x]
+            if links:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
+
+        for batch, texts in text_chunks(batches):
+            for row, text in zip(batch.drop_columns(["text"]).to_pylist(), texts):
+                key = (row["cluster"], row["i"], row["j"])
+                if key != group:
+                    yield from links_of(waiting)
+                    group, waiting = key, []
+                waiting.append((row["id"], row["component"], shingle_set(words.of(text.lower().split()))))
+        yield from links_of(waiting)
+
+    ordered = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return written_table(ordered.mapInArrow(compare, "a long, b long"))
+
+
 def linked_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs`` (doc_id, text).
 
@@ -319,17 +395,7 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     found = written_table(bucket_rows(elements).distinct())
     links = links.union(similar_pairs(found.select("a", "b").distinct(), docs, identified))
 
-    # members of large buckets that are still apart
-    labels = connected_components(links)
-    members = found.where("key IS NOT NULL").select("key", F.col("a").alias("id"))
-    members = members.join(labels.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component"))
-    apart = members.groupBy(F.col("key").alias("open")).agg(
-        F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    members = written_table(members.join(apart, F.col("key") == F.col("open"), "left_semi"))
-    others = members.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-    pairs = members.join(others, "key").where("id < b AND component <> other").select(F.col("id").alias("a"), "b")
-    links = links.union(similar_pairs(pairs.distinct(), docs, identified))
+    links = links.union(links_between_blocks(members_apart(found, connected_components(links)), docs, identified))
 
     labels = connected_components(links).withColumnRenamed("id", "__id")
     return nodes.join(labels, F.col("rep") == F.col("__id"), "left").select(

@@ -166,3 +166,19 @@ def test_leaks_run_no_python(spark):
     plan = decontamination.contaminated(spark.read.parquet(f"{SF}/documents.parquet"), benchmark)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert not any(k in text for k in ("Python", "Arrow", "Pandas", "Cartesian", "NestedLoop"))
+
+
+@pytest.mark.parametrize("block", [ngram_join.BLOCK_SHINGLES, 700])
+def test_large_group_around_the_threshold(spark, monkeypatch, block):
+    """Copies with one to nine edits: some are linked, some only through others, some with nothing."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
+    rng = random.Random(8)
+    base, rows = words(rng, 130), []
+    for i in range(90):
+        copy = list(base)
+        for _ in range(1 + i % 9):
+            copy[rng.randrange(len(copy))] = f"edit{rng.randrange(10 ** 6)}"
+        rows.append((i * 3, " ".join(copy), "en", "s", 1, 1, 1, "x"))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_documents(frame(spark, rows)).collect()}
+    assert found == components([r[:2] for r in rows])
+    assert 3 < len({c for _, c in found.values()}) < 90
