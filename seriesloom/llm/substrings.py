@@ -8,7 +8,8 @@ whose words also start in a document with a smaller doc_id. In three steps:
    the windows left are counted by 64-bit hash, which gives each recurring window its first document.
 2. The recurring passages are cut out of their first documents as phrases. Phrases are dealt to shards
    of bounded size, and each shard is compiled into an Aho-Corasick automaton over words. Its patterns are
-   the phrases' runs of ``SEED`` words at every ``SEED``-th place: each window of a phrase holds one whole.
+   runs of ``SEED`` words of the phrases, so chosen that each window of a phrase holds one whole, and
+   the rarest in the shard where there is a choice.
 3. Every document that holds a recurring passage is streamed through the automata of the shards
    it needs; each pattern found is extended to both sides, word by word, as far as the phrase goes.
 
@@ -35,9 +36,9 @@ WINDOW, ANCHOR = 13, 5
 # Windows of a long document are dealt in blocks of so many starts.
 BLOCK_WORDS = 20_000
 # Windows per automaton, and bytes of text that one copy of an automaton reads.
-SHARD_WINDOWS = 300_000
+SHARD_WINDOWS = 150_000
 SHARD_BYTES = 16_000_000
-# A window has a whole aligned run of so many words wherever it starts.
+# Words of a pattern. A window holds seven such runs.
 SEED = (WINDOW + 1) // 2
 
 
@@ -138,27 +139,34 @@ def phrases(sources: DataFrame) -> DataFrame:
 
 
 class PhraseAutomaton:
-    """Aho-Corasick automaton of the aligned runs of phrases, over numbered words."""
+    """Aho-Corasick automaton of chosen runs of phrases, over numbered words."""
 
     def __init__(self):
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         self.numbers: dict[bytes, int] = {}
         self.phrases: list[tuple[list[int], int]] = []
-        self.places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         self.ready = False
 
     def add(self, phrase: bytes, source: int) -> None:
-        numbers, places = self.numbers, self.places
-        coded = [numbers.setdefault(w, len(numbers) + 1) for w in phrase.split()]
-        for at in range(0, len(coded) - SEED + 1, SEED):
-            places.setdefault(tuple(coded[at:at + SEED]), []).append((len(self.phrases), at))
-        self.phrases.append((coded, source))
+        numbers = self.numbers
+        self.phrases.append(([numbers.setdefault(w, len(numbers) + 1) for w in phrase.split()], source))
 
     def _compile(self) -> None:
-        for run, places in self.places.items():
-            self.automaton.add_word(run, places)
+        """Choose, for each window not yet covered, the run with the fewest occurrences in the shard."""
+        runs = [gram_hashes(np.array(p, np.uint64), SEED) for p, _ in self.phrases]
+        _, inverse, counts = np.unique(np.concatenate(runs), return_inverse=True, return_counts=True)
+        often = np.split(counts[inverse], np.cumsum([len(r) for r in runs])[:-1])
+        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for number, (phrase, _) in enumerate(self.phrases):
+            uses, start = often[number].tolist(), 0
+            while start + WINDOW <= len(phrase):
+                at = min(range(start, start + WINDOW - SEED + 1), key=lambda p: (uses[p], -p))
+                places.setdefault(tuple(phrase[at:at + SEED]), []).append((number, at))
+                start = at + 1
+        for run, found in places.items():
+            self.automaton.add_word(run, found)
         self.automaton.make_automaton()
-        self.places, self.ready = {}, True
+        self.ready = True
 
     def covered(self, text: bytes, doc_id: int) -> list[tuple[int, int]]:
         """Spans of at least a window of words that are in a phrase of a source smaller than ``doc_id``."""
