@@ -57,6 +57,11 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__:
     op1_token_files, op2_license_scan, op3_warc_chain, op4_html_layout, op5_benchmark_leaks, op6_quality_rules,
     op7_ngram_join, op8_best_fit_packing, op9_repeated_phrases, op10_toxicity_models)}
 
-# Shingle joins, automata, tokenizers and models have no SQL form that is right on whole tables;
+# Shingle joins, automata, tokenizers and models have no SQL form that is right and fast on whole tables;
 # tests/llm compares them with brute force, round trips and held-out labels.
-LLM_ORACLE: dict[str, str] = {}
+LLM_ORACLE: dict[str, str] = {
+    "op3_warc_chain": """SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
+        CASE WHEN strlen(h) >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN strlen(h) >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
+        FROM (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keeper FROM pages)""",
+}

@@ -99,6 +99,13 @@ def test_archives_of_the_test_tables(spark):
     assert found == expected_records(pages)
 
 
+def test_archives_equal_sql(spark):
+    from compare import connect, differences
+    from seriesloom.llm.queries import LLM_ORACLE
+    for name, sql in LLM_ORACLE.items():
+        assert differences(spark, connect(SF), LLM_QUERIES[name], sql, SF) == []
+
+
 # --- HTML
 
 @pytest.mark.parametrize("source, text", [
