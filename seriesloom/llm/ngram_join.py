@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm.common import WordHashes, gram_hashes, mixed, text_chunks
 from seriesloom.llm.components import connected_components
+from seriesloom.operators.enrich import small_side
 from seriesloom.storage import written_table
 
 GRAM = 5
@@ -225,7 +226,7 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFr
     mapped = written_table(mapped.select(F.least("rep_a", "rep_b").alias("a"),
                                          F.greatest("rep_a", "rep_b").alias("b")).distinct())
     needed = mapped.select(F.col("a").alias("__id")).union(mapped.select("b")).distinct()
-    texts = written_table(docs.join(needed, F.col("doc_id") == F.col("__id"), "left_semi"))
+    texts = written_table(docs.join(small_side(needed), F.col("doc_id") == F.col("__id"), "left_semi"))
     rows = mapped.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -276,7 +277,7 @@ def slack(nodes: DataFrame, frequent: DataFrame) -> DataFrame:
 
 def rare_elements(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``key, id``: for each set of ``ids``, the elements of its rarest part that others have as well."""
-    sets = document_sets(docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi"))
+    sets = document_sets(docs.join(small_side(ids), F.col("doc_id") == F.col("id"), "left_semi"))
     sets = written_table(sets.withColumn("set", F.monotonically_increasing_id()))
     each = sets.select("set", "id", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
     often = each.groupBy("key").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
@@ -321,7 +322,7 @@ def links_between_blocks(members: DataFrame, docs: DataFrame, nodes: DataFrame)
     placed = written_table(placed)
     blocks = placed.groupBy(F.col("cluster").alias("of"), F.col("block").alias("other")).agg(
         F.min("n").alias("low"), F.max("n").alias("high"))
-    texts = docs.join(placed, F.col("doc_id") == F.col("id"))
+    texts = docs.join(small_side(placed), F.col("doc_id") == F.col("id"))
     meets = texts.join(blocks, F.col("cluster") == F.col("of")).where("5 * high >= 4 * n AND 5 * n >= 4 * low")
     rows = meets.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                         "id", "component", "text")
