@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,9 @@ DISCOUNT = 0.75
 WINDOW = 8
 # Folds of crc32(doc_id as text): 0 is never learned from, 1 fits the curve, the rest the models.
 FOLDS, HELD_OUT, CURVE_FOLD = 5, 0, 1
-# Most labelled documents learned from (those with the smallest hash), and most grams of the models.
+# Most labelled documents learned from (those with the smallest hash).
 MAX_LABELLED = 1_000_000
+# Most grams of the models that go to every task; with more of them words are scored by joins.
 MAX_GRAMS = 8_000_000
 # Distinct words a task holds before it passes their counts on.
 HELD_WORDS = 400_000
@@ -180,8 +182,8 @@ class Model(NamedTuple):
         return np.add.reduceat(each, starts)
 
 
-def train_models(labelled: DataFrame, max_grams: int = MAX_GRAMS) -> Model:
-    """Both class models as ratios; at most ``max_grams`` grams, the rarest left out beyond that."""
+def train_models(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both class models as tables of ratios: ``gram, ratio`` (stored) and ``ctx, ratio``; no gram is left out."""
     counts = written_table(gram_counts(labelled))
     seen = counts.where("toxic + ordinary > 0").withColumn("ctx", _context("gram"))
     totals = seen.groupBy("ctx").agg(*[f for c in ("toxic", "ordinary") for f in (
@@ -198,41 +200,57 @@ def train_models(labelled: DataFrame, max_grams: int = MAX_GRAMS) -> Model:
 
     shared = shared_backoff(counts)
     grams = seen.join(totals, "ctx").join(shared, _suffix("gram", ORDER - 1) == F.col("suffix")).select(
-        "gram", (F.col("toxic") + F.col("ordinary")).alias("uses"),
-        F.log(probability("toxic") / probability("ordinary")).cast("float").alias("ratio"))
-    contexts = totals.select("ctx", F.col("toxic_total").alias("t"), F.col("ordinary_total").alias("o"),
-                             F.log(left_over("toxic") / left_over("ordinary")).cast("float").alias("ratio"))
-    grams = written_table(grams)
-    least = 1
-    while grams.where(F.col("uses") >= least).count() > max_grams:
-        least *= 2
-    kept = grams.where(F.col("uses") >= least).select("gram", "ratio").toArrow()
-    heads = contexts.where(F.col("t") + F.col("o") >= least).select("ctx", "ratio").toArrow()
+        "gram", F.log(probability("toxic") / probability("ordinary")).cast("float").alias("ratio"))
+    contexts = totals.select("ctx", F.log(left_over("toxic") / left_over("ordinary")).cast("float").alias("ratio"))
+    return written_table(grams), contexts
 
+
+def held_model(grams: DataFrame, contexts: DataFrame) -> Model:
+    """The tables of ``train_models`` in memory."""
     def ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         key, value = (table.column(i).to_numpy() for i in range(2))
         order = np.argsort(key)
         return key[order], value[order].astype(np.float32)
 
-    return Model(*ordered(kept), *ordered(heads))
+    return Model(*ordered(grams.toArrow()), *ordered(contexts.toArrow()))
 
 
 FEATURES = ("mean_ratio", "window_ratio", "word_ratio", "root_ratio")
 
 
-def document_features(labelled: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, fold, toxic`` and the length-normalised ratios of every document."""
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
-    schema = "doc_id long, fold long, toxic int, n_words long, " + ", ".join(f"{f} double" for f in FEATURES)
+def _described(ratios: np.ndarray) -> tuple[float, float, float, float]:
+    """The features of a document by the ratios of its words."""
+    n = len(ratios)
+    if not n:
+        return 0.0, 0.0, 0.0, 0.0
+    sums = np.concatenate([[0.0], np.cumsum(ratios)])
+    width = min(WINDOW, n)
+    window = float((sums[width:] - sums[:-width]).max()) / WINDOW
+    return sums[-1] / n, window, float(ratios.max()), sums[-1] / n ** 0.5
+
+
+_FEATURED = "doc_id long, fold long, toxic int, n_words long, " + ", ".join(f"{f} double" for f in FEATURES)
+
+
+def _featured(batch: pa.RecordBatch, ratios: list[np.ndarray]) -> pa.RecordBatch:
+    columns = [pa.array(c, pa.float64()) for c in zip(*map(_described, ratios))]
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id"), batch.column("fold"), batch.column("toxic"),
+         pa.array(list(map(len, ratios)), pa.int64()), *columns],
+        names=["doc_id", "fold", "toxic", "n_words", *FEATURES])
 
-    def describe(ratios: np.ndarray) -> tuple[float, float, float, float]:
-        n = len(ratios)
-        if not n:
-            return 0.0, 0.0, 0.0, 0.0
-        sums = np.concatenate([[0.0], np.cumsum(ratios)])
-        width = min(WINDOW, n)
-        window = float((sums[width:] - sums[:-width]).max()) / WINDOW
-        return sums[-1] / n, window, float(ratios.max()), sums[-1] / n ** 0.5
+
+def document_features(labelled: DataFrame, grams: DataFrame, contexts: DataFrame,
+                      max_grams: int = MAX_GRAMS, held_words: int = HELD_WORDS) -> DataFrame:
+    """``doc_id, fold, toxic`` and the length-normalised ratios of every document.
+
+    Up to ``max_grams`` grams go to every task. With more, distinct words meet the grams by joins;
+    the ``held_words`` most frequent words go to every task, the others by joins. The ratios are the same.
+    """
+    labelled = labelled.select("doc_id", "text", F.col("fold").cast("long").alias("fold"), "toxic")
+    if grams.count() > max_grams:
+        return _features_by_joins(labelled, word_ratios(labelled, grams, contexts), held_words)
+    shared = labelled.sparkSession.sparkContext.broadcast(held_model(grams, contexts))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
@@ -242,14 +260,91 @@ def document_features(labelled: DataFrame, model: Model) -> DataFrame:
                 known.clear()
             new = list({w for words in docs for w in words} - known.keys())
             known.update(zip(new, shared.value.word_ratios(list(map(_spelled, new))).tolist()))
-            rows = [describe(np.fromiter(map(known.__getitem__, words), float, len(words))) for words in docs]
-            columns = [pa.array(c, pa.float64()) for c in zip(*rows)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("fold"), batch.column("toxic"),
-                 pa.array(list(map(len, docs)), pa.int64()), *columns],
-                names=["doc_id", "fold", "toxic", "n_words", *FEATURES])
+            yield _featured(batch, [np.fromiter(map(known.__getitem__, words), float, len(words)) for words in docs])
 
-    return labelled.select("doc_id", "text", F.col("fold").cast("long").alias("fold"), "toxic").mapInArrow(score, schema)
+    return labelled.mapInArrow(score, _FEATURED)
+
+
+def word_ratios(labelled: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``word, uses, ratio`` of every distinct word, as spelled (stored).
+
+    A gram seen after no context of the labelled texts has ratio 0; Spark splits frequent grams.
+    """
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for _, texts in text_chunks(batches):
+            for text in texts:
+                counts.update(text.decode().lower().split())
+            if len(counts) > HELD_WORDS:
+                yield counted(counts)
+                counts = Counter()
+        if counts:
+            yield counted(counts)
+
+    def counted(counts: Counter) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(list(map(_spelled, counts)), pa.string()),
+                                pa.array(list(counts.values()), pa.int64())], names=["word", "uses"])
+
+    def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spelled, starts = spelling_grams(batch.column("word").to_pylist())
+            repeats = np.repeat(np.arange(batch.num_rows), np.diff(np.append(starts, len(spelled))))
+            yield pa.record_batch([batch.column("word").take(pa.array(repeats)), pa.array(spelled)], names=["word", "gram"])
+
+    words = written_table(labelled.select("text").mapInArrow(count, "word string, uses long")
+                          .groupBy("word").agg(F.sum("uses").alias("uses")))
+    each = words.select("word").mapInArrow(spell, "word string, gram long").withColumn("ctx", _context("gram"))
+    seen = grams.select(F.col("gram").alias("__gram"), F.col("ratio").alias("seen"))
+    heads = contexts.select(F.col("ctx").alias("__ctx"), F.col("ratio").alias("head"))
+    # one value per distinct gram first, so that words meet the grams in one join
+    values = (each.select("gram", "ctx").distinct().join(heads, F.col("ctx") == F.col("__ctx"))
+              .join(seen, F.col("gram") == F.col("__gram"), "left")
+              .select(F.col("gram").alias("__gram"), F.coalesce("seen", "head").alias("value")))
+    sums = (each.join(values, F.col("gram") == F.col("__gram"), "left").groupBy("word")
+            .agg(F.sum(F.coalesce(F.col("value").cast("double"), F.lit(0.0))).cast("float").alias("ratio")))
+    return written_table(words.join(sums, "word"))
+
+
+def _features_by_joins(labelled: DataFrame, ratios: DataFrame, held_words: int) -> DataFrame:
+    """``document_features`` with the ratios of words from a table of any size.
+
+    Documents are stored as ratios of their words with gaps for the rarer words, which are joined and filled in.
+    """
+    frequent = ratios.orderBy(F.desc("uses"), "word").limit(held_words).select("word", "ratio").toArrow()
+    shared = labelled.sparkSession.sparkContext.broadcast(dict(zip(*[c.to_pylist() for c in frequent.columns])))
+
+    def look_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get(), 0
+        for batch, texts in text_chunks(batches):
+            docs = [list(map(_spelled, t.decode().lower().split())) for t in texts]
+            known = [[shared.value.get(w) for w in words] for words in docs]
+            gaps = [[w for w, ratio in zip(words, row) if ratio is None] for words, row in zip(docs, known)]
+            ids = [f"{task.partitionId()}-{task.taskAttemptId()}-{n + i}" for i in range(len(docs))]
+            n += len(docs)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.string()), batch.column("doc_id"), batch.column("fold"), batch.column("toxic"),
+                 pa.array(known, pa.list_(pa.float32())), pa.array(gaps, pa.list_(pa.string()))],
+                names=["row", "doc_id", "fold", "toxic", "known", "gaps"])
+
+    def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for known, found in zip(batch.column("known").to_pylist(), batch.column("found").to_pylist()):
+                row = np.array(known, float)  # a gap is nan
+                by_word = {f["word"]: f["ratio"] for f in found or []}
+                gaps = iter(batch.column("gaps")[len(rows)].as_py())
+                for at in np.flatnonzero(np.isnan(row)):
+                    row[at] = by_word[next(gaps)]
+                rows.append(row)
+            yield _featured(batch, rows)
+
+    rows = written_table(labelled.mapInArrow(
+        look_up, "row string, doc_id long, fold long, toxic int, known array<float>, gaps array<string>"))
+    wanted = rows.select(F.col("row").alias("__row"), F.explode(F.array_distinct("gaps")).alias("word"))
+    found = (wanted.join(ratios.select("word", "ratio"), "word").groupBy("__row")
+             .agg(F.collect_list(F.struct("word", "ratio")).alias("found")))
+    filled = rows.join(found, F.col("row") == F.col("__row"), "left")
+    return filled.select("doc_id", "fold", "toxic", "known", "gaps", "found").mapInArrow(fill, _FEATURED)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
@@ -267,7 +362,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 5
     return weights
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
+                    max_grams: int = MAX_GRAMS, held_words: int = HELD_WORDS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` and the features of every row of ``docs`` (doc_id, text).
 
     Labels (doc_id, toxic 0 or 1) are learned only from folds other than 0; neither they nor any
@@ -277,7 +373,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     Other columns are ignored; an empty table gives an empty result.
     """
     labelled = labelled_documents(docs, labels, max_labelled)
-    features = written_table(document_features(labelled, train_models(labelled)))
+    features = written_table(document_features(labelled, *train_models(labelled), max_grams, held_words))
     sample = features.where((F.col("fold") == CURVE_FOLD) & F.col("toxic").isNotNull()).select("toxic", *FEATURES).toArrow()
     y = sample.column("toxic").to_numpy().astype(float)
     if len(set(y)) == 2:

@@ -222,6 +222,21 @@ def test_held_out_toxic_documents_are_found(spark):
     assert kept.columns == frame(spark, rows).columns and None in {r.doc_id for r in kept.collect()}
 
 
+def test_grams_beyond_the_held_ones_are_not_left_out(spark):
+    """Scores by joins, with few words held or none, equal those with the whole model in memory."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(1500).select("doc_id", "text").union(
+        spark.createDataFrame([(None, None), (-1, ""), (-2, "... Ünseen ... qqxqqx ...")], "doc_id long, text string"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    whole = {r.doc_id: tuple(r)[2:] for r in toxicity.toxicity_scores(docs, labels).collect()}
+    assert any(v[0] >= 0.5 for v in whole.values())
+    for held in (300, 0):
+        found = {r.doc_id: tuple(r)[2:] for r in toxicity.toxicity_scores(docs, labels, max_grams=10, held_words=held).collect()}
+        assert found.keys() == whole.keys()
+        for i, values in found.items():
+            assert values == pytest.approx(whole[i], abs=1e-3)
+
+
 def test_toxicity_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     one = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, toxic int")
