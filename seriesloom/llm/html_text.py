@@ -20,8 +20,10 @@ from seriesloom.llm.common import text_chunks
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object svg math "
-                   "datalist select canvas audio video".split())
+HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object "
+                   "datalist select canvas audio video desc metadata defs symbol clippath annotation annotation-xml".split())
+# Elements that stay inside <head>; any other tag, and text, ends it.
+HEAD_CONTENT = frozenset("head title meta link style script base basefont bgsound noframes template noscript".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset "
                   "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav "
                   "ol p pre search section summary table ul caption thead tbody tfoot tr optgroup option".split())
@@ -88,10 +90,17 @@ def build_tree(source: str) -> Node:
     def close_upto(index: int) -> None:
         del stack[index:]
 
+    def end_head() -> None:
+        """Close an open head, unless what comes is inside a template, noscript or the like."""
+        if stack[-1].name == "head":
+            stack.pop()
+
     while at < len(source):
         tag = _MARKUP.search(source, at)
         text = source[at:tag.start() if tag else None]
         if text:
+            if not _SPACES.fullmatch(text):
+                end_head()
             stack[-1].children.append(html.unescape(text) if "&" in text else text)
         if not tag:
             break
@@ -108,6 +117,8 @@ def build_tree(source: str) -> Node:
                 if stack[i].name in barrier or (stack[i].name in CELLS and name not in ("table", "tr")):
                     break
             continue
+        if name not in HEAD_CONTENT:
+            end_head()
         if name in ENDS_PARAGRAPH:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == "p":
@@ -131,6 +142,8 @@ def build_tree(source: str) -> Node:
             stack.append(row)
         node = Node(name, tag[3])
         stack[-1].children.append(node)
+        if name not in VOID and tag[3].endswith("/") and any(n.name in ("svg", "math") for n in stack):
+            continue  # only there a tag ends itself
         if name in RAW:
             end = re.compile(rf"</{name}[\s/>]", re.I).search(source, at)
             inner = source[at:end.start() if end else None]

@@ -127,6 +127,18 @@ def test_layout(source, text):
     assert html_text.visible_text(source).strip("\n") == text
 
 
+@pytest.mark.parametrize("source, text", [
+    ("<html><head><title>t</title><h1>a</h1><p>b", "a\n\nb"), ("<head><meta charset=x>plain", "plain"),
+    ("<!doctype html><html><head>\n<title>t</title>\n<link rel=x><style>p{}</style><script>1</script>\n<!-- c --><p>b", "b"),
+    ("<head><noscript><img alt=no></noscript><template><p>no</template><div>yes", "yes"),
+    ("<head><title>t</title></head>x<p>y", "x\n\ny"), ("<p>x<svg><title>no</title><text>drawn</text></svg>", "xdrawn"),
+    ("<svg><defs/><path d='x'/><desc>no</desc><text>drawn</text></svg><p>b", "drawn\n\nb"),
+    ("<math><mi>a</mi><mo>+</mo><mi>b</mi></math>", "a+b"),
+])
+def test_head_that_ends_unsaid_and_shown_elements(source, text):
+    assert html_text.visible_text(source).strip("\n") == text
+
+
 def test_extracted_pages(spark):
     pages = [(1, "u", "<p>é", "t", "p", "d"), (1, "u", "<p>é", "t", "p", "d"), (None, None, None, None, None, None)]
     found = html_text.extract_text(spark.createDataFrame(pages, PAGES)).collect()
