@@ -28,8 +28,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 # Payloads shorter than this are always stored.
 MIN_REVISIT_BYTES = 1000
 BLOCK_BYTES = 16 * 1024 * 1024
-# Longest record header that is read, and the part of it that is read first.
-MAX_HEADER, FIRST_READ = 1 << 20, 8192
+# Bytes read beyond a block, and bytes of a record read first; longer headers are read on to their end.
+READ_AHEAD, FIRST_READ = 1 << 20, 8192
 
 _MANIFEST = "path string, n_bytes long, n_records long"
 _RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -58,21 +58,30 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     return VERSION + "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+# What ``parse_header`` returns if the data ends before the header does.
+UNFINISHED: tuple[dict[str, str], int] = ({}, -1)
+
+
 def parse_header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
-    """(fields, start of the block) of a record header at ``at``; None if it is none."""
-    end = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
-    if end < 0 or not data.startswith(VERSION, at):
+    """(fields, start of the block) of a record header at ``at``; None if it is none.
+
+    Lines are taken one by one, so a place that is no header costs no more than its first wrong line.
+    """
+    if not data.startswith(VERSION, at):
         return None
-    fields = {}
-    for line in data[at + len(VERSION):end].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
+    fields, at = {}, at + len(VERSION)
+    while (end := data.find(b"\r\n", at)) != at:
+        if end < 0:
+            return UNFINISHED
+        name, colon, value = data[at:end].partition(b":")
         if not colon:
             return None
         fields[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        at = end + 2
     length = fields.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         return None
-    return fields, end + 4
+    return fields, at + 2
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -137,15 +146,17 @@ def candidate_records(archives: DataFrame, block_bytes: int = BLOCK_BYTES) -> Da
                 path, start, size = block["path"], block["start"], block["n_bytes"]
                 files, inner = open_store(path)
                 with files.open_input_file(inner) as source:
-                    data = source.read_at(min(block_bytes + MAX_HEADER, size - start), start)
-                found, at = [], data.find(VERSION)
-                while 0 <= at < block_bytes:
-                    parsed = parse_header(data, at)
-                    if parsed:
-                        successor = start + parsed[1] + int(parsed[0]["content-length"]) + 4
-                        if successor <= size:
-                            found.append((start + at, successor))
-                    at = data.find(VERSION, at + 1)
+                    data = source.read_at(min(block_bytes + READ_AHEAD, size - start), start)
+                    found, at, last = [], data.find(VERSION), block_bytes + len(VERSION) - 1
+                    while 0 <= at < block_bytes:
+                        while (parsed := parse_header(data, at)) is UNFINISHED and start + len(data) < size:
+                            here = start + len(data)
+                            data += source.read_at(min(max(READ_AHEAD, len(data) - at), size - here), here)
+                        if parsed and parsed is not UNFINISHED:
+                            successor = start + parsed[1] + int(parsed[0]["content-length"]) + 4
+                            if successor <= size:
+                                found.append((start + at, successor))
+                        at = data.find(VERSION, at + 1, last)
                 leaves: dict[int, int] = {}
                 for at, successor in reversed(found):
                     leaves[at] = leaves.get(successor, successor)
@@ -169,7 +180,8 @@ def reached_entries(candidates: DataFrame, archives: DataFrame) -> DataFrame:
     """``path, at`` of the candidates where the chain from the file's start enters a block.
 
     ``jump`` leads 1, 2, 4, ... blocks ahead from round to round; what is reached by then jumps
-    along. The number of rounds is the logarithm of the largest number of blocks of a file.
+    along. The number of rounds is the logarithm of the largest number of blocks of a file. A chain that
+    does not reach the end of its file raises an error, so that no record is left out unnoticed.
     """
     entries = candidates.select("path", "at", F.col("leaves").alias("to"))
     rounds = (candidates.groupBy("path").agg(F.count_distinct("block").alias("n")).agg(F.max("n")).first()[0] or 1)
@@ -179,6 +191,10 @@ def reached_entries(candidates: DataFrame, archives: DataFrame) -> DataFrame:
         step = reached.join(jump, ["path", "at"]).select("path", F.col("to").alias("at"))
         reached = written_table(reached.unionByName(step).distinct())
         if ahead >= rounds:
+            ends = archives.where("n_bytes > 0").select("path", F.col("n_bytes").alias("at"))
+            broken = ends.join(reached, ["path", "at"], "left_anti").first()
+            if broken:
+                raise ValueError(f"the records of {broken['path']} do not lead to its end at {broken['at']}")
             return reached.join(entries, ["path", "at"], "left_semi")
         onward = jump.select("path", F.col("at").alias("to"), F.col("to").alias("further"))
         jump = written_table(jump.join(onward, ["path", "to"]).select("path", "at", F.col("further").alias("to")))
@@ -204,8 +220,10 @@ def read_archives(archives: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFr
                 with files.open_input_file(inner) as source:
                     size, at, end, rows = source.size(), block["at"], block["block"] + block_bytes, []
                     while at < min(end, size):
-                        fields, body = (parse_header(source.read_at(min(FIRST_READ, size - at), at), 0)
-                                        or parse_header(source.read_at(min(MAX_HEADER, size - at), at), 0))
+                        n = FIRST_READ
+                        while (parsed := parse_header(source.read_at(min(n, size - at), at), 0)) is UNFINISHED and n < size - at:
+                            n *= 4
+                        fields, body = parsed
                         length = int(fields["content-length"])
                         row = [_id_of(fields["warc-record-id"]), int(fields["x-payload-length"]),
                                fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"],

@@ -88,6 +88,23 @@ def test_archives_round_trip_with_records_inside_payloads(spark, block):
     assert found == expected_records(pages)
 
 
+@pytest.mark.parametrize("block", [warc.BLOCK_BYTES, 50_000])
+def test_headers_longer_than_the_first_reads(spark, block):
+    pages = [(i, "data:" + "u" * n, "h" * 2000 + str(i), "x", "p", "d") for i, n in enumerate((1_500_000, 3, 3_000_000, 9000, 5))]
+    archives = warc.write_archives(spark.createDataFrame(pages, PAGES).coalesce(1))
+    found = sorted((tuple(r) for r in warc.read_archives(archives, block).collect()), key=str)
+    assert found == expected_records(pages)
+
+
+def test_a_chain_that_stops_raises(spark, tmp_path):
+    record = warc.record_bytes(1, "u", b"x" * 50, "d", None, False)
+    path = tmp_path / "broken.warc"
+    path.write_bytes(record + record.replace(b"Content-Length: 50", b"Content-Length: 5x") + record)
+    archives = spark.createDataFrame([(f"file://{path}", path.stat().st_size, 3)], "path string, n_bytes long, n_records long")
+    with pytest.raises(ValueError, match="do not lead to its end"):
+        warc.read_archives(archives)
+
+
 def test_archives_of_an_empty_table(spark):
     archives = warc.write_archives(spark.createDataFrame([], PAGES))
     assert warc.read_archives(archives).collect() == []
