@@ -2,8 +2,8 @@
 
 A document leaks an item if some window of it, as long as the item, has a weighted Jaccard
 similarity of at least ``SIMILARITY`` with the item; elements are runs of five words, weighted by how often
-they occur. A window without any run of the item has similarity 0, so windows are laid
-only where a document shares a run with the benchmark, aligned by the run. Each window gets a SimHash. Fingerprints
+they occur. A window can only reach the similarity if enough of its runs are runs of the item, in whatever
+order, so every window with enough of them is laid and no other. Each window gets a SimHash. Fingerprints
 are cut into ``len(BLOCKS)`` blocks; items are indexed under each block's value and under all values one
 bit away. Two fingerprints that differ in at most ``RADIUS`` bits agree up to one bit in
 some block (nine blocks cannot hold two differences each of 17), so the index yields every fingerprint
@@ -75,6 +75,22 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return items.withColumn("fingerprint", simhash("grams"))
 
 
+def _starts(similarity: float) -> Column:
+    """First words of all windows that hold enough of the positions ``ats``, whose runs are the item's too.
+
+    The runs that a window of m and an item of n share number at least similarity * (m + n) / (1 + similarity).
+    Any ``need`` neighbouring positions that fit into a window give the starts from which it holds all of them.
+    """
+    n, have = F.col("size") - GRAM + 1, F.col("n_words") - GRAM + 1
+    m = F.least(n, have)
+    need = F.greatest(F.lit(1), F.ceil(similarity * (m + n) / (1 + similarity) - 1e-9)).cast("int")
+    spans = F.transform("ats", lambda at, i: F.when(
+        F.get("ats", i + need - 1) - at < m,
+        F.sequence(F.greatest(F.lit(0), F.get("ats", i + need - 1) - m + 1), F.least(at, have - m)))
+        .otherwise(F.array().cast("array<int>")))
+    return F.array_distinct(F.flatten(spans))
+
+
 def leaked_windows(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Every window of a document that matches an item.
 
@@ -84,28 +100,25 @@ def leaked_windows(docs: DataFrame, benchmark: DataFrame, similarity: float = SI
     those with a shared run are joined to their text again. No pair of documents is ever formed.
     """
     items = written_table(benchmark_items(benchmark))
-    places = items.select(F.posexplode("grams").alias("inside", "gram"), F.col("n_words").alias("size")).distinct()
-    places = written_table(places)
+    # items of equal runs share a key
+    places = items.select(F.xxhash64("grams").alias("item"), F.explode("grams").alias("gram"), F.col("n_words").alias("size"))
+    places = written_table(places.distinct())
     known = small_side(places.select(F.col("gram").alias("known")).distinct())
     source = docs.select(F.col("doc_id").cast("long"), "text")
     keyed = source.withColumn("text_hash", F.xxhash64("text"))
 
     # the outer form: the plain one adds a filter on the array, which would compute it once more per element
-    grams = _shingles(keyed, "text").select("doc_id", "text_hash", F.posexplode_outer("grams").alias("at", "gram"))
+    grams = _shingles(keyed, "text").select("doc_id", "text_hash", "n_words", F.posexplode_outer("grams").alias("at", "gram"))
     anchors = grams.join(known, F.col("gram") == F.col("known"), "left_semi")
-    windows = (anchors.join(small_side(places), "gram")
-               .select("doc_id", "text_hash", "size", (F.col("at") - F.col("inside")).alias("start")).distinct())
+    shared = (anchors.join(small_side(places), "gram").groupBy("doc_id", "text_hash", "n_words", "item", "size")
+              .agg(F.sort_array(F.collect_set("at")).alias("ats")))
+    windows = shared.select("doc_id", "text_hash", "size", F.explode(_starts(similarity)).alias("start")).distinct()
     wanted = written_table(windows.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("size", "start")).alias("windows")))
 
     found = wanted.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "windows")
     rows = keyed.join(found, (F.col("text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     rows = _shingles(rows.select("doc_id", "text_hash", "windows", "text"), "text")
-    # a window that would stick out is moved inside
-    laid = F.array_distinct(F.transform("windows", lambda w: F.struct(
-        w["size"].alias("size"),
-        F.greatest(F.lit(0), F.least(w["start"], F.col("n_words") - w["size"])).alias("start"))))
-    rows = rows.select("doc_id", "text_hash", "grams", laid.alias("laid"))
-    rows = rows.select("doc_id", "text_hash", "grams", F.explode("laid").alias("w"))
+    rows = rows.select("doc_id", "text_hash", "grams", F.explode("windows").alias("w"))
     rows = rows.select("doc_id", "text_hash", "w.size", "w.start", F.slice(
         "grams", F.col("w.start") + 1, F.col("w.size") - GRAM + 1).alias("window"))
     prints = written_table(rows.withColumn("fingerprint", simhash("window")))

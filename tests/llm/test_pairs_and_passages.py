@@ -161,6 +161,22 @@ def test_leaks_equal_brute_force(spark):
         assert decontamination.contaminated(docs, bench).collect() == []
 
 
+def test_reordered_leaks_equal_brute_force(spark):
+    rng = random.Random(12)
+    items = [(k, " ".join(words(rng, n, "b"))) for k, n in enumerate((59, 59, 80, 120, 45, 30))] + [(9, " ".join(["x y z"] * 15))]
+    rows = [(900, " ".join(["x y z"] * 40), "en", "s", 1, 1, 1, "x")]
+    for k, body in items[:6]:
+        w = body.split()
+        for j, cut in enumerate((len(w) // 2, len(w) // 3, 6)):
+            swapped = w[cut:] + w[:cut]
+            rows.append((1000 + 10 * k + j, " ".join(words(rng, 70) + swapped + words(rng, 40)), "en", "s", 1, 1, 1, "x"))
+            rows.append((2000 + 10 * k + j, " ".join(swapped), "en", "s", 1, 1, 1, "x"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(frame(spark, rows), benchmark).collect()}
+    assert found == leaks_of([r[:2] for r in rows], items)
+    assert {(1000, 0), (1010, 1), (1020, 2), (1030, 3)} <= found
+
+
 def test_leaks_run_no_python(spark):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     plan = decontamination.contaminated(spark.read.parquet(f"{SF}/documents.parquet"), benchmark)
