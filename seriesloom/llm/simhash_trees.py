@@ -139,24 +139,24 @@ def shard_links(shards: DataFrame) -> DataFrame:
 def fingerprint_links(nodes: DataFrame) -> DataFrame:
     """``a, b``: links that connect all groups of the different fingerprints ``nodes`` (fingerprint)."""
     spark = nodes.sparkSession
-    rows, masks, parts = nodes.select("fingerprint", F.lit(0).cast("long").alias("mask")), [0], []
-    while masks:
-        # Ten rows per mask, at most 10,000 in the last round.
-        finer = spark.createDataFrame([(signed(m), signed(f)) for m in masks for f in finer_masks(m)], "mask long, finer long")
-        dealt = rows.join(F.broadcast(finer), "mask").select("fingerprint", F.col("finer").alias("mask"))
-        if parts:  # several ways lead to the same finer shard
-            dealt = dealt.distinct()
+    masks = F.array(*[F.lit(signed(m)) for m in finer_masks(0)])
+    dealt, parts = nodes.select("fingerprint", F.explode(masks).alias("mask")), []
+    while dealt is not None:
         dealt = dealt.withColumn("shard", F.col("fingerprint").bitwiseAND(F.col("mask")))
-        whole, masks = dealt, []
+        whole, finer = dealt, None
         if len(parts) < ROUNDS - 1:
             crowded = written_table(dealt.groupBy("mask", "shard").agg(F.count(F.lit(1)).alias("n"))
                                     .where(F.col("n") > SHARD_NODES).select("mask", "shard"))
             masks = [r["mask"] % (1 << 64) for r in crowded.select("mask").distinct().collect()]
-        if masks:
-            whole = dealt.join(crowded, ["mask", "shard"], "left_anti")
-            rows = written_table(dealt.join(crowded, ["mask", "shard"], "left_semi").select("fingerprint", "mask"))
+            if masks:
+                whole = dealt.join(crowded, ["mask", "shard"], "left_anti")
+                rows = written_table(dealt.join(crowded, ["mask", "shard"], "left_semi").select("fingerprint", "mask"))
+                # Ten rows per mask, at most 10,000 in the last round. Several ways can lead to the same finer shard.
+                below = spark.createDataFrame([(signed(m), signed(f)) for m in masks for f in finer_masks(m)], "mask long, finer long")
+                finer = rows.join(F.broadcast(below), "mask").select("fingerprint", F.col("finer").alias("mask")).distinct()
         members = whole.groupBy("mask", "shard").agg(F.collect_list("fingerprint").alias("members"))
         parts.append(written_table(shard_links(members.where(F.size("members") > 1))))
+        dealt = finer
     links = parts[0]
     for part in parts[1:]:
         links = links.unionByName(part)
