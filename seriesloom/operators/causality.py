@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from seriesloom.functions.fdist import f_upper_tail
 from seriesloom.operators.series import (
-    MAX_SERIES_ROWS, Parts, over_long, over_short, renamed_keys, same_keys, separate_long, total_order)
+    MAX_SERIES_ROWS, Parts, from_window, over_long, over_short, renamed_keys, same_keys, separate_long, total_order)
 
 # Fixed value: largest lag tested by default.
 MAX_LAG = 14
@@ -216,7 +216,7 @@ def _lag_sums(parts: Parts, keys: Sequence[str], order: Sequence[str], m: int,
     whole = (Window.partitionBy(*keys).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     scored = parts.short.withColumns(moments(lambda a: a.over(whole))).withColumns(scores)
-    lagged = edges = over_short(scored, keys, order, build)
+    lagged = edges = over_short(scored, keys, order, from_window(build))
 
     def with_scores(long: DataFrame) -> DataFrame:
         stats = long.groupBy(*keys).agg(*[c.alias(name) for name, c in moments(lambda a: a).items()])
@@ -225,7 +225,7 @@ def _lag_sums(parts: Parts, keys: Sequence[str], order: Sequence[str], m: int,
 
     if parts.long is not None:
         inner, border = over_long(
-            parts.long, parts.long_rows, keys, order, build, m, 2 * m, max_rows, prepare=with_scores)
+            parts.long, parts.long_rows, keys, order, from_window(build), m, 2 * m, max_rows, prepare=with_scores)
         # The first m and the last 2 m rows of a series are always at a border.
         lagged, edges = lagged.unionByName(inner).unionByName(border), edges.unionByName(border)
 

@@ -6,8 +6,8 @@ partitioning.
 
 Scale: a plain ``Window.partitionBy(keys)`` puts a whole series into one task. That is
 only used for series of at most ``max_rows`` rows. Longer ones are range-partitioned into
-blocks; offsets are taken inside each block, and only the rows near block borders
-meet again in a per-key window. Both ways give the same rows.
+blocks, and each block hands the rows at its ends to its neighbours (a halo): every window
+is then over keys and block. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -20,28 +20,46 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seriesloom.operators.enrich import MAX_BROADCAST_BYTES
 from seriesloom.storage import written_table
 
 # Longest series handled by one task; None in the operators below means "no check":
 # the caller knows a bound, for instance one row per calendar day.
 MAX_SERIES_ROWS = 2_000_000
-# Most key tuples that are broadcast when the long series are separated.
-MAX_BROADCAST_KEYS = 200_000
 # Most blocks one range partitioning makes; beyond it blocks grow and sort with spill.
 MAX_BLOCKS = 20_000
+# Most rows (one per block and series) of the tables that place blocks, for these to be broadcast.
+MAX_SPANS = 200_000
+# Columns beyond keys and order that decide ties by their value; a hash of all others decides the rest.
+TIE_COLUMNS = 4
+# Horizons up to this many rows are searched row by row.
+DIRECT_HORIZON = 32
 
-_BLOCK, _ROW_ID, _BEFORE, _AFTER, _SHIFT = (
-    "__block", "__row_id", "__before", "__after", "__shift")
+_BLOCK, _ROW_ID, _BEFORE, _AFTER, _RANK = "__block", "__row_id", "__before", "__after", "__rank"
 
+Order = Sequence[str | Column]
+# Columns from a window, or a table with more columns from (table, partition columns, order).
 Build = Callable[[WindowSpec], dict[str, Column]]
+Extend = Callable[[DataFrame, Sequence[str], Order], DataFrame]
 
 
-def total_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> list[str]:
-    """``order`` followed by every other sortable column, as a repeatable tie-break."""
+def from_window(build: Build) -> Extend:
+    """The table with the columns that ``build`` makes of the window."""
+    return lambda df, by, order: df.withColumns(build(Window.partitionBy(*by).orderBy(*order)))
+
+
+def total_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> list[str | Column]:
+    """``order`` and a repeatable tie-break from the other columns.
+
+    The first few numbers and dates decide by their value, then one hash of all columns left. So the
+    order stays narrow however wide the rows are, as range partitioning samples it.
+    """
     used = {c.lower() for c in (*keys, *order)}
-    rest = [f.name for f in df.schema.fields
+    rest = [f for f in df.schema.fields
             if f.name.lower() not in used and not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    return [*order, *rest]
+    narrow = [f.name for f in rest if isinstance(f.dataType, (T.NumericType, T.DatetimeType, T.BooleanType))][:TIE_COLUMNS]
+    others = [F.col(f"`{f.name}`") for f in rest if f.name not in narrow]
+    return [*order, *narrow, *([F.xxhash64(*others)] if others else [])]
 
 
 def same_keys(keys: Sequence[str], prefix: str) -> Column:
@@ -64,17 +82,19 @@ class Parts(NamedTuple):
     long: DataFrame | None = None
     long_keys: int = 0
     long_rows: int = 0
+    key_bytes: int = 0
 
-    def sized(self, per_key: DataFrame) -> DataFrame:
-        """Mark a table of one row per long series for broadcasting if these are few."""
-        return F.broadcast(per_key) if self.long_keys <= MAX_BROADCAST_KEYS else per_key
+    def sized(self, per_key: DataFrame, row_bytes: int = 64) -> DataFrame:
+        """Mark a table of one row per long series for broadcasting if its bytes allow it."""
+        size = self.key_bytes + self.long_keys * row_bytes
+        return F.broadcast(per_key) if size <= MAX_BROADCAST_BYTES else per_key
 
 
 def separate_long(df: DataFrame, keys: Sequence[str], max_rows: int | None = MAX_SERIES_ROWS) -> Parts:
     """Split ``df`` into rows of short series and rows of series longer than ``max_rows``.
 
     The measuring job reads the key columns only and combines counts before its shuffle. There
-    are fewer than rows / max_rows long keys; they are broadcast when their measured number is
+    are fewer than rows / max_rows long keys; they are stored, and broadcast when their measured size is
     small, else joined by shuffle.
     """
     if max_rows is None:
@@ -82,59 +102,80 @@ def separate_long(df: DataFrame, keys: Sequence[str], max_rows: int | None = MAX
     if not keys:
         n_rows = df.count()
         return Parts(df) if n_rows <= max_rows else Parts(df.limit(0), df, 1, n_rows)
-    # Kept for the joins below; if an executor is lost, counting again gives the same keys.
-    long_keys = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-                 .where(F.col("__rows") > max_rows)).persist()
-    n_keys, n_rows = long_keys.agg(F.count(F.lit(1)), F.sum("__rows")).first()
+    long_keys = written_table(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > max_rows))
+    n_keys, n_rows, n_bytes = long_keys.agg(
+        F.count(F.lit(1)), F.sum("__rows"), F.sum(F.octet_length(F.to_json(F.struct(*keys))))).first()
     if n_keys == 0:
-        long_keys.unpersist()
         return Parts(df)
-    parts = Parts(df, None, n_keys, n_rows)
+    parts = Parts(df, None, n_keys, n_rows, n_bytes)
     marks = parts.sized(renamed_keys(long_keys.drop("__rows"), keys, "__long_"))
     same = same_keys(keys, "__long_")
     return parts._replace(short=df.join(marks, same, "left_anti"), long=df.join(marks, same, "left_semi"))
 
 
-def over_short(df: DataFrame, keys: Sequence[str], order: Sequence[str], build: Build,
+def over_short(df: DataFrame, keys: Sequence[str], order: Order, extend: Extend,
                position: str | None = None) -> DataFrame:
     """Add window columns to series known to fit one task: one shuffle on the keys."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    columns = build(w)
+    out = extend(df, keys, order)
     if position:
-        columns = {**columns, position: F.row_number().over(w).cast("long")}
-    return df.withColumns(columns)
+        out = out.withColumn(position, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    return out
+
 
+def block_spans(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys..., __block, __from, __until``: place of each block's rows in their series.
 
-def over_long(df: DataFrame, n_rows: int, keys: Sequence[str], order: Sequence[str], build: Build,
+    At most blocks + long keys rows, as blocks follow the key order; only counts meet per key.
+    """
+    sizes = rows.groupBy(*keys, _BLOCK).agg(F.count(F.lit(1)).alias("__rows"))
+    until = F.sum("__rows").over(Window.partitionBy(*keys).orderBy(_BLOCK))
+    return sizes.select(*keys, _BLOCK, (until - F.col("__rows")).alias("__from"), until.alias("__until"))
+
+
+def halo_targets(spans: DataFrame, keys: Sequence[str], before: int, after: int) -> DataFrame:
+    """``__h_keys..., __h_block, __target, __last, __first``: how many rows at the ends of a block which other needs.
+
+    Block c needs the last ``__last`` rows of an earlier block b if fewer than ``before`` rows lie between them, and
+    the first ``__first`` rows of a later one likewise. Mostly that is the next block; short blocks hand on to
+    several. Blocks meet by the stretch of ``reach`` rows in which one ends and the other begins.
+    """
+    reach = max(before, after, 1)
+    earlier = renamed_keys(spans, [*keys, _BLOCK], "__h_").withColumnsRenamed({"__from": "__b_from", "__until": "__b_until"})
+    at = F.floor(F.col("__b_until") / reach)
+    earlier = earlier.withColumn("__at", F.explode(F.array(at, at + 1)))
+    met = earlier.join(spans.withColumn("__here", F.floor(F.col("__from") / reach)),
+                       same_keys(keys, "__h_") & (F.col("__at") == F.col("__here")) & (F.col("__from") >= F.col("__b_until")))
+    room = F.col("__from") - F.col("__b_until")
+    own = [F.col(f"`__h_{k}`") for k in keys]
+    down = met.where(room < before).select(
+        *own, f"__h_{_BLOCK}", F.col(_BLOCK).alias("__target"), (before - room).alias("__last"), F.lit(0).alias("__first"))
+    up = met.where(room < after).select(
+        *own, F.col(_BLOCK).alias(f"__h_{_BLOCK}"), F.col(f"__h_{_BLOCK}").alias("__target"), F.lit(0).alias("__last"),
+        (after - room).alias("__first"))
+    return down.union(up)
+
+
+def over_long(df: DataFrame, n_rows: int, keys: Sequence[str], order: Order, extend: Extend,
               before: int, after: int, max_rows: int, position: str | None = None,
               prepare: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Add window columns to long series block by block: (rows inside blocks, rows at borders).
 
-    A row is inside if its block holds ``before`` rows ahead of it and ``after`` rows behind it.
-    Row ids and block numbers are stored before they are used, so exact copies can be
-    spread over blocks and a lost executor cannot change either. ``prepare`` may add columns
-    to the stored rows before they are cut into blocks.
+    A row is inside if its block holds ``before`` rows ahead of it and ``after`` rows behind it. The rows at
+    borders are computed from the ends of their block and the rows its neighbours hand over. The
+    rows are stored once, with a row id (so that exact copies can be spread over blocks; given in sorted order, it is
+    the same if a task runs again) and their block number. ``prepare`` may add columns to the stored rows.
     """
-    order = [*order, _ROW_ID]
     n_blocks = max(2, min(MAX_BLOCKS, math.ceil(n_rows / max_rows)))
-    rows = written_table(df.withColumn(_ROW_ID, F.monotonically_increasing_id()))
+    ranked = df.sortWithinPartitions(*keys, *order).withColumn(_ROW_ID, F.monotonically_increasing_id())
+    rows = written_table(ranked.repartitionByRange(n_blocks, *keys, *order, _ROW_ID)
+                         .withColumn(_BLOCK, F.spark_partition_id()))
+    order, by = [*order, _ROW_ID], [*keys, _BLOCK]
+    spans = block_spans(rows, keys)
+    few = n_blocks + n_rows // max_rows <= MAX_SPANS
     if prepare:
         rows = prepare(rows)
-    rows = written_table(rows.repartitionByRange(n_blocks, *keys, *order)
-                         .withColumn(_BLOCK, F.spark_partition_id()))
-    if position:
-        # One row per (key, block): at most blocks + long keys rows, as blocks follow the key order.
-        sizes = rows.groupBy(*keys, _BLOCK).agg(F.count(F.lit(1)).alias("__rows"))
-        shifts = renamed_keys(sizes, [*keys, _BLOCK], "__s_").withColumn(
-            _SHIFT, F.coalesce(F.sum("__rows").over(
-                Window.partitionBy(*[f"__s_{k}" for k in keys]).orderBy(f"__s_{_BLOCK}")
-                .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__rows")
-        if n_blocks + n_rows // max_rows <= MAX_BROADCAST_KEYS:
-            shifts = F.broadcast(shifts)
-        rows = rows.join(shifts, same_keys([*keys, _BLOCK], "__s_")).drop(*[f"__s_{k}" for k in (*keys, _BLOCK)])
-
-    reach = max(1, before + after)
-    in_block = Window.partitionBy(*keys, _BLOCK).orderBy(*order)
+    in_block = Window.partitionBy(*by).orderBy(*order)
+    marks = {_RANK: F.row_number().over(in_block).cast("long")}
 
     def at_least(n: int, ahead: bool) -> Column:
         if n == 0:
@@ -142,36 +183,50 @@ def over_long(df: DataFrame, n_rows: int, keys: Sequence[str], order: Sequence[s
         probe = F.lead(F.lit(1), n) if ahead else F.lag(F.lit(1), n)
         return probe.over(in_block).isNotNull()
 
-    marks = {_BEFORE: at_least(before, False), _AFTER: at_least(after, True)}
+    marks.update({_BEFORE: at_least(before, False), _AFTER: at_least(after, True)})
+    marked = rows.withColumns(marks)
     complete = F.col(_BEFORE) & F.col(_AFTER)
+    placed = renamed_keys(spans, by, "__s_")
+    placed = F.broadcast(placed) if few else placed
     if position:
-        marks[position] = F.col(_SHIFT) + F.row_number().over(in_block)
-    marked = rows.withColumns(marks)
-    inner = marked.withColumns(build(in_block)).where(complete)
-    # Border rows plus as many neighbours as their frames can reach: 4 x reach rows per block.
-    near = ~(at_least(reach, False) & at_least(reach, True))
-    border = marked.withColumn("__near", near).where("__near")
-    border = border.withColumns(build(Window.partitionBy(*keys).orderBy(*order))).where(~complete)
-
-    names = [c for c in inner.columns if c not in (_ROW_ID, _BLOCK, _BEFORE, _AFTER, _SHIFT)]
-    columns = [F.col(f"`{c}`") for c in names]
+        marked = marked.join(placed, same_keys(by, "__s_")).withColumn(position, F.col("__from") + F.col(_RANK))
+        marked = marked.drop("__from", "__until", *[f"__s_{k}" for k in by])
+    used = marked.columns
+    inner = extend(marked, by, order).where(complete)
+    helpers = (_ROW_ID, _BLOCK, _BEFORE, _AFTER, _RANK)
+    columns = [F.col(f"`{c}`") for c in inner.columns if c not in helpers]
+    if before + after == 0:
+        return inner.select(*columns), inner.select(*columns).where(F.lit(False))
+
+    # The ends of each block: what may be incomplete, and as many rows as their frames can reach.
+    reach = before + after
+    ends = marked.withColumn("__end", ~(at_least(reach, False) & at_least(reach, True))).where("__end").drop("__end")
+    targets = halo_targets(spans, keys, before, after)
+    measured = ends.join(placed, same_keys(by, "__s_"))
+    handed = measured.join(F.broadcast(targets) if few else targets, same_keys(by, "__h_")).where(
+        (F.col("__until") - F.col("__from") - F.col(_RANK) < F.col("__last")) | (F.col(_RANK) <= F.col("__first")))
+    handed = handed.withColumn(_BLOCK, F.col("__target")).select(*[f"`{c}`" for c in used])
+    both = ends.withColumn("__own", F.lit(True)).unionByName(handed.withColumn("__own", F.lit(False)))
+    border = extend(both, by, order).where(F.col("__own") & ~complete)
     return inner.select(*columns), border.select(*columns)
 
 
-def over_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], build: Build, *,
+def over_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], build: Build | None = None, *,
                 before: int = 0, after: int = 0, position: str | None = None,
-                max_rows: int | None = MAX_SERIES_ROWS) -> DataFrame:
+                max_rows: int | None = MAX_SERIES_ROWS, extend: Extend | None = None) -> DataFrame:
     """Add the columns ``build(window)`` to every row of every series.
 
     The expressions may look at most ``before`` rows back and ``after`` rows ahead.
-    ``position`` names an extra column with the 1-based row number in the series.
+    ``position`` names an extra column with the 1-based row number in the series. ``extend``, in place of
+    ``build``, adds its columns in several steps.
     """
+    extend = extend or from_window(build)
     order = total_order(df, keys, order)
     parts = separate_long(df, keys, max_rows)
-    out = over_short(parts.short, keys, order, build, position)
+    out = over_short(parts.short, keys, order, extend, position)
     if parts.long is None:
         return out
-    inner, border = over_long(parts.long, parts.long_rows, keys, order, build, before, after, max_rows, position)
+    inner, border = over_long(parts.long, parts.long_rows, keys, order, extend, before, after, max_rows, position)
     return out.unionByName(inner).unionByName(border)
 
 
@@ -183,6 +238,35 @@ def growth(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
     return over_series(df, keys, order, build, before=1, max_rows=max_rows)
 
 
+def peak_by_stretches(value: str, out: str, horizon: int) -> Extend:
+    """Largest of the next ``horizon`` values at a cost per row that does not grow with ``horizon``.
+
+    Rows are cut into stretches of ``horizon``. The rows ahead of a row are the rest of its stretch and as many
+    rows of the next stretch as stand before the row in its own. So one running maximum from the end of each stretch
+    and one from its start give every result. At the end of the series the next stretch is cut short, and its
+    maximum so far is that of the last row.
+    """
+    def extend(df: DataFrame, by: Sequence[str], order: Order) -> DataFrame:
+        names = df.columns
+        place, stretch = F.col("__place"), F.col("__stretch")
+        placed = df.withColumn("__place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long") - 1)
+        placed = placed.withColumn("__stretch", F.floor(place / horizon))
+        inside = Window.partitionBy(*by, "__stretch")
+        scanned = placed.withColumns({
+            "__rest": F.max(value).over(inside.orderBy(place.desc()).rowsBetween(Window.unboundedPreceding, -1)),
+            "__so_far": F.max(value).over(inside.orderBy(place).rowsBetween(Window.unboundedPreceding, 0))})
+        along = Window.partitionBy(*by).orderBy(place)
+        whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        scanned = scanned.withColumns({
+            "__next": F.lead("__so_far", horizon).over(along), "__reached": F.lead(F.lit(1), horizon).over(along),
+            "__end": F.last("__so_far").over(whole), "__last": F.last("__stretch").over(whole)})
+        beyond = F.when(F.col("__reached").isNotNull(), F.col("__next")).when(stretch < F.col("__last"), F.col("__end"))
+        return scanned.withColumn(out, F.coalesce(F.greatest("__rest", beyond), F.col(value))).select(
+            *[F.col(f"`{c}`") for c in dict.fromkeys([*names, out])])
+
+    return extend
+
+
 def next_peak(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str = "max_peak",
               horizon: int = 14, mode: str = "chunk", max_rows: int | None = MAX_SERIES_ROWS) -> DataFrame:
     """Largest value among the next ``horizon`` rows; the row's own value if it is the last.
@@ -196,9 +280,10 @@ def next_peak(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
     def build(w: WindowSpec) -> dict[str, Column]:
         return {out: F.coalesce(F.max(value).over(w.rowsBetween(1, horizon)), F.col(value))}
 
+    extend = from_window(build) if horizon <= DIRECT_HORIZON else peak_by_stretches(value, out, horizon)
     if mode == "sliding":
-        return over_series(df, keys, order, build, after=horizon, max_rows=max_rows)
-    ranked = over_series(df, keys, order, build, after=horizon, position="__position", max_rows=max_rows)
+        return over_series(df, keys, order, after=horizon, max_rows=max_rows, extend=extend)
+    ranked = over_series(df, keys, order, after=horizon, position="__position", max_rows=max_rows, extend=extend)
     return ranked.where((F.col("__position") - 1) % (horizon + 1) == 0).drop("__position")
 
 

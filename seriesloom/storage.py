@@ -32,7 +32,10 @@ def _one_machine(spark: SparkSession) -> bool:
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder named for this session; a temporary one in local mode only."""
     global _local_folder
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:  # a session over the network has no context
+        context = getattr(spark, "sparkContext", None)
+        named = context and context.getCheckpointDir()
     if named:
         parsed = urlparse(named)
         on_machine = parsed.scheme in ("", "file") and f"{parsed.path}/".startswith(MACHINE_LOCAL)

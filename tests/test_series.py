@@ -138,6 +138,60 @@ def test_skewed_lags_equal_brute_force(spark, max_rows):
     assert counted(out.select("k", "d", "v", *[f"v_lag{j}" for j in range(1, 6)]).collect()) == counted(expected)
 
 
+@pytest.mark.parametrize("horizon, max_rows", [(33, None), (50, 60), (365, 7), (365, None)])
+def test_wide_peaks_equal_brute_force(spark, horizon, max_rows):
+    rows, df = skewed(spark)
+    rows = [(k, d, None if v == 9 else v) for k, d, v in rows]
+    df = df.withColumn("v", F.nullif("v", F.lit(9)))
+    for mode in ("sliding", "chunk"):
+        out = series.next_peak(df, ["k"], ["d"], "v", "peak", horizon, mode, max_rows=max_rows)
+        expected = []
+        groups = defaultdict(list)
+        for k, d, v in rows:
+            groups[k].append((d, v))
+        for k, items in groups.items():
+            items.sort(key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+            for i, (d, v) in enumerate(items):
+                if mode == "sliding" or i % (horizon + 1) == 0:
+                    ahead = [w for _, w in items[i + 1:i + 1 + horizon] if w is not None]
+                    expected.append((k, d, v, max(ahead, default=v)))
+        assert counted(out.select("k", "d", "v", "peak").collect()) == counted(expected)
+
+
+@pytest.mark.parametrize("max_rows", [3, 20])
+def test_halo_reaches_over_blocks_that_are_shorter_than_it(spark, max_rows):
+    """Blocks of a few rows hand on rows to several neighbours, in both directions."""
+    df = one_series(spark, list(range(60)))
+    out = series.over_series(df, ["k"], ["d"], lambda w: {
+        "far": F.lag("v", 9).over(w), "ahead": F.sum("v").over(w.rowsBetween(1, 12))}, before=9, after=12, max_rows=max_rows)
+    rows = out.orderBy("v").collect()
+    assert [r.far for r in rows] == [None] * 9 + list(range(51))
+    assert [r.ahead for r in rows] == [sum(range(v + 1, min(60, v + 13))) or None for v in range(60)]
+
+
+def test_long_rows_are_stored_once_and_every_window_has_a_block(spark, monkeypatch):
+    stored = []
+    original = series.written_table
+
+    def watched(df):
+        stored.append(df.columns)
+        return original(df)
+
+    monkeypatch.setattr(series, "written_table", watched)
+    _, df = skewed(spark)
+    plan = series.growth(df, ["k"], ["d"], "v", max_rows=60)._jdf.queryExecution().optimizedPlan().toString()
+    assert [c for c in stored if "v" in c] == [["k", "d", "v", "__row_id", "__block"]]
+    data_windows = [line for line in plan.splitlines() if "Window [" in line and "row_number" in line]
+    assert data_windows and all("__block" in line.split("], [")[1] for line in data_windows)
+
+
+def test_ties_are_decided_by_numbers_first_and_text_by_a_hash(spark):
+    df = spark.createDataFrame([("a", 1, "x" * 5000, 2), ("a", 1, "y", 1), ("a", 1, "z", 3)], "k string, d int, t string, n int")
+    for max_rows in (None, 1):
+        out = series.over_series(df, ["k"], ["d"], lambda w: {"p": F.lag("n", 1).over(w)}, before=1, max_rows=max_rows)
+        assert sorted((r.n, r.p) for r in out.collect()) == [(1, None), (2, 1), (3, 2)]
+
+
 def test_skewed_segments_equal_brute_force(spark):
     rows, df = skewed(spark)
     out = series.collect_series(df, ["k"], ["d"], ["v"], segment_rows=50, max_rows=40).collect()
