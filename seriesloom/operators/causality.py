@@ -194,24 +194,30 @@ def _jittered(value: Column, seed: int, salt: str, keys: Sequence[str], order: S
     return value + step * JITTER_UNIT
 
 
-def _lag_sums(parts: Parts, keys: Sequence[str], order: Sequence[str], m: int,
-              max_rows: int | None) -> DataFrame:
-    """One row per series: row count, moments with sums of products, and values at both ends."""
-    order = total_order(parts.short, keys, order)
+def _lag_sums(parts: Parts, keys: Sequence[str], order: Sequence[str], m: int, max_rows: int | None,
+              xs: Sequence[str] = ("x",), unique: bool = False) -> DataFrame:
+    """One row per series: row count, values of y at both ends, and for each driver (a column of ``xs``)
+    moments with sums of products and its values at the ends.
+
+    The sums that only y enters are written once per driver, but Spark computes equal aggregates once. ``unique``
+    rows need no tie-break, so that rows sorted by keys and order already are not sorted again.
+    """
+    series = (*xs, "y")
+    order = list(order) if unique else total_order(parts.short, keys, order)
 
     def build(w: WindowSpec) -> dict[str, Column]:
-        lags = {f"z{c}{d}": F.lag(f"z{c}", d).over(w) for c in ("x", "y") for d in range(1, m + 1)}
+        lags = {f"z{c}{d}": F.lag(f"z{c}", d).over(w) for c in series for d in range(1, m + 1)}
         return {**lags,
                 "__early": F.lag(F.lit(1), m).over(w).isNull(),
                 "__late": F.lead(F.lit(1), m).over(w).isNull(),
                 "__end": F.lead(F.lit(1), 2 * m).over(w).isNull()}
 
     # F and p do not change when x or y is shifted or scaled; standard scores keep the sums exact.
-    scores = {f"z{c}": F.expr(f"({c} - __mean_{c}) / __sd_{c}") for c in ("x", "y")}
+    scores = {f"z{c}": F.expr(f"({c} - __mean_{c}) / __sd_{c}") for c in series}
 
     def moments(aggregate) -> dict[str, Column]:
         return {f"__{name}_{c}": F.nullif(aggregate(agg(c)), F.lit(0.0)) if name == "sd" else aggregate(agg(c))
-                for c in ("x", "y") for name, agg in (("mean", F.avg), ("sd", F.stddev_samp))}
+                for c in series for name, agg in (("mean", F.avg), ("sd", F.stddev_samp))}
 
     whole = (Window.partitionBy(*keys).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -229,24 +235,33 @@ def _lag_sums(parts: Parts, keys: Sequence[str], order: Sequence[str], m: int,
         # The first m and the last 2 m rows of a series are always at a border.
         lagged, edges = lagged.unionByName(inner).unionByName(border), edges.unionByName(border)
 
-    def back(factor: str, d: int) -> str:
+    def back(factor: str, d: int, x: str) -> str:
         """A level ("y") or difference ("dy") ``d`` rows back."""
-        level = [f"z{factor[-1]}{k or ''}" for k in (d, d + 1)]
+        c = x if factor[-1] == "x" else "y"
+        level = [f"z{c}{k or ''}" for k in (d, d + 1)]
         return f"({level[0]} - {level[1]})" if factor[0] == "d" else level[0]
 
-    lagged = lagged.withColumns({
-        f"c{f}": F.expr(f"CASE WHEN NOT __early AND NOT __late THEN {back(f, 0)} END") for f in ("y", "x", "dy", "dx")})
-    sums = ["cy", "cx", "cdy", "cdx", *[f"c{a} * {back(b, d)}" for a, b, d in _product_list(m)]]
-    numbers = [f"coalesce(max(__{name}_{c}), double('NaN'))" for c in ("x", "y") for name in ("mean", "sd")]
-    numbers += [f"coalesce(sum({s}), 0D)" for s in sums]
-    inner = lagged.groupBy(*keys).agg(
-        F.expr("count(1) AS __n"), F.expr(f"array({', '.join(numbers)}) AS __sums"))
+    inside = "CASE WHEN NOT __early AND NOT __late THEN {} END"
+    lagged = lagged.withColumns({f"c{f}{c}": F.expr(inside.format(back(f"{f}{'y' if c == 'y' else 'x'}", 0, c)))
+                                 for c in series for f in ("", "d")})
+
+    def core(factor: str, x: str) -> str:
+        return f"c{factor[:-1]}{x if factor[-1] == 'x' else 'y'}"
+
+    def numbers(x: str) -> str:
+        sums = [core(f, x) for f in ("y", "x", "dy", "dx")]
+        sums += [f"{core(a, x)} * {back(b, d, x)}" for a, b, d in _product_list(m)]
+        head = [f"coalesce(max(__{name}_{c}), double('NaN'))" for c in (x, "y") for name in ("mean", "sd")]
+        return f"array({', '.join(head + [f'coalesce(sum({s}), 0D)' for s in sums])}) AS __sums_{x}"
+
+    inner = lagged.groupBy(*keys).agg(F.expr("count(1) AS __n"), *[F.expr(numbers(x)) for x in xs])
     # At most 3 m rows of a series carry one of the flags.
+    items = F.struct(F.struct(*order).alias("at"), *series)
     ends = (edges.where(F.col("__early") | F.col("__end")).groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct(*order))).alias("__ends")))
-    ends = ends.select(*keys, F.col("__ends.x").alias("__ends_x"), F.col("__ends.y").alias("__ends_y"))
+            .agg(F.array_sort(F.collect_list(items)).alias("__ends")))
+    ends = ends.select(*keys, *[F.col(f"__ends.{c}").alias(f"__ends_{c}") for c in series])
     both = inner.join(renamed_keys(ends, keys, "__e_"), same_keys(keys, "__e_"))
-    return both.select(*keys, "__n", "__sums", "__ends_x", "__ends_y")
+    return both.select(*keys, "__n", "__ends_y", *[f"__{part}_{x}" for x in xs for part in ("sums", "ends")])
 
 
 def _driver_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Sequence[str],
@@ -298,15 +313,18 @@ def granger_all_lags(df: DataFrame, keys: Sequence[str], order: Sequence[str], x
                                long=parts.long and parts.long.withColumns(moved))
     m = lags[-1]
     sums = _lag_sums(parts, by, order, m, max_rows)
-    stat = _solver(lags, m, dof_mode)("__n", "__sums", "__ends_x", "__ends_y")
+    stat = _solver(lags, m, dof_mode)("__n", "__sums_x", "__ends_x", "__ends_y")
+    return sums.select(*by, "__n", stat.alias("__stat")).select(*by, _lag_results(lags, "__stat").alias("results"))
+
 
+def _lag_results(lags: Sequence[int], stat: str) -> Column:
+    """(lag, n, f, p) of every lag from the solver's numbers."""
     def number(at: Column) -> Column:
-        return F.nullif(F.get("__stat", at), F.lit(float("nan")))
+        return F.nullif(F.get(stat, at), F.lit(float("nan")))
 
-    results = F.transform(F.array(*[F.lit(lag) for lag in lags]), lambda lag, i: F.struct(
+    return F.transform(F.array(*[F.lit(lag) for lag in lags]), lambda lag, i: F.struct(
         lag.alias("lag"), F.greatest(F.col("__n") - lag, F.lit(0)).cast("long").alias("n"),
         number(i).alias("f"), number(i + len(lags)).alias("p")))
-    return sums.select(*by, "__n", stat.alias("__stat")).select(*by, results.alias("results"))
 
 
 def granger_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, y: str, lag: int,
@@ -354,6 +372,35 @@ def granger_pooled(df: DataFrame, order: Sequence[str], x: str, y: str, max_lag:
     return found.select(F.inline("results"))
 
 
+def granger_wide(df: DataFrame, keys: Sequence[str], order: Sequence[str], xs: Sequence[str], y: str,
+                 max_lag: int = MAX_LAG, dof_mode: str = "reference", max_rows: int | None = MAX_SERIES_ROWS,
+                 unique: bool = False, prefix: str = "Causation_") -> DataFrame:
+    """``keys..., Causation_<x>_F, Causation_<x>_p``: as ``wide_result`` of ``granger_panel``, in one pass for all drivers.
+
+    Levels and differences of y and of every x stand in one row, and their cross products are summed per key in
+    one aggregate, from which each driver's system is cut: no row is repeated per driver. That takes drivers with values
+    in the same rows. If a row lacks some of its drivers only, their series differ, and drivers are
+    tested one by one. ``unique`` says that no two rows of a series tie in ``order``.
+    """
+    names = [f"x{i}" for i in range(len(xs))]
+    if taken := {"y", *names} & {c.lower() for c in (*keys, *order)}:
+        raise ValueError(f"rename key or order columns {sorted(taken)} first")
+    rows = df.select(*keys, *order, F.col(y).cast("double").alias("y"),
+                     *[F.col(x).cast("double").alias(n) for x, n in zip(xs, names)]).na.drop(subset=[*order, "y"])
+    missing = sum((F.col(n).isNull().cast("int") for n in names), F.lit(0))
+    if len(xs) > 1 and not rows.where(missing.between(1, len(xs) - 1)).isEmpty():
+        panel = granger_panel(df, keys, order, xs, y, max_lag, dof_mode, max_rows=max_rows)
+        return wide_result(panel, keys, xs, prefix)
+    lags = list(range(1, max_lag + 1))
+    parts = separate_long(rows.na.drop(subset=names), keys, max_rows)
+    sums = _lag_sums(parts, keys, order, max_lag, max_rows, names, unique)
+    solve = _solver(lags, max_lag, dof_mode)
+    stats = sums.select(*keys, "__n", *[solve("__n", f"__sums_{n}", f"__ends_{n}", "__ends_y").alias(f"__{n}") for n in names])
+    best = stats.select(*keys, *[_best(_lag_results(lags, f"__{n}")).alias(n) for n in names])
+    return best.select(*keys, *[F.coalesce(f"{n}.{c}", F.lit(1.0)).alias(f"{prefix}{x}_{c.upper() if c == 'f' else c}")
+                                for n, x in zip(names, xs) for c in ("f", "p")])
+
+
 def wide_result(panel: DataFrame, keys: Sequence[str], xs: Sequence[str], prefix: str = "Causation_",
                 ) -> DataFrame:
     """Pivot a panel result to ``keys..., Causation_<x>_F, Causation_<x>_p`` per driver."""

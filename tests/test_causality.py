@@ -231,3 +231,57 @@ def test_rows_move_once_for_all_drivers(spark):
     assert "Exchange hashpartitioning(k" in below
     window_parts = plan[:plan.index("Generate")].split("Window")
     assert len(window_parts) > 1 and all("Exchange" not in part for part in window_parts[1:])
+
+
+def test_wide_result_of_all_drivers_at_once(spark):
+    x, y = simulated(70, 21)
+    df = frame(spark, {"a": (x, y), "b": simulated(40, 22), "short": simulated(4, 23)}).withColumns({
+        "u": F.sin(F.col("d") * F.col("d")), "t": F.col("v") * F.col("d")})
+    df = df.unionByName(df.where("k = 'b'").withColumn("k", F.lit(None).cast("string")))
+    for options in ({}, {"unique": True}, {"max_rows": 30}):
+        wide = causality.granger_wide(df, ["k"], ["d"], ["v", "u", "t"], "w", 3, **options)
+        single = causality.wide_result(causality.granger_panel(df, ["k"], ["d"], ["v", "u", "t"], "w", 3), ["k"], ["v", "u", "t"])
+        assert wide.columns == single.columns
+        found, expected = ({r["k"]: r[1:] for r in t.collect()} for t in (wide, single))
+        assert found.keys() == expected.keys() == {"a", "b", "short", None}
+        for k, row in expected.items():
+            assert found[k] == pytest.approx(row, rel=1e-9)
+
+
+def test_wide_result_of_drivers_with_gaps_of_their_own(spark):
+    df = frame(spark, {"a": simulated(70, 24)}).withColumn("u", F.when(F.col("d") % 9 > 0, F.sin(F.col("d") * F.col("d"))))
+    found = causality.granger_wide(df, ["k"], ["d"], ["v", "u"], "w", 3).first()
+    panel = {r["driver"]: r for r in causality.granger_panel(df, ["k"], ["d"], ["v", "u"], "w", 3).collect()}
+    assert found["Causation_u_p"] == pytest.approx(panel["u"]["p"], rel=1e-9)
+    assert found["Causation_v_F"] == pytest.approx(panel["v"]["f"], rel=1e-9)
+
+
+def test_rows_are_not_repeated_per_driver(spark):
+    wide = spark.range(1000).selectExpr("id % 7 AS k", "id AS d", "rand(1) AS a", "rand(2) AS b", "rand(4) AS y")
+    found = causality.granger_wide(wide, ["k"], ["d"], ["a", "b"], "y", max_lag=2, max_rows=None)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan
+    # n, then 4 moments and the sums of two drivers, without repeating what only y enters
+    line = next(x for x in plan.splitlines() if "Aggregate" in x and "__sums_x1" in x)
+    assert line.count("sum(cy#") == 2  # one aggregate, used in two arrays
+
+
+def test_saved_panel_is_neither_shuffled_nor_sorted(spark):
+    from seriesloom.sources.sinks import save_panel, saved_panel
+    rows = [(f"k{k % 5}" if k else None, t, float((k * t * 7919) % 101), float((t * t * 31) % 97), float((k + 3) * t % 89))
+            for k in range(6) for t in range(60)]
+    df = spark.createDataFrame(rows, "k string, d int, v double, u double, w double").repartition(7)
+    save_panel(df, "saved_panel_test", ["k"], ["d"], buckets=4, mode="overwrite")
+    table = saved_panel(spark, "saved_panel_test")
+    assert sorted(map(tuple, table.collect()), key=str) == sorted(rows, key=str)
+    wide = causality.granger_wide(table.where("k <> 'k1' OR k IS NULL"), ["k"], ["d"], ["v", "u"], "w", 3, max_rows=None, unique=True)
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    windows = [i for i, line in enumerate(lines) if "Window [" in line]
+    # Below the last window there is the scan alone; what moves above is one row per series.
+    below = lines[windows[-1]:]
+    below = below[:next(i for i, line in enumerate(below) if "Scan" in line)]
+    assert windows and not any("Exchange" in line or "Sort [" in line for line in below)
+    first = lines[windows[0]:windows[-1]]
+    assert sum("Exchange" in line for line in lines) <= 2 and not any("Exchange" in line for line in first[:3])
+    spark.sql("DROP TABLE saved_panel_test")

@@ -86,3 +86,44 @@ def test_a_list_of_paths_is_one_table(spark, tmp_path):
     (tmp_path / "4.csv").write_text("x\n1\n")
     with pytest.raises(ValueError):
         readers.read_csv(spark, [*paths, str(tmp_path / "4.csv")], "a int")
+
+
+class Counting:
+    """A stream that counts the bytes read from it."""
+
+    def __init__(self, data):
+        self.data, self.at = data, 0
+
+    def read(self, n):
+        piece = self.data[self.at:self.at + n]
+        self.at += len(piece)
+        return piece
+
+
+@pytest.mark.parametrize("size", [10, 10_000, 5_000_000])
+def test_probe_reads_the_same_bytes_of_any_file(size):
+    stream = Counting(b"\n \r\na,b\n" + b"1,2\n" * size)
+    assert readers.first_line(stream) == "a,b" and stream.at <= readers.PROBE_BYTES
+    long_header = ",".join(f"column{i}" for i in range(20_000))
+    assert readers.first_line(Counting(f"{long_header}\r\n1".encode())) == long_header
+    assert readers.first_line(Counting(b"\xef\xbb\xbfa,b")) == "a,b" and readers.first_line(Counting(b" \n\n")) is None
+
+
+def test_headers_of_odd_files(spark, tmp_path):
+    import gzip
+    folder = tmp_path / "with space"
+    write(folder / "one.csv", "\n\na,b\n1,2\n")
+    write(folder / "empty.csv", "")
+    write(folder / "_hidden.csv", "x\n1\n")
+    with gzip.open(folder / "two.csv.gz", "wt") as f:
+        f.write("b,a\n2,1\n")
+    assert sorted(tuple(r) for r in readers.read_csv(spark, str(folder), "a int, b int").collect()) == [(1, 2)] * 2
+
+
+def test_probe_lists_without_reading_and_falls_back(spark, tmp_path, monkeypatch):
+    path = write(tmp_path / "p.csv", "a,b\n1,2\n")
+    plan = readers.first_lines(spark, [path], False)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<path:string>" in plan and "text" not in plan
+    monkeypatch.setattr(readers, "first_lines", lambda spark, paths, recursive: spark.createDataFrame(
+        [(f"file:{path}", None, False)], "file string, header string, opened boolean"))
+    assert [tuple(r) for r in readers.read_csv(spark, path, "b int").collect()] == [(2,)]

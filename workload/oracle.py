@@ -250,6 +250,8 @@ ORACLE: dict[str, str] = {
         ROWS BETWEEN 1 FOLLOWING AND 14 FOLLOWING), v) peak FROM daily"""),
     "event_peak_chunk": f"SELECT event_type, event_id, value, peak FROM ({EVENT_PEAK}) WHERE rn % 15 = 0",
     "event_peak_sliding": f"SELECT event_type, event_id, value, peak FROM ({EVENT_PEAK})",
+    "event_peak_wide": """SELECT event_type, event_id, value, coalesce(max(value) OVER (PARTITION BY event_type
+        ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 365 FOLLOWING), value) peak FROM events""",
     "lag_features": with_base("daily", """SELECT k, d, v, l1, l2, l3 FROM (SELECT *, lag(v, 1) OVER w l1,
         lag(v, 2) OVER w l2, lag(v, 3) OVER w l3, row_number() OVER w rn
         FROM daily WINDOW w AS (PARTITION BY k ORDER BY d)) WHERE rn > 3"""),
@@ -354,6 +356,9 @@ ORACLE |= {
     "csv_global_cases": ORACLE["global_cases"],
     "csv_mobility_factor": ORACLE["mobility_factor"],
     "csv_air_traffic": ORACLE["air_traffic"],
+    "csv_climate": with_base("clim", "SELECT * FROM clim"),
+    "csv_climate_causality": ORACLE["granger_pooled"],
+    "saved_panel_causality": ORACLE["granger_panel"],
     "run_all_causality": ORACLE["granger_panel"],
     "run_all_flights": ORACLE["inbound_with_cases"],
 }

@@ -109,6 +109,13 @@ def lag_features(spark: SparkSession, sf: str) -> DataFrame:
     return lagged.withColumnsRenamed({"v_lag1": "l1", "v_lag2": "l2", "v_lag3": "l3"})
 
 
+def event_peak_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Largest value among the next 365 events of a type."""
+    peaks = series.next_peak(W.event_rows(spark, sf), ["event_type"], ["ts", "event_id"], "value", "peak", horizon=365,
+                             mode="sliding", max_rows=EVENT_BLOCK_ROWS)
+    return peaks.select("event_type", "event_id", "value", "peak")
+
+
 def event_lags(spark: SparkSession, sf: str) -> DataFrame:
     lagged = series.lag_features(W.event_rows(spark, sf), ["event_type"], ["ts", "event_id"], ["value", "user_id"], 2,
                                  max_rows=EVENT_BLOCK_ROWS)
@@ -322,6 +329,7 @@ QUERIES: dict[str, Query] = {
     "next_peak_sliding": next_peak("sliding"),
     "event_peak_chunk": event_peak("chunk"),
     "event_peak_sliding": event_peak("sliding"),
+    "event_peak_wide": event_peak_wide,
     "lag_features": lag_features,
     "event_lags": event_lags,
     "collect_series": collect_series,
@@ -356,6 +364,9 @@ QUERIES: dict[str, Query] = {
     "granger_by_state": granger_by_state,
     "granger_events": granger_events,
     "granger_totals": granger_totals,
+    "saved_panel_causality": rounded_result(files.saved_panel_causality),
+    "csv_climate": files.loaded("climate"),
+    "csv_climate_causality": rounded_result(files.causality_from_csv),
     "csv_header": files.csv_header,
     "csv_quoted_tree": files.csv_quoted_tree,
     "csv_positional": files.csv_positional,
