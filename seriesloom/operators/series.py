@@ -35,7 +35,7 @@ TIE_COLUMNS = 4
 # Horizons up to this many rows are searched row by row.
 DIRECT_HORIZON = 32
 
-_BLOCK, _ROW_ID, _BEFORE, _AFTER, _RANK = "__block", "__row_id", "__before", "__after", "__rank"
+_BLOCK, _ROW_ID, _INDEX = "__block", "__row_id", "__index"
 
 Order = Sequence[str | Column]
 # Columns from a window, or a table with more columns from (table, partition columns, order).
@@ -123,36 +123,34 @@ def over_short(df: DataFrame, keys: Sequence[str], order: Order, extend: Extend,
 
 
 def block_spans(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys..., __block, __from, __until``: place of each block's rows in their series.
+    """``keys..., __block, __first, __from, __until``: index of a block's first row, place of its rows in their series.
 
     At most blocks + long keys rows, as blocks follow the key order; only counts meet per key.
     """
-    sizes = rows.groupBy(*keys, _BLOCK).agg(F.count(F.lit(1)).alias("__rows"))
+    sizes = rows.groupBy(*keys, _BLOCK).agg(F.count(F.lit(1)).alias("__rows"), F.min(_INDEX).alias("__first"))
     until = F.sum("__rows").over(Window.partitionBy(*keys).orderBy(_BLOCK))
-    return sizes.select(*keys, _BLOCK, (until - F.col("__rows")).alias("__from"), until.alias("__until"))
+    return sizes.select(*keys, _BLOCK, "__first", (until - F.col("__rows")).alias("__from"), until.alias("__until"))
 
 
 def halo_targets(spans: DataFrame, keys: Sequence[str], before: int, after: int) -> DataFrame:
-    """``__h_keys..., __h_block, __target, __last, __first``: how many rows at the ends of a block which other needs.
+    """``__h_keys..., __h_block, __target, __last, __head``: how many rows at the ends of a block which other needs.
 
     Block c needs the last ``__last`` rows of an earlier block b if fewer than ``before`` rows lie between them, and
-    the first ``__first`` rows of a later one likewise. Mostly that is the next block; short blocks hand on to
+    block b the first ``__head`` rows of c likewise. Mostly that is the next block; short blocks hand on to
     several. Blocks meet by the stretch of ``reach`` rows in which one ends and the other begins.
     """
-    reach = max(before, after, 1)
-    earlier = renamed_keys(spans, [*keys, _BLOCK], "__h_").withColumnsRenamed({"__from": "__b_from", "__until": "__b_until"})
-    at = F.floor(F.col("__b_until") / reach)
-    earlier = earlier.withColumn("__at", F.explode(F.array(at, at + 1)))
+    reach = max(before, after)
+    at = F.floor(F.col("__until") / reach)
+    earlier = spans.select(*[F.col(f"`{k}`").alias(f"__h_{k}") for k in keys], F.col(_BLOCK).alias("__b"),
+                           F.col("__until").alias("__b_until"), F.explode(F.array(at, at + 1)).alias("__at"))
     met = earlier.join(spans.withColumn("__here", F.floor(F.col("__from") / reach)),
                        same_keys(keys, "__h_") & (F.col("__at") == F.col("__here")) & (F.col("__from") >= F.col("__b_until")))
-    room = F.col("__from") - F.col("__b_until")
-    own = [F.col(f"`__h_{k}`") for k in keys]
-    down = met.where(room < before).select(
-        *own, f"__h_{_BLOCK}", F.col(_BLOCK).alias("__target"), (before - room).alias("__last"), F.lit(0).alias("__first"))
-    up = met.where(room < after).select(
-        *own, F.col(_BLOCK).alias(f"__h_{_BLOCK}"), F.col(f"__h_{_BLOCK}").alias("__target"), F.lit(0).alias("__last"),
-        (after - room).alias("__first"))
-    return down.union(up)
+    room, none = F.col("__from") - F.col("__b_until"), F.lit(0).cast("long")
+    both = F.array(
+        F.struct(F.col("__b").alias(f"__h_{_BLOCK}"), F.col(_BLOCK).alias("__target"), (before - room).alias("__last"), none.alias("__head")),
+        F.struct(F.col(_BLOCK).alias(f"__h_{_BLOCK}"), F.col("__b").alias("__target"), none.alias("__last"), (after - room).alias("__head")))
+    needed = met.select(*[F.col(f"`__h_{k}`") for k in keys], F.inline(both))
+    return needed.where((F.col("__last") > 0) | (F.col("__head") > 0))
 
 
 def over_long(df: DataFrame, n_rows: int, keys: Sequence[str], order: Order, extend: Extend,
@@ -162,50 +160,36 @@ def over_long(df: DataFrame, n_rows: int, keys: Sequence[str], order: Order, ext
 
     A row is inside if its block holds ``before`` rows ahead of it and ``after`` rows behind it. The rows at
     borders are computed from the ends of their block and the rows its neighbours hand over. The
-    rows are stored once, with a row id (so that exact copies can be spread over blocks; given in sorted order, it is
-    the same if a task runs again) and their block number. ``prepare`` may add columns to the stored rows.
+    rows are stored once, sorted, with a row id (so that exact copies can be spread over blocks; given in sorted order,
+    it is the same if a task runs again), their block number and their index in it: so ranks and ends of blocks are known
+    without a window. ``prepare`` may add columns to the stored rows.
     """
     n_blocks = max(2, min(MAX_BLOCKS, math.ceil(n_rows / max_rows)))
     ranked = df.sortWithinPartitions(*keys, *order).withColumn(_ROW_ID, F.monotonically_increasing_id())
-    rows = written_table(ranked.repartitionByRange(n_blocks, *keys, *order, _ROW_ID)
-                         .withColumn(_BLOCK, F.spark_partition_id()))
     order, by = [*order, _ROW_ID], [*keys, _BLOCK]
-    spans = block_spans(rows, keys)
+    dealt = ranked.repartitionByRange(n_blocks, *keys, *order).sortWithinPartitions(*keys, *order)
+    rows = written_table(dealt.withColumns({_BLOCK: F.spark_partition_id(), _INDEX: F.monotonically_increasing_id()}))
+    spans = written_table(block_spans(rows, keys))
     few = n_blocks + n_rows // max_rows <= MAX_SPANS
+    sized = F.broadcast if few else (lambda table: table)
     if prepare:
         rows = prepare(rows)
-    in_block = Window.partitionBy(*by).orderBy(*order)
-    marks = {_RANK: F.row_number().over(in_block).cast("long")}
-
-    def at_least(n: int, ahead: bool) -> Column:
-        if n == 0:
-            return F.lit(True)
-        probe = F.lead(F.lit(1), n) if ahead else F.lag(F.lit(1), n)
-        return probe.over(in_block).isNotNull()
-
-    marks.update({_BEFORE: at_least(before, False), _AFTER: at_least(after, True)})
-    marked = rows.withColumns(marks)
-    complete = F.col(_BEFORE) & F.col(_AFTER)
-    placed = renamed_keys(spans, by, "__s_")
-    placed = F.broadcast(placed) if few else placed
+    rows = rows.join(sized(renamed_keys(spans, by, "__s_")), same_keys(by, "__s_")).drop(*[f"__s_{k}" for k in by])
+    rank, behind = F.col(_INDEX) - F.col("__first"), F.col("__until") - F.col("__from") + F.col("__first") - F.col(_INDEX) - 1
     if position:
-        marked = marked.join(placed, same_keys(by, "__s_")).withColumn(position, F.col("__from") + F.col(_RANK))
-        marked = marked.drop("__from", "__until", *[f"__s_{k}" for k in by])
-    used = marked.columns
-    inner = extend(marked, by, order).where(complete)
-    helpers = (_ROW_ID, _BLOCK, _BEFORE, _AFTER, _RANK)
+        rows = rows.withColumn(position, F.col("__from") + rank + 1)
+    complete = (rank >= before) & (behind >= after)
+    inner = extend(rows, by, order).where(complete)
+    helpers = (_ROW_ID, _BLOCK, _INDEX, "__first", "__from", "__until")
     columns = [F.col(f"`{c}`") for c in inner.columns if c not in helpers]
     if before + after == 0:
         return inner.select(*columns), inner.select(*columns).where(F.lit(False))
 
     # The ends of each block: what may be incomplete, and as many rows as their frames can reach.
-    reach = before + after
-    ends = marked.withColumn("__end", ~(at_least(reach, False) & at_least(reach, True))).where("__end").drop("__end")
-    targets = halo_targets(spans, keys, before, after)
-    measured = ends.join(placed, same_keys(by, "__s_"))
-    handed = measured.join(F.broadcast(targets) if few else targets, same_keys(by, "__h_")).where(
-        (F.col("__until") - F.col("__from") - F.col(_RANK) < F.col("__last")) | (F.col(_RANK) <= F.col("__first")))
-    handed = handed.withColumn(_BLOCK, F.col("__target")).select(*[f"`{c}`" for c in used])
+    ends = rows.where((rank < before + after) | (behind < before + after))
+    handed = ends.join(sized(halo_targets(spans, keys, before, after)), same_keys(by, "__h_")).where(
+        (behind < F.col("__last")) | (rank < F.col("__head")))
+    handed = handed.withColumn(_BLOCK, F.col("__target")).select(*[F.col(f"`{c}`") for c in rows.columns])
     both = ends.withColumn("__own", F.lit(True)).unionByName(handed.withColumn("__own", F.lit(False)))
     border = extend(both, by, order).where(F.col("__own") & ~complete)
     return inner.select(*columns), border.select(*columns)

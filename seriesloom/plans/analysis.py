@@ -37,13 +37,15 @@ def mobility_causality(cases: DataFrame, mobility: DataFrame, max_lag: int = MAX
     F and p do not change when a column is rescaled, so the raw columns are tested. The joined
     panel has one row per place and day; it is stored once, as several jobs read it.
     """
-    return panel_causality(
-        written_table(cases_with_mobility(cases, mobility).select("fips_code", "Date", *NORMALIZED)), max_lag, dof_mode)
+    panel = written_table(cases_with_mobility(cases, mobility).select("fips_code", "Date", *NORMALIZED))
+    found = causality.granger_panel(panel, ["fips_code"], ["Date"], list(FACTORS), TARGET, max_lag, dof_mode)
+    named = found.withColumn("driver", F.concat("driver", F.lit("_norm")))
+    return causality.wide_result(named, ["fips_code"], [f"{x}_norm" for x in FACTORS])
 
 
 def panel_causality(panel: DataFrame, max_lag: int = MAX_LAG, dof_mode: str = "reference",
                     max_rows: int | None = MAX_SERIES_ROWS, unique: bool = False) -> DataFrame:
-    """As ``mobility_causality``, on a panel stored before.
+    """As ``mobility_causality``, on a panel saved before, with all factors tested in one pass.
 
     A panel saved in buckets of places, sorted by place and date, is neither shuffled nor sorted if it has one row
     per place and date (``unique``) and so few that no series is measured (``max_rows=None``).

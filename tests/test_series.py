@@ -180,9 +180,10 @@ def test_long_rows_are_stored_once_and_every_window_has_a_block(spark, monkeypat
     monkeypatch.setattr(series, "written_table", watched)
     _, df = skewed(spark)
     plan = series.growth(df, ["k"], ["d"], "v", max_rows=60)._jdf.queryExecution().optimizedPlan().toString()
-    assert [c for c in stored if "v" in c] == [["k", "d", "v", "__row_id", "__block"]]
-    data_windows = [line for line in plan.splitlines() if "Window [" in line and "row_number" in line]
-    assert data_windows and all("__block" in line.split("], [")[1] for line in data_windows)
+    assert [c for c in stored if "v" in c] == [["k", "d", "v", "__row_id", "__block", "__index"]]
+    windows = [line for line in plan.splitlines() if "Window [" in line and "lag(" in line]
+    assert len(windows) == 3  # short series, inside blocks, borders
+    assert sum("__block" in line for line in windows) == 2
 
 
 def test_ties_are_decided_by_numbers_first_and_text_by_a_hash(spark):
