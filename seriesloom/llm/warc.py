@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import open_store, text_chunks
+from seriesloom.operators.enrich import MAX_BROADCAST_BYTES
 from seriesloom.storage import new_path, written_table
 
 # Version line and profile of the format.
@@ -28,6 +29,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 # Payloads shorter than this are always stored.
 MIN_REVISIT_BYTES = 1000
 BLOCK_BYTES = 16 * 1024 * 1024
+# Bytes of a digest of 40 digits with its page_id.
+DIGEST_BYTES = 48
 # Bytes read beyond a block, and bytes of a record read first; longer headers are read on to their end.
 READ_AHEAD, FIRST_READ = 1 << 20, 8192
 
@@ -91,7 +94,8 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     stored (all rows with that id, should it repeat), the others become revisits. A null html is
     an empty payload, a null page_id sorts below all others. Other columns are ignored; an empty
     table gives an empty manifest. The number of copies and the largest id per payload are
-    combined before their shuffle; in the join a frequent payload's rows are spread by a salt.
+    combined before their shuffle. The digests that repeat are measured: if small they are broadcast, and payloads
+    stay in their tasks; else a frequent payload's rows are spread by a salt in the join.
     """
     spark = pages.sparkSession
     folder = folder or new_path(spark)
@@ -99,11 +103,16 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     store.create_dir(inner, recursive=True)
     html = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "salt": F.pmod(F.hash("page_id", "url"), F.lit(16))})
-    groups = (rows.where(F.octet_length("payload") >= MIN_REVISIT_BYTES).groupBy("digest")
-              .agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-              .select(F.col("digest").alias("same"), "keeper", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("s")))
-    joined = rows.join(groups, (F.col("digest") == F.col("same")) & (F.col("salt") == F.col("s")), "left")
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    groups = written_table(
+        rows.where(F.octet_length("payload") >= MIN_REVISIT_BYTES).groupBy(F.col("digest").alias("same"))
+        .agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("same", "keeper"))
+    if groups.count() * DIGEST_BYTES <= MAX_BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(groups), F.col("digest") == F.col("same"), "left")
+    else:
+        rows = rows.withColumn("salt", F.pmod(F.hash("page_id", "url"), F.lit(16)))
+        groups = groups.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        joined = rows.join(groups, (F.col("digest") == F.col("same")) & (F.col("salt") == F.col("s")), "left")
     revisit = F.col("same").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     joined = joined.select("page_id", "url", "digest", "keeper", revisit.alias("revisit"), "payload")
 
