@@ -1,7 +1,9 @@
 """Substring deduplication with repeated-phrase automata.
 
 A window is ``WINDOW`` consecutive words of one document. Words are removed that lie in a window
-whose words also start in a document with a smaller doc_id. In three steps:
+whose words also start in a document with a smaller doc_id. A text that is an exact copy of one with a smaller doc_id
+loses all its words if it has a window at all, and takes no part in the search; its first document
+stands for it. For the others, in three steps:
 
 1. Recurring passages are confirmed. Equal windows share their anchor, the smallest hash of their
    ``ANCHOR``-word runs; about one run in five is an anchor. Anchors of only one document go first;
@@ -40,6 +42,8 @@ SHARD_WINDOWS = 150_000
 SHARD_BYTES = 16_000_000
 # Words of a pattern. A window holds seven such runs.
 SEED = (WINDOW + 1) // 2
+# Letters that spell the numbers of words.
+ALPHABET = 32
 
 
 def window_anchors(hashes: np.ndarray) -> np.ndarray:
@@ -67,16 +71,36 @@ def _among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
     return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
 
 
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before, the first place included."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
 
 
+def copied_texts(docs: DataFrame) -> DataFrame:
+    """``copied_hash, copied_check, copied_from``: two hashes of each text of several doc_ids, and the smallest of these."""
+    hashes = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy(
+        F.xxhash64("text").alias("copied_hash"), F.xxhash64(F.lit(1), "text").alias("copied_check"))
+    found = hashes.agg(F.min(F.col("doc_id").cast("long")).alias("copied_from"), F.max(F.col("doc_id").cast("long")).alias("last"))
+    return small_side(written_table(found.where("copied_from < last").drop("last")))
+
+
+def _with_copies(docs: DataFrame, copied: DataFrame) -> DataFrame:
+    """``docs`` with ``copied_from``: null unless the text has copies."""
+    same = (F.xxhash64("text") == F.col("copied_hash")) & (F.xxhash64(F.lit(1), "text") == F.col("copied_check"))
+    return docs.join(copied, same, "left").drop("copied_hash", "copied_check")
+
+
 def document_anchors(docs: DataFrame) -> DataFrame:
     """``doc_id, anchors``: the different anchors of each document."""
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch, texts in text_chunks(batches):
-            anchors = [np.unique(window_anchors(words.of(t.split()))) for t in texts]
+            found = [window_anchors(words.of(t.split())) for t in texts]
+            anchors = [np.unique(a[_changes(a)]) for a in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(anchors)], names=["doc_id", "anchors"])
 
     rows = docs.where("doc_id IS NOT NULL").mapInArrow(find, "doc_id long, anchors array<long>")
@@ -102,7 +126,9 @@ def candidate_windows(docs: DataFrame) -> DataFrame:
             for i, text in enumerate(texts):
                 hashes = words.of(text.split())
                 near = window_anchors(hashes)
-                starts = np.flatnonzero(_among(near, batch.column("hot")[i].values.to_numpy().view(np.uint64)))
+                at = _changes(near)
+                hot = _among(near[at], batch.column("hot")[i].values.to_numpy().view(np.uint64))
+                starts = np.flatnonzero(np.repeat(hot, np.diff(np.append(at, len(near)))))
                 if not len(starts):
                     continue
                 windows = gram_hashes(hashes, WINDOW)[starts]
@@ -139,10 +165,15 @@ def phrases(sources: DataFrame) -> DataFrame:
 
 
 class PhraseAutomaton:
-    """Aho-Corasick automaton of chosen runs of phrases, over numbered words."""
+    """Aho-Corasick automaton of chosen runs of phrases, over numbered words.
+
+    A word is spelled with as many letters of a small alphabet as its number needs: the automaton searches the
+    edges of a node one by one, so nodes must have few. All words are equally long, so a match that ends
+    inside a word is told by its place.
+    """
 
     def __init__(self):
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.automaton = ahocorasick.Automaton()
         self.numbers: dict[bytes, int] = {}
         self.phrases: list[tuple[list[int], int]] = []
         self.ready = False
@@ -158,13 +189,23 @@ class PhraseAutomaton:
         often = np.split(counts[inverse], np.cumsum([len(r) for r in runs])[:-1])
         places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         for number, (phrase, _) in enumerate(self.phrases):
-            uses, start = often[number].tolist(), 0
-            while start + WINDOW <= len(phrase):
-                at = min(range(start, start + WINDOW - SEED + 1), key=lambda p: (uses[p], -p))
+            # Of the runs in each window that with the fewest uses, the last of equal ones: a sliding minimum.
+            size, start = len(often[number]), 0
+            rank = often[number] * size + np.arange(size - 1, -1, -1)
+            windows = len(phrase) - WINDOW + 1
+            least = np.min([rank[k:k + windows] for k in range(WINDOW - SEED + 1)], axis=0)
+            chosen = (size - 1 - least % size).tolist()
+            while start < windows:
+                at = chosen[start]
                 places.setdefault(tuple(phrase[at:at + SEED]), []).append((number, at))
                 start = at + 1
+        self.width = 1
+        while ALPHABET ** self.width <= len(self.numbers):
+            self.width += 1
+        self.spelled = ["".join(chr(n // ALPHABET ** k % ALPHABET + 1) for k in range(self.width))
+                        for n in range(len(self.numbers) + 1)]
         for run, found in places.items():
-            self.automaton.add_word(run, found)
+            self.automaton.add_word("".join([self.spelled[n] for n in run]), found)
         self.automaton.make_automaton()
         self.ready = True
 
@@ -176,21 +217,38 @@ class PhraseAutomaton:
         words = [known(w, 0) for w in text.split()]
         spans: list[tuple[int, int]] = []
         reached: dict[tuple[int, int], int] = {}
-        for last, places in self.automaton.iter(tuple(words)):
+        low = high = 0  # the last stretch covered
+        for letter, places in self.automaton.iter("".join([self.spelled[w] for w in words])):
+            last, inside = divmod(letter + 1 - self.width, self.width)
+            if inside:
+                continue
+            # All windows that hold this run are covered: the windows beyond it have runs of their own.
+            if low <= max(0, last + 1 - WINDOW) and high >= min(len(words), last + 1 - SEED + WINDOW):
+                continue
             for number, at in places:
                 phrase, source = self.phrases[number]
                 start, end = last - SEED + 1, last + 1
                 shift = start - at
                 if source >= doc_id or reached.get((number, shift), 0) >= end:
                     continue
-                while start > max(0, shift) and words[start - 1] == phrase[start - 1 - shift]:
+                # Mostly all of the phrase is there: whole stretches are compared before single words.
+                first, stop = max(0, shift), min(len(words), len(phrase) + shift)
+                if words[first:start] == phrase[first - shift:start - shift]:
+                    start = first
+                while start > first and words[start - 1] == phrase[start - 1 - shift]:
                     start -= 1
-                stop = min(len(words), len(phrase) + shift)
+                if words[end:stop] == phrase[end - shift:stop - shift]:
+                    end = stop
                 while end < stop and words[end] == phrase[end - shift]:
                     end += 1
                 reached[number, shift] = end
                 if end - start >= WINDOW:
-                    spans.append((start, end))
+                    if spans and start <= high and end >= low:
+                        low, high = min(low, start), max(high, end)
+                        spans[-1] = (low, high)
+                    else:
+                        low, high = start, end
+                        spans.append((low, high))
         return spans
 
 
@@ -266,15 +324,25 @@ def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    spans = repeated_spans(docs)
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "starts", "ends")
-    spans = spans.withColumnsRenamed({"starts": "__starts", "ends": "__ends"})
-    same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    return docs.join(spans, same, "left").drop("__id", "__hash")
+    """The columns of ``docs`` by their places (c0, c1, ...), then ``doc_id``, ``text``, ``starts``, ``ends``, ``copy``.
+
+    So no name of ``docs`` can clash with a helper's.
+    """
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)],
+                       F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    copied = copied_texts(rows.select("doc_id", "text"))
+    marked = _with_copies(rows, copied).withColumn("copy", F.coalesce(F.col("doc_id") > F.col("copied_from"), F.lit(False)))
+    marked = marked.drop("copied_from")
+    spans = repeated_spans(marked.where("NOT copy").select("doc_id", "text"))
+    spans = spans.select(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_hash"), "starts", "ends")
+    same = (F.col("doc_id") == F.col("span_id")) & (F.xxhash64("text") == F.col("span_hash"))
+    return marked.join(spans, same, "left").drop("span_id", "span_hash")
 
 
 def _kept_words(batch: pa.RecordBatch, i: int, words: list[bytes]) -> list[bytes]:
-    starts, ends = batch.column("__starts")[i], batch.column("__ends")[i]
+    if batch.column("copy")[i].as_py():
+        return [] if len(words) >= WINDOW else words
+    starts, ends = batch.column("starts")[i], batch.column("ends")[i]
     if not starts.is_valid:
         return words
     gone = _covered(len(words), starts.values.to_numpy(), ends.values.to_numpy())
@@ -314,10 +382,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         for batch, texts in text_chunks(batches):
             out = []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                if batch.column("__starts")[i].is_valid:
-                    text = b" ".join(_kept_words(batch, i, texts[i].split())).decode()
-                out.append(text)
-            columns = {c: batch.column(c) for c in names}
+                words = texts[i].split()
+                kept = _kept_words(batch, i, words)
+                out.append(b" ".join(kept).decode() if len(kept) < len(words) else text)
+            columns = {c: batch.column(f"c{i}") for i, c in enumerate(names)}
             columns["text"] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 

@@ -111,6 +111,19 @@ def test_removed_words_of_odd_rows(spark):
     assert substrings.removal_report(frame(spark, [])).collect() == []
 
 
+def test_exact_copies_and_names_of_helpers(spark):
+    """Copies lose all words if they have a window; columns named like helpers keep their values."""
+    long, short = " ".join(f"t{i}" for i in range(15)), " ".join(f"s{i}" for i in range(12))
+    names = ["copy", "c0", "c1", "span_id", "span_hash", "copied_from", "starts", "__starts", "__id", "__hash", "last"]
+    rows = [(i, t, *[i * 100 + k for k in range(len(names))]) for i, t in enumerate((long, long, short, short, long + " x", long, None, None))]
+    schema = "doc_id int, text string, " + ", ".join(f"{n} long" for n in names)
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    cut = {r.doc_id: r for r in substrings.without_repeats(docs).collect()}
+    assert {i: r.text for i, r in cut.items()} == {0: long, 1: "", 2: short, 3: short, 4: "x", 5: "", 6: None, 7: None}
+    assert all(tuple(cut[r[0]])[2:] == r[2:] for r in rows)
+    assert substrings.without_repeats(docs).schema == docs.schema
+
+
 def test_removed_words_on_the_test_tables(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     found = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256)
