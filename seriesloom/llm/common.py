@@ -76,6 +76,37 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """Hash of every word of each text, from prefix sums over the bytes of all of them.
+
+    A word's hash is a polynomial of its bytes modulo 2^64, shifted to a common power and scrambled.
+    Bytes are taken in blocks of about ``CHUNK_BYTES``, so a long text costs little memory besides its words.
+    """
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    space = np.zeros(256, bool)
+    space[[ord(c) for c in SPACES]] = True
+    edges = np.flatnonzero(np.diff(space[data], prepend=True))
+    starts, ends = edges[::2], edges[1::2]
+    values = mixed(np.arange(1, 257, dtype=np.uint64))
+    base = 0x9E3779B97F4A7C15
+    first_words = np.append(np.searchsorted(starts, np.arange(0, len(data), CHUNK_BYTES)), len(starts))
+    hashes = np.zeros(len(starts), np.uint64)
+    powers = backwards = np.ones(1, np.uint64)
+    for first, last in zip(first_words[:-1].tolist(), first_words[1:].tolist()):
+        if first == last:
+            continue
+        low, n = starts[first], ends[last - 1] - starts[first]
+        if n > len(powers):
+            powers, backwards = (np.cumprod(np.full(n, b, np.uint64)) for b in (base, pow(base, -1, 1 << 64)))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values[data[low:low + n]] * powers[:n], out=sums[1:])
+        at = starts[first:last] - low
+        hashes[first:last] = (sums[ends[first:last] - low] - sums[at]) * backwards[at]
+    hashes = mixed(hashes + (ends - starts).astype(np.uint64))
+    text_starts = np.cumsum([len(t) + 1 for t in texts[:-1]], dtype=np.int64)
+    return np.split(hashes, np.searchsorted(starts, text_starts)) if texts else []
+
+
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` words, by its first word; empty if there are fewer words."""
     n = len(words) - size + 1

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import WordHashes, gram_hashes, text_chunks
+from seriesloom.llm.common import gram_hashes, text_chunks, word_hashes
 from seriesloom.operators.enrich import small_side
 from seriesloom.storage import written_table
 
@@ -97,9 +97,8 @@ def _with_copies(docs: DataFrame, copied: DataFrame) -> DataFrame:
 def document_anchors(docs: DataFrame) -> DataFrame:
     """``doc_id, anchors``: the different anchors of each document."""
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch, texts in text_chunks(batches):
-            found = [window_anchors(words.of(t.split())) for t in texts]
+            found = list(map(window_anchors, word_hashes(texts)))
             anchors = [np.unique(a[_changes(a)]) for a in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(anchors)], names=["doc_id", "anchors"])
 
@@ -119,12 +118,10 @@ def candidate_windows(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, text_hash long, block int, windows array<long>"
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch, texts in text_chunks(batches):
             ids, keys = (batch.column(c).to_pylist() for c in ("doc_id", "text_hash"))
             out: list[tuple] = []
-            for i, text in enumerate(texts):
-                hashes = words.of(text.split())
+            for i, hashes in enumerate(word_hashes(texts)):
                 near = window_anchors(hashes)
                 at = _changes(near)
                 hot = _among(near[at], batch.column("hot")[i].values.to_numpy().view(np.uint64))
@@ -146,7 +143,6 @@ def candidate_windows(docs: DataFrame) -> DataFrame:
 def phrases(sources: DataFrame) -> DataFrame:
     """Cut phrases out of ``doc_id, block, windows, text``: runs of the listed windows, one per line."""
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch, texts in text_chunks(batches):
             out, blocks = [], batch.column("block").to_pylist()
             for i, text in enumerate(texts):
@@ -154,7 +150,7 @@ def phrases(sources: DataFrame) -> DataFrame:
                 first = blocks[i] * BLOCK_WORDS
                 part = words[first:first + BLOCK_WORDS + WINDOW - 1]
                 listed = batch.column("windows")[i].values.to_numpy().view(np.uint64)
-                at = np.flatnonzero(_among(gram_hashes(hashes.of(part), WINDOW), listed))
+                at = np.flatnonzero(_among(gram_hashes(word_hashes([b" ".join(part)])[0], WINDOW), listed))
                 runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else []
                 out.append(b"\n".join(b" ".join(part[r[0]:r[-1] + WINDOW]) for r in runs))
             yield pa.RecordBatch.from_arrays(
@@ -323,12 +319,12 @@ def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` by their places (c0, c1, ...), then ``doc_id``, ``text``, ``starts``, ``ends``, ``copy``.
+def _with_spans(docs: DataFrame, others: bool = True) -> DataFrame:
+    """The columns of ``docs`` but the text by their places (c0, c1, ..., if ``others``), then ``doc_id``, ``text``, ``starts``, ``ends``, ``copy``.
 
     So no name of ``docs`` can clash with a helper's.
     """
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)],
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if others and c != "text"],
                        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     copied = copied_texts(rows.select("doc_id", "text"))
     marked = _with_copies(rows, copied).withColumn("copy", F.coalesce(F.col("doc_id") > F.col("copied_from"), F.lit(False)))
@@ -367,7 +363,7 @@ def removal_report(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns],
                                              names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = _with_spans(docs.select(F.col("doc_id").cast("long"), "text"))
+    rows = _with_spans(docs, others=False)
     return rows.mapInArrow(report, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -385,7 +381,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 words = texts[i].split()
                 kept = _kept_words(batch, i, words)
                 out.append(b" ".join(kept).decode() if len(kept) < len(words) else text)
-            columns = {c: batch.column(f"c{i}") for i, c in enumerate(names)}
+            columns = {c: batch.column(f"c{i}") for i, c in enumerate(names) if c != "text"}
             columns["text"] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
