@@ -36,6 +36,14 @@ def text_chunks(batches: Iterable[pa.RecordBatch], text: str = "text",
             yield batch.slice(start), texts[start:]
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(column: str) -> F.Column:
     """The column with A-Z (only) in lower case."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

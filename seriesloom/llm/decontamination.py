@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.operators.enrich import small_side
+from seriesloom.llm.common import unused_name
 from seriesloom.storage import written_table
 
 GRAM = 5
@@ -154,7 +155,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the documents that leak an item; also repeated rows and null ids are told apart."""
+    leak, digest = unused_name(docs, "leak"), unused_name(docs, "digest")
     leaks = leaked_windows(docs, benchmark, similarity).select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = (F.xxhash64("text") == F.col("__hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+        F.col("doc_id").alias(leak), F.col("text_hash").alias(digest)).distinct()
+    same = (F.xxhash64("text") == F.col(digest)) & F.col("doc_id").cast("long").eqNullSafe(F.col(leak))
     return docs.join(written_table(leaks), same, "left_anti")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import WordHashes, gram_hashes, mixed, text_chunks
+from seriesloom.llm.common import WordHashes, gram_hashes, mixed, text_chunks, unused_name
 from seriesloom.llm.components import connected_components
 from seriesloom.operators.enrich import small_side
 from seriesloom.storage import written_table
@@ -408,5 +408,6 @@ def one_per_group(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id stay; so do all rows that share the smallest one.
     """
-    groups = linked_documents(docs).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(groups, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = unused_name(docs, "gone")
+    groups = linked_documents(docs).where("component_id < doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(groups, F.col("doc_id") == F.col(gone), "left_anti")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import text_chunks
+from seriesloom.llm.common import text_chunks, unused_name
 from seriesloom.llm.encoding import END_ID, encoder
 from seriesloom.storage import written_table
 
@@ -174,32 +174,34 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     No text is shuffled. Only the histogram of lengths, at most ``capacity`` rows, reaches the driver;
     the plan made from it goes to the tasks and is bounded by the capacity as well. Pieces of a
     frequent length are numbered within the stored partitions, so no length is gathered anywhere.
-    An empty table gives an empty result; equal rows get different places.
+    Columns that are already named so are replaced. An empty table gives an empty result; equal rows get different places.
     """
-    stored = written_table(pieces.withColumn("__part", F.spark_partition_id()))
-    sizes = stored.groupBy("__part", "length").agg(F.count(F.lit(1)).alias("__n"))
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    part, rank, local, of_part, of_length, shift = (
+        unused_name(pieces, c) for c in ("part", "rank", "local", "of_part", "of_length", "shift"))
+    stored = written_table(pieces.select(*names, F.spark_partition_id().alias(part)))
+    sizes = stored.groupBy(F.col(part).alias("of_part"), F.col("length").alias("of_length")).agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["of_length"]: r["n"] for r in sizes.groupBy("of_length").agg(F.sum("n").alias("n")).collect()}
     slots = Planner(counts, capacity).plan()
 
-    before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(F.col("__part").alias("__p"), F.col("length").alias("__l"),
-                          F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
-    local = Window.partitionBy("__part", "length").orderBy(F.monotonically_increasing_id())
-    numbered = stored.withColumn("__local", F.row_number().over(local) - 1)
-    ranked = numbered.join(shifts, (F.col("__part") == F.col("__p")) & (F.col("length") == F.col("__l")))
-    names = pieces.columns
-    ranked = ranked.select(*names, (F.col("__shift") + F.col("__local")).alias("__rank"))
+    before = Window.partitionBy("of_length").orderBy("of_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(F.col("of_part").alias(of_part), F.col("of_length").alias(of_length),
+                          F.coalesce(F.sum("n").over(before), F.lit(0)).alias(shift))
+    within = Window.partitionBy(part, "length").orderBy(F.monotonically_increasing_id())
+    numbered = stored.withColumn(local, F.row_number().over(within) - 1)
+    ranked = numbered.join(shifts, (F.col(part) == F.col(of_part)) & (F.col("length") == F.col(of_length)))
+    ranked = ranked.select(*names, (F.col(shift) + F.col(local)).alias(rank))
     table = np.array(sorted(slots), np.int64).reshape(-1, len(Slots._fields))
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name in names)
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # (length, rank) as one ascending number
         width = int(table[:, 1].max(initial=0)) + int((table[:, 2] * table[:, 3]).max(initial=0)) + 1
         starts = table[:, 0] * width + table[:, 1]
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "__rank"))
-            slot = table[np.searchsorted(starts, length * width + rank, "right") - 1]
-            nth = rank - slot[:, 1]
+            length, number = (batch.column(c).to_numpy() for c in ("length", rank))
+            slot = table[np.searchsorted(starts, length * width + number, "right") - 1]
+            nth = number - slot[:, 1]
             sequence = slot[:, 4] + nth // slot[:, 3]
             offset = slot[:, 5] + nth % slot[:, 3] * length
             yield pa.RecordBatch.from_arrays(

@@ -22,12 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import text_chunks
+from seriesloom.llm.common import mixed, text_chunks, unused_name
 from seriesloom.storage import written_table
 
 ORDER = 6
-# Bits per character; six characters fill an integer of 60 bits.
-BITS = 10
+# Bits per character, enough for every code point; a gram is two integers of three characters each.
+BITS, HALF = 21, 3
+# The lowest order gives every character this probability.
+UNIFORM = 1 / 1024
+# Ratios are whole multiples of 1 / SCALE, so that their sums are the same in any order.
+SCALE = 1 << 20
 DISCOUNT = 0.75
 # Words in the window whose mean ratio counts.
 WINDOW = 8
@@ -53,23 +57,34 @@ def _spelled(word: str) -> str:
     return word[start:end] or word
 
 
-def spelling_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed grams of all words in turn, and where each word's grams start.
+def spelling_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both halves of the grams of all words in turn, and where each word's grams start.
 
-    Each character and the end of the word is an event after the ``ORDER - 1`` characters before
-    it. Characters beyond the first 1000 code points share 24 codes.
+    Each character and the end of the word is an event after the ``ORDER - 1`` characters before it.
     """
     pad = _START * (ORDER - 1)
     text = "".join([f"{pad}{w}{_END}" for w in words])
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    codes = np.where(codes < 1000, codes, 1000 + codes % 24)
-    n = max(0, len(codes) - ORDER + 1)
-    grams = np.zeros(n, np.int64)
-    for i in range(ORDER):
-        grams = (grams << BITS) | codes[i:n + i]
-    grams = grams[codes[ORDER - 1:] != ord(_START)]
     sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    return grams, np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(words) else np.zeros(0, np.int64)
+    # a word's grams end at its own characters, not in its pad
+    at = np.arange(sizes.sum()) + np.repeat(np.arange(len(words)) * len(pad), sizes)
+    high, low = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for i in range(HALF):
+        high = (high << BITS) | codes[at + i]
+        low = (low << BITS) | codes[at + HALF + i]
+    return high, low, np.cumsum(sizes) - sizes
+
+
+def _keys(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """64-bit hashes of grams or contexts."""
+    return mixed(mixed(high.astype(np.uint64) + np.uint64(1)) + low.astype(np.uint64))
+
+
+def _gram_column(high: np.ndarray, low: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(high), pa.array(low)], names=["high", "low"])
+
+
+_GRAM = "struct<high: long, low: long>"
 
 
 def fold_of(doc_id: str) -> Column:
@@ -97,10 +112,10 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     """
     def spelled_out(counts: dict[str, Counter]) -> pa.RecordBatch:
         words = list(counts["n"])
-        grams, starts = spelling_grams(list(map(_spelled, words)))
-        word = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(grams))))
-        distinct, inverse = np.unique(grams, return_inverse=True)
-        columns = [pa.array(distinct)]
+        high, low, starts = spelling_grams(list(map(_spelled, words)))
+        word = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(high))))
+        distinct, first, inverse = np.unique(_keys(high, low), return_index=True, return_inverse=True)
+        columns = [_gram_column(high[first], low[first])]
         for name in ("n", "toxic", "ordinary"):
             weights = np.fromiter(map(counts[name].__getitem__, words), float, len(words))
             columns.append(pa.array(np.bincount(inverse, weights[word], len(distinct)).astype(np.int64)))
@@ -121,17 +136,19 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
         if counts["n"]:
             yield spelled_out(counts)
 
-    rows = labelled.mapInArrow(count, "gram long, n long, toxic long, ordinary long")
+    rows = labelled.mapInArrow(count, f"gram {_GRAM}, n long, toxic long, ordinary long")
     return rows.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "ordinary")])
 
 
 def _suffix(gram: str, order: int) -> Column:
-    """The gram without its first character, ``order`` characters long."""
-    return F.col(gram).bitwiseAND(F.lit((1 << BITS * order) - 1))
+    """The last ``order`` characters of the gram."""
+    high, low = (F.lit((1 << BITS * k) - 1) for k in (max(0, order - HALF), min(order, HALF)))
+    return F.struct(F.col(f"{gram}.high").bitwiseAND(high).alias("high"), F.col(f"{gram}.low").bitwiseAND(low).alias("low"))
 
 
 def _context(gram: str) -> Column:
-    return F.shiftright(gram, BITS)
+    """The gram without its last character."""
+    return F.struct(F.col(f"{gram}.high").alias("high"), F.shiftright(f"{gram}.low", BITS).alias("low"))
 
 
 def shared_backoff(counts: DataFrame) -> DataFrame:
@@ -148,7 +165,7 @@ def shared_backoff(counts: DataFrame) -> DataFrame:
         totals = level.groupBy(_context("g").alias("ctx")).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"))
         level = level.withColumn("ctx", _context("g")).join(totals, "ctx")
         if known is None:
-            level = level.withColumn("lower", F.lit(1.0 / (1 << BITS)))
+            level = level.withColumn("lower", F.lit(UNIFORM))
         else:
             below = known.select(F.col("g").alias("__g"), F.col("p").alias("lower"))
             level = level.join(below, _suffix("g", order - 1) == F.col("__g")).drop("__g")
@@ -158,7 +175,7 @@ def shared_backoff(counts: DataFrame) -> DataFrame:
 
 
 class Model(NamedTuple):
-    """Log-likelihood ratios of seen grams, and of unseen characters after seen contexts."""
+    """Log-likelihood ratios of seen grams, and of unseen characters after seen contexts, by ascending key."""
 
     grams: np.ndarray
     ratios: np.ndarray
@@ -166,20 +183,20 @@ class Model(NamedTuple):
     context_ratios: np.ndarray
 
     def word_ratios(self, words: list[str]) -> np.ndarray:
-        grams, starts = spelling_grams(words)
-        if not len(grams):
+        high, low, starts = spelling_grams(words)
+        if not len(words):
             return np.zeros(0)
 
         def found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if not len(keys):
-                return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.float32)
+                return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int32)
             at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             return keys[at] == wanted, values[at]
 
-        seen, ratio = found(self.grams, self.ratios, grams)
-        context_seen, context_ratio = found(self.contexts, self.context_ratios, grams >> BITS)
-        each = np.where(seen, ratio, np.where(context_seen, context_ratio, 0.0))
-        return np.add.reduceat(each, starts)
+        seen, ratio = found(self.grams, self.ratios, _keys(high, low))
+        context_seen, context_ratio = found(self.contexts, self.context_ratios, _keys(high, low >> BITS))
+        each = np.where(seen, ratio, np.where(context_seen, context_ratio, 0)).astype(np.int64)
+        return np.add.reduceat(each, starts) / SCALE
 
 
 def train_models(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -198,21 +215,26 @@ def train_models(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
                      F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"{c}_total")).otherwise(0.0)
         return own + left_over(c) * F.col("shared")
 
+    def ratio(toxic: Column, ordinary: Column) -> Column:
+        return F.round(F.log(toxic / ordinary) * SCALE).cast("int").alias("ratio")
+
     shared = shared_backoff(counts)
     grams = seen.join(totals, "ctx").join(shared, _suffix("gram", ORDER - 1) == F.col("suffix")).select(
-        "gram", F.log(probability("toxic") / probability("ordinary")).cast("float").alias("ratio"))
-    contexts = totals.select("ctx", F.log(left_over("toxic") / left_over("ordinary")).cast("float").alias("ratio"))
+        "gram", ratio(probability("toxic"), probability("ordinary")))
+    contexts = totals.select("ctx", ratio(left_over("toxic"), left_over("ordinary")))
     return written_table(grams), contexts
 
 
 def held_model(grams: DataFrame, contexts: DataFrame) -> Model:
     """The tables of ``train_models`` in memory."""
     def ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        key, value = (table.column(i).to_numpy() for i in range(2))
+        high, low, value = (table.column(i).to_numpy() for i in range(3))
+        key = _keys(high, low)
         order = np.argsort(key)
-        return key[order], value[order].astype(np.float32)
+        return key[order], value[order].astype(np.int32)
 
-    return Model(*ordered(grams.toArrow()), *ordered(contexts.toArrow()))
+    return Model(*ordered(grams.select("gram.high", "gram.low", "ratio").toArrow()),
+                 *ordered(contexts.select("ctx.high", "ctx.low", "ratio").toArrow()))
 
 
 FEATURES = ("mean_ratio", "window_ratio", "word_ratio", "root_ratio")
@@ -250,16 +272,17 @@ def document_features(labelled: DataFrame, grams: DataFrame, contexts: DataFrame
     labelled = labelled.select("doc_id", "text", F.col("fold").cast("long").alias("fold"), "toxic")
     if grams.count() > max_grams:
         return _features_by_joins(labelled, word_ratios(labelled, grams, contexts), held_words)
-    shared = labelled.sparkSession.sparkContext.broadcast(held_model(grams, contexts))
+    shared = labelled.sparkSession.sparkContext.broadcast(tuple(held_model(grams, contexts)))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)  # broadcast as plain arrays: workers may lack this package
         known: dict[str, float] = {}
         for batch, texts in text_chunks(batches):
             docs = [t.decode().lower().split() for t in texts]
             if len(known) > 2 * HELD_WORDS:
                 known.clear()
             new = list({w for words in docs for w in words} - known.keys())
-            known.update(zip(new, shared.value.word_ratios(list(map(_spelled, new))).tolist()))
+            known.update(zip(new, model.word_ratios(list(map(_spelled, new))).tolist()))
             yield _featured(batch, [np.fromiter(map(known.__getitem__, words), float, len(words)) for words in docs])
 
     return labelled.mapInArrow(score, _FEATURED)
@@ -287,13 +310,13 @@ def word_ratios(labelled: DataFrame, grams: DataFrame, contexts: DataFrame) -> D
 
     def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spelled, starts = spelling_grams(batch.column("word").to_pylist())
-            repeats = np.repeat(np.arange(batch.num_rows), np.diff(np.append(starts, len(spelled))))
-            yield pa.record_batch([batch.column("word").take(pa.array(repeats)), pa.array(spelled)], names=["word", "gram"])
+            high, low, starts = spelling_grams(batch.column("word").to_pylist())
+            repeats = np.repeat(np.arange(batch.num_rows), np.diff(np.append(starts, len(high))))
+            yield pa.record_batch([batch.column("word").take(pa.array(repeats)), _gram_column(high, low)], names=["word", "gram"])
 
     words = written_table(labelled.select("text").mapInArrow(count, "word string, uses long")
                           .groupBy("word").agg(F.sum("uses").alias("uses")))
-    each = words.select("word").mapInArrow(spell, "word string, gram long").withColumn("ctx", _context("gram"))
+    each = words.select("word").mapInArrow(spell, f"word string, gram {_GRAM}").withColumn("ctx", _context("gram"))
     seen = grams.select(F.col("gram").alias("__gram"), F.col("ratio").alias("seen"))
     heads = contexts.select(F.col("ctx").alias("__ctx"), F.col("ratio").alias("head"))
     # one value per distinct gram first, so that words meet the grams in one join
@@ -301,7 +324,7 @@ def word_ratios(labelled: DataFrame, grams: DataFrame, contexts: DataFrame) -> D
               .join(seen, F.col("gram") == F.col("__gram"), "left")
               .select(F.col("gram").alias("__gram"), F.coalesce("seen", "head").alias("value")))
     sums = (each.join(values, F.col("gram") == F.col("__gram"), "left").groupBy("word")
-            .agg(F.sum(F.coalesce(F.col("value").cast("double"), F.lit(0.0))).cast("float").alias("ratio")))
+            .agg((F.sum(F.coalesce("value", F.lit(0))) / SCALE).alias("ratio")))
     return written_table(words.join(sums, "word"))
 
 
@@ -323,7 +346,7 @@ def _features_by_joins(labelled: DataFrame, ratios: DataFrame, held_words: int)
             n += len(docs)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.string()), batch.column("doc_id"), batch.column("fold"), batch.column("toxic"),
-                 pa.array(known, pa.list_(pa.float32())), pa.array(gaps, pa.list_(pa.string()))],
+                 pa.array(known, pa.list_(pa.float64())), pa.array(gaps, pa.list_(pa.string()))],
                 names=["row", "doc_id", "fold", "toxic", "known", "gaps"])
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +362,7 @@ def _features_by_joins(labelled: DataFrame, ratios: DataFrame, held_words: int)
             yield _featured(batch, rows)
 
     rows = written_table(labelled.mapInArrow(
-        look_up, "row string, doc_id long, fold long, toxic int, known array<float>, gaps array<string>"))
+        look_up, "row string, doc_id long, fold long, toxic int, known array<double>, gaps array<string>"))
     wanted = rows.select(F.col("row").alias("__row"), F.explode(F.array_distinct("gaps")).alias("word"))
     found = (wanted.join(ratios.select("word", "ratio"), "word").groupBy("__row")
              .agg(F.collect_list(F.struct("word", "ratio")).alias("found")))
@@ -374,7 +397,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     """
     labelled = labelled_documents(docs, labels, max_labelled)
     features = written_table(document_features(labelled, *train_models(labelled), max_grams, held_words))
-    sample = features.where((F.col("fold") == CURVE_FOLD) & F.col("toxic").isNotNull()).select("toxic", *FEATURES).toArrow()
+    sample = features.where((F.col("fold") == CURVE_FOLD) & F.col("toxic").isNotNull()).select("toxic", *FEATURES)
+    sample = sample.orderBy(*FEATURES, "toxic").toArrow()
     y = sample.column("toxic").to_numpy().astype(float)
     if len(set(y)) == 2:
         x = np.column_stack([sample.column(c).to_numpy() for c in FEATURES])
@@ -398,5 +422,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     """
     scores = toxicity_scores(docs, labels, max_labelled)
     rejected = scores.where((F.col("predicted") == 1) & F.col("doc_id").isNotNull())
-    rejected = rejected.select(F.col("doc_id").alias("__rejected")).distinct()
-    return docs.join(rejected, F.col("doc_id") == F.col("__rejected"), "left_anti")
+    gone = unused_name(docs, "rejected")
+    rejected = rejected.select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(rejected, F.col("doc_id") == F.col(gone), "left_anti")

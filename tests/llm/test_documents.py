@@ -263,7 +263,27 @@ def test_grams_beyond_the_held_ones_are_not_left_out(spark):
         found = {r.doc_id: tuple(r)[2:] for r in toxicity.toxicity_scores(docs, labels, max_grams=10, held_words=held).collect()}
         assert found.keys() == whole.keys()
         for i, values in found.items():
-            assert values == pytest.approx(whole[i], abs=1e-3)
+            assert values == whole[i]
+
+
+def test_grams_of_all_scripts_differ():
+    letters = "abcäéкотѕ日本語中文हिन्दीعرب𝒳😀ก\x02"
+    words = sorted({a + b + c for a in letters for b in letters for c in letters})
+    high, low, starts = toxicity.spelling_grams(words)
+    assert starts.tolist() == [4 * i for i in range(len(words))] and len(high) == 4 * len(words)
+    spelled = {(f"{toxicity._START * 5}{w}{toxicity._END}")[i:i + 6] for w in words for i in range(4)}
+    assert len(set(zip(high.tolist(), low.tolist()))) == len(spelled) == len(set(toxicity._keys(high, low).tolist()))
+
+
+def test_model_reaches_workers_without_the_package(tmp_path):
+    import pickle
+    import subprocess
+    import sys
+
+    import numpy as np
+    model = toxicity.Model(np.zeros(1, np.uint64), np.zeros(1, np.int32), np.zeros(1, np.uint64), np.zeros(1, np.int32))
+    (tmp_path / "model").write_bytes(pickle.dumps(tuple(model)))
+    subprocess.run([sys.executable, "-I", "-c", "import pickle; pickle.load(open('model', 'rb'))"], cwd=tmp_path, check=True)
 
 
 def test_toxicity_without_labels_or_documents(spark):

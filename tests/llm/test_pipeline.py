@@ -9,7 +9,7 @@ from test_pairs_and_passages import leaks_of  # noqa: E402
 from test_tokens_and_packing import WHOLE, check_packing, crc  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from seriesloom.llm import toxicity  # noqa: E402
+from seriesloom.llm import packing, toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -54,3 +54,23 @@ def test_stages_of_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).collect() == []
+
+
+def test_stages_keep_columns_named_like_helpers(spark):
+    names = ("gone rejected leak digest part rank local of_part of_length shift id hash rep copy starts ends c0 c1 block window "
+             "toxic fold score predicted __gone __rejected __id __hash __part __rank sequence_id offset").split()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60)
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, docs.doc_id * 100 + i)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert rows and all(r[name] == r.doc_id * 100 + i for r in rows for i, name in enumerate(names))
+    pieces = spark.createDataFrame([(i, 1 + i % 7, i, i, i, i) for i in range(50)],
+                                   "__part long, length long, part long, rank long, offset long, __rank long")
+    placed = packing.pack_pieces(pieces, 7)
+    assert placed.columns == ["__part", "length", "part", "rank", "__rank", "sequence_id", "offset"]
+    placed = placed.collect()
+    assert sorted(r.part for r in placed) == list(range(50))
+    assert all(r["__part"] == r.part == r["rank"] == r["__rank"] and r.length == 1 + r.part % 7 for r in placed)
