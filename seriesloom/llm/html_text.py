@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -51,7 +52,10 @@ CELLS = frozenset(("td", "th"))
 # Tables nested deeper than this show their text without alignment.
 MAX_NESTED_TABLES = 20
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# One attribute, by the states of the HTML tokenizer: a name and maybe a quoted or unquoted value.
+_ONE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))?+"""
+# Comments, declarations and tags run to the end of the page if nothing ends them, and nothing is read twice: time stays linear.
+_MARKUP = re.compile(rf"<!--(?:.*?-->|.*+)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ONE})*+)(>|\Z)", re.S)
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 _SPACES = re.compile(r"[ \t\n\f\r]+")
@@ -86,14 +90,21 @@ def build_tree(source: str) -> Node:
     """The tree of a page; unclosed, misnested and unknown tags are tolerated."""
     root = Node("#root")
     stack, at = [root], 0
+    opened = Counter()  # names on the stack
+
+    def push(node: Node) -> None:
+        stack[-1].children.append(node)
+        stack.append(node)
+        opened[node.name] += 1
 
     def close_upto(index: int) -> None:
+        opened.subtract([node.name for node in stack[index:]])
         del stack[index:]
 
     def end_head() -> None:
         """Close an open head, unless what comes is inside a template, noscript or the like."""
         if stack[-1].name == "head":
-            stack.pop()
+            close_upto(len(stack) - 1)
 
     while at < len(source):
         tag = _MARKUP.search(source, at)
@@ -107,10 +118,12 @@ def build_tree(source: str) -> Node:
         at = tag.end()
         if not tag[2]:
             continue
+        if not tag[4]:
+            break  # a tag without an end is none
         name = tag[2].lower()
         if tag[1]:
             barrier = BARRIERS.get(name, frozenset())
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if stack[i].name == name:
                     close_upto(i)
                     break
@@ -119,14 +132,14 @@ def build_tree(source: str) -> Node:
             continue
         if name not in HEAD_CONTENT:
             end_head()
-        if name in ENDS_PARAGRAPH:
+        if name in ENDS_PARAGRAPH and opened["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == "p":
                     close_upto(i)
                     break
                 if stack[i].name in BLOCK or stack[i].name in CELLS:
                     break
-        if name in CLOSES:
+        if name in CLOSES and any(opened[c] for c in CLOSES[name][0]):
             closed, limit = CLOSES[name]
             outermost = None
             for i in range(len(stack) - 1, 0, -1):
@@ -137,22 +150,19 @@ def build_tree(source: str) -> Node:
             if outermost is not None:
                 close_upto(outermost)
         if name in CELLS and stack[-1].name in ("table", "thead", "tbody", "tfoot"):
-            row = Node("tr")
-            stack[-1].children.append(row)
-            stack.append(row)
+            push(Node("tr"))
         node = Node(name, tag[3])
+        if name not in VOID and name not in RAW and not (tag[3].endswith("/") and (opened["svg"] or opened["math"] or name in ("svg", "math"))):
+            push(node)
+            continue
         stack[-1].children.append(node)
-        if name not in VOID and tag[3].endswith("/") and any(n.name in ("svg", "math") for n in stack):
-            continue  # only there a tag ends itself
-        if name in RAW:
+        if name in RAW and not (tag[3].endswith("/") and (opened["svg"] or opened["math"])):
             end = re.compile(rf"</{name}[\s/>]", re.I).search(source, at)
             inner = source[at:end.start() if end else None]
             node.children.append(html.unescape(inner) if name in ("textarea", "title") else inner)
             at = source.find(">", end.start()) + 1 if end else len(source)
             if at == 0:
                 break
-        elif name not in VOID:
-            stack.append(node)
     return root
 
 

@@ -156,6 +156,28 @@ def test_head_that_ends_unsaid_and_shown_elements(source, text):
     assert html_text.visible_text(source).strip("\n") == text
 
 
+@pytest.mark.parametrize(("source", "text"), [
+    ("<p class=it's>one</p><p>it's two</p>", "one\n\nit's two"), ("<p a='>' b=\">\" c = d>x</p>y", "x\n\ny"),
+    ("<a href=x/>in</a> out", "in out"), ("<p =a b=>one</p>two", "one\n\ntwo"), ("a < b <3 c", "a < b <3 c"),
+    ("one<p title='never ended>two", "one"), ("one <!-- two", "one"), ("one <!two", "one"),
+    ("<svg><title/><text>t</text></svg>u", "tu"), ("<img alt=\"a>b\"/>c", "a>bc")])
+def test_tags_as_the_tokenizer_reads_them(source, text):
+    assert html_text.visible_text(source).strip("\n") == text
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a title=\"x", "<a x='", "<!a", "<!--", "</b", "<b></i>", "<a b= ", "</p><i>", "<i><div></b>"])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        html_text.visible_text("x" + piece * n)
+        return time.process_time() - start
+    seconds(1000)
+    few, many = (seconds(n * 10) for n in (1_000, 10_000))
+    assert many < 30 * few + 0.5
+
+
 def test_extracted_pages(spark):
     pages = [(1, "u", "<p>é", "t", "p", "d"), (1, "u", "<p>é", "t", "p", "d"), (None, None, None, None, None, None)]
     found = html_text.extract_text(spark.createDataFrame(pages, PAGES)).collect()
