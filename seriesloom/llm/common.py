@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -23,17 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_chunks(batches: Iterable[pa.RecordBatch], text: str = "text",
                 max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with their texts as UTF-8 (null: empty), each of about ``max_bytes``."""
+    """Slices of the batches with their texts as UTF-8 (null: empty), each of about ``max_bytes``.
+
+    Texts become Python objects slice by slice, so that a batch is held once.
+    """
     for batch in batches:
-        texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
-        start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= max_bytes:
-                yield batch.slice(start, i + 1 - start), texts[start:i + 1]
-                start, size = i + 1, 0
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0)
+        ends = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = done = 0
+        while start < len(ends):
+            stop = min(int(np.searchsorted(ends, done + max_bytes)) + 1, len(ends))
+            part = batch.slice(start, stop - start)
+            yield part, [t or b"" for t in part.column(text).cast(pa.binary()).to_pylist()]
+            start, done = stop, int(ends[stop - 1])
 
 
 def unused_name(df: DataFrame, name: str) -> str:

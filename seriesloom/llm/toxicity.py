@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -43,6 +44,8 @@ MAX_LABELLED = 1_000_000
 MAX_GRAMS = 8_000_000
 # Distinct words a task holds before it passes their counts on.
 HELD_WORDS = 400_000
+# Distinct words whose grams a task holds at a time.
+SPELLED_WORDS = 50_000
 
 _START, _END = "\x02", "\x03"
 
@@ -105,13 +108,10 @@ def labelled_documents(docs: DataFrame, labels: DataFrame, most: int = MAX_LABEL
     return rows.withColumn("fold", fold_of("doc_id")).join(known, F.col("doc_id") == F.col("__id"), "left").drop("__id")
 
 
-def gram_counts(labelled: DataFrame) -> DataFrame:
-    """``gram, n, toxic, ordinary``: occurrences in all documents and in those of each class.
-
-    Tasks count words, spell out each distinct word once and combine before the shuffle.
-    """
-    def spelled_out(counts: dict[str, Counter]) -> pa.RecordBatch:
-        words = list(counts["n"])
+def spelled_out(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+    """Counts of the grams of the counted words, ``SPELLED_WORDS`` words at a time."""
+    rest = iter(counts["n"])
+    while words := list(islice(rest, SPELLED_WORDS)):
         high, low, starts = spelling_grams(list(map(_spelled, words)))
         word = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(high))))
         distinct, first, inverse = np.unique(_keys(high, low), return_index=True, return_inverse=True)
@@ -119,8 +119,14 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
         for name in ("n", "toxic", "ordinary"):
             weights = np.fromiter(map(counts[name].__getitem__, words), float, len(words))
             columns.append(pa.array(np.bincount(inverse, weights[word], len(distinct)).astype(np.int64)))
-        return pa.record_batch(columns, names=["gram", "n", "toxic", "ordinary"])
+        yield pa.record_batch(columns, names=["gram", "n", "toxic", "ordinary"])
+
 
+def gram_counts(labelled: DataFrame) -> DataFrame:
+    """``gram, n, toxic, ordinary``: occurrences in all documents and in those of each class.
+
+    Tasks count words, spell out each distinct word once and combine before the shuffle.
+    """
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {name: Counter() for name in ("n", "toxic", "ordinary")}
         for batch, texts in text_chunks(batches):
@@ -131,10 +137,9 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                 if use and toxic is not None:
                     counts["toxic" if toxic else "ordinary"].update(words)
             if len(counts["n"]) > HELD_WORDS:
-                yield spelled_out(counts)
+                yield from spelled_out(counts)
                 counts = {name: Counter() for name in counts}
-        if counts["n"]:
-            yield spelled_out(counts)
+        yield from spelled_out(counts)
 
     rows = labelled.mapInArrow(count, f"gram {_GRAM}, n long, toxic long, ordinary long")
     return rows.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "ordinary")])

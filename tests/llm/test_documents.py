@@ -288,6 +288,35 @@ def test_grams_beyond_the_held_ones_are_not_left_out(spark):
             assert values == whole[i]
 
 
+def test_grams_are_spelled_out_some_words_at_a_time(monkeypatch):
+    """Counts add up to those of all words at once; the arrays of all grams are never held together."""
+    import tracemalloc
+    counts = {"n": collections.Counter({f"word{i % 977}x{i}": 1 + i % 3 for i in range(120_000)})}
+    counts["toxic"] = collections.Counter({w: 1 for w in list(counts["n"])[::5]})
+    counts["ordinary"] = collections.Counter({w: 1 for w in list(counts["n"])[::7]})
+
+    def summed(words):
+        monkeypatch.setattr(toxicity, "SPELLED_WORDS", words)
+        total = collections.defaultdict(lambda: [0, 0, 0])
+        for batch in toxicity.spelled_out(counts):
+            for gram, *values in zip(*[c.to_pylist() for c in batch.columns]):
+                total[gram["high"], gram["low"]] = [a + b for a, b in zip(total[gram["high"], gram["low"]], values)]
+        return dict(total)
+
+    assert summed(5_000) == summed(120_000)
+
+    def peak(words):
+        monkeypatch.setattr(toxicity, "SPELLED_WORDS", words)
+        tracemalloc.start()
+        for _ in toxicity.spelled_out(counts):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(5_000) < peak(120_000) / 8
+
+
 def test_grams_of_all_scripts_differ():
     letters = "abcäéкотѕ日本語中文हिन्दीعرب𝒳😀ก\x02"
     words = sorted({a + b + c for a in letters for b in letters for c in letters})

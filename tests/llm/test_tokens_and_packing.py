@@ -4,16 +4,18 @@ import math
 import random
 import sys
 import os
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 sys.path.insert(0, os.path.dirname(__file__))
 from llm_data import corpus, frame  # noqa: E402
-from seriesloom.llm import packing, token_files  # noqa: E402
+from seriesloom.llm import common, packing, token_files  # noqa: E402
 from seriesloom.llm.encoding import WordEncoder, default_tokenizer  # noqa: E402
 
 PATH = default_tokenizer()
@@ -39,6 +41,23 @@ def test_words_encode_like_whole_texts(text):
     assert ENCODER.ids(text).tolist() == whole_ids(text)
 
 
+def test_a_batch_of_texts_is_held_once():
+    """Slices as before, and no Python copy of the whole batch."""
+    texts = ["", None, *(chr(97 + i % 26) * 1_000_000 for i in range(40)), "é", None]
+    batch = pa.record_batch([pa.array(texts)], names=["text"]).slice(1)
+    tracemalloc.start()
+    found, sizes = [], []
+    for part, some in common.text_chunks([batch, batch.slice(0, 0)]):
+        assert [t or "" for t in part.column("text").to_pylist()] == [t.decode() for t in some]
+        found += map(len, some)
+        sizes.append(sum(map(len, some)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [len((t or "").encode()) for t in texts[1:]]
+    assert sizes == [2_000_000] * 20 + [2]
+    assert peak < 20_000_000
+
+
 def test_token_files_round_trip(spark):
     rows = corpus()
     rows += [(None, "no id", "en", "s", 1, 0, 1, "x"), rows[0]]
