@@ -15,8 +15,10 @@ import re
 
 import numpy as np
 
-# Words kept per worker before the memory is cleared.
-CACHED_WORDS = 1_000_000
+# Words of a generation: a worker keeps the ids of up to two, and the older one goes when the newer is full.
+CACHED_WORDS = 300_000
+# Characters of the longest word whose ids are kept.
+LONGEST_CACHED = 100
 # Fixed value: id appended to each document.
 END_ID = 1
 
@@ -30,8 +32,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in shown else 256 + rest.index(b)) for b in range(256)}
 
 
+def _is_latin(word: str) -> bool:
+    return word.isalpha() and max(word) < "ƀ" and "İ" not in word
+
+
 class WordEncoder(dict):
-    """Ids per word as little-endian bytes of ``dtype``; missing words are encoded on first use."""
+    """Ids per word as little-endian bytes of ``dtype``; missing words are encoded on first use.
+
+    The memory is bounded: words used lately are kept, long ones are encoded each time.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,39 +51,34 @@ class WordEncoder(dict):
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.letters = _byte_letters()
-        self.lower: dict[str, bytes] = {}
-        self[""] = b""
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _plain(self, word: str) -> bytes | None:
-        """Ids of a word of Latin letters; None for any other word."""
-        if not word.isalpha() or max(word) >= "ƀ" or "İ" in word:
-            return None
-        word = word.lower()
-        ids = self.lower.get(word)
-        if ids is None:
-            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.model.tokenize(spelled)], self.dtype).tobytes()
-            self.lower[word] = ids
-        return ids
+    def _encoded(self, word: str) -> bytes:
+        if not _is_latin(word):
+            parts = _LETTERS_THEN_SIGNS.fullmatch(word)
+            return self[parts[1]] + self[parts[2]] if parts and _is_latin(parts[1]) else self._whole(word)
+        lower = word.lower()
+        if lower != word:
+            return self[lower]
+        spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(spelled)], self.dtype).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self._plain(word)
+        ids = self.older.get(word)
         if ids is None:
-            parts = _LETTERS_THEN_SIGNS.fullmatch(word)
-            head = self._plain(parts[1]) if parts else None
-            ids = self._whole(word) if head is None else head + self[parts[2]]
-        self[word] = ids
+            ids = self._encoded(word)
+        if len(word) <= LONGEST_CACHED:
+            self[word] = ids
         return ids
 
     def ids(self, text: str, end_id: int | None = END_ID) -> np.ndarray:
         """Ids of ``text`` followed by ``end_id``."""
         if len(self) > CACHED_WORDS:
+            self.older = self.copy()
             self.clear()
-            self.lower.clear()
-            self[""] = b""
         found = b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
         if end_id is not None:
             found += np.array([end_id], self.dtype).tobytes()

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 sys.path.insert(0, os.path.dirname(__file__))
 from llm_data import corpus, frame  # noqa: E402
-from seriesloom.llm import common, packing, token_files  # noqa: E402
+from seriesloom.llm import common, encoding, packing, token_files  # noqa: E402
 from seriesloom.llm.encoding import WordEncoder, default_tokenizer  # noqa: E402
 
 PATH = default_tokenizer()
@@ -41,6 +41,18 @@ def test_words_encode_like_whole_texts(text):
     assert ENCODER.ids(text).tolist() == whole_ids(text)
 
 
+def test_memory_for_words_is_bounded(monkeypatch):
+    """Few words are kept, those in use among them, and long ones are not; the ids stay the same."""
+    monkeypatch.setattr(encoding, "CACHED_WORDS", 40)
+    rng, words = random.Random(5), WordEncoder(PATH)
+    for i in range(300):
+        text = " ".join(["often", "Often,", "x" * 150, "語" * 120, *(f"w{rng.randrange(10 ** 6)}" for _ in range(10))])
+        assert words.ids(text).tolist() == whole_ids(text)
+        assert len(words) + len(words.older) <= 2 * (40 + 40)
+    kept = words.keys() | words.older.keys()
+    assert {"often", "Often,"} <= kept and max(map(len, kept)) <= encoding.LONGEST_CACHED
+
+
 def test_a_batch_of_texts_is_held_once():
     """Slices as before, and no Python copy of the whole batch."""
     texts = ["", None, *(chr(97 + i % 26) * 1_000_000 for i in range(40)), "é", None]
