@@ -22,23 +22,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], text: str = "text",
-                max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with their texts as UTF-8 (null: empty), each of about ``max_bytes``.
-
-    Texts become Python objects slice by slice, so that a batch is held once.
-    """
+def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text",
+                max_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, each with about ``max_bytes`` of texts."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0)
         ends = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int64)
         start = done = 0
         while start < len(ends):
             stop = min(int(np.searchsorted(ends, done + max_bytes)) + 1, len(ends))
-            part = batch.slice(start, stop - start)
-            yield part, [t or b"" for t in part.column(text).cast(pa.binary()).to_pylist()]
+            yield batch.slice(start, stop - start)
             start, done = stop, int(ends[stop - 1])
 
 
+def text_chunks(batches: Iterable[pa.RecordBatch], text: str = "text",
+                max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with their texts as UTF-8 (null: empty), each of about ``max_bytes``.
+
+    Texts become Python objects slice by slice, so that a batch is held once.
+    """
+    for part in text_slices(batches, text, max_bytes):
+        yield part, [t or b"" for t in part.column(text).cast(pa.binary()).to_pylist()]
+
+
 def unused_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it (in any case)."""
     taken = {c.lower() for c in df.columns}

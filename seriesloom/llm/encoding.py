@@ -11,19 +11,21 @@ from __future__ import annotations
 
 import functools
 import os
-import re
+from string import punctuation
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Words of a generation: a worker keeps the ids of up to two, and the older one goes when the newer is full.
 CACHED_WORDS = 300_000
 # Characters of the longest word whose ids are kept.
 LONGEST_CACHED = 100
+# Words whose ids are looked up at a time.
+LOOKUP_WORDS = 100_000
 # Fixed value: id appended to each document.
 END_ID = 1
 
-_LETTERS_THEN_SIGNS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
-
 
 def _byte_letters() -> dict[int, str]:
     """Letters of a byte-level vocabulary: printable bytes are themselves, the rest follow from 256."""
@@ -33,7 +35,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 def _is_latin(word: str) -> bool:
-    return word.isalpha() and max(word) < "ƀ" and "İ" not in word
+    return word.isalpha() and (word.isascii() or max(word) < "ƀ" and "İ" not in word)
 
 
 class WordEncoder(dict):
@@ -57,12 +59,13 @@ class WordEncoder(dict):
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _encoded(self, word: str) -> bytes:
-        if not _is_latin(word):
-            parts = _LETTERS_THEN_SIGNS.fullmatch(word)
-            return self[parts[1]] + self[parts[2]] if parts and _is_latin(parts[1]) else self._whole(word)
-        lower = word.lower()
+        stem = word.rstrip(punctuation)
+        if not _is_latin(stem):
+            return self._whole(word)
+        lower = stem.lower()
         if lower != word:
-            return self[lower]
+            ids = self[lower]
+            return ids if len(stem) == len(word) else ids + self[word[len(stem):]]
         spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         return np.array([t.id for t in self.model.tokenize(spelled)], self.dtype).tobytes()
 
@@ -74,16 +77,40 @@ class WordEncoder(dict):
             self[word] = ids
         return ids
 
-    def ids(self, text: str, end_id: int | None = END_ID) -> np.ndarray:
-        """Ids of ``text`` followed by ``end_id``."""
+    def _make_room(self) -> None:
         if len(self) > CACHED_WORDS:
             self.older = self.copy()
             self.clear()
+
+    def ids(self, text: str, end_id: int | None = END_ID) -> np.ndarray:
+        """Ids of ``text`` followed by ``end_id``."""
+        self._make_room()
         found = b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
         if end_id is not None:
             found += np.array([end_id], self.dtype).tobytes()
         return np.frombuffer(found, self.dtype)
 
+    def all_ids(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty) in a row, ``end_id`` after each, and where those of each text end.
+
+        Arrow splits the texts and finds the distinct words, and only these become Python objects.
+        """
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        parts, sizes = [], [np.zeros(0, np.int64)]
+        for first in range(0, len(words.dictionary), LOOKUP_WORDS):
+            self._make_room()
+            found = list(map(self.__getitem__, words.dictionary.slice(first, LOOKUP_WORDS).to_numpy(zero_copy_only=False)))
+            parts.append(b"".join(found))
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize)
+        spelled, size = np.frombuffer(b"".join(parts), self.dtype), np.concatenate(sizes)
+        at = words.indices.to_numpy()
+        n = size[at]
+        before = np.append(0, np.cumsum(n))
+        ids = spelled[np.arange(before[-1]) + np.repeat((np.cumsum(size) - size)[at] - before[:-1], n)]
+        ends = before[lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()]
+        return np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+
 
 @functools.cache
 def encoder(path: str) -> WordEncoder:

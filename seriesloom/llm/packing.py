@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import text_chunks, unused_name
+from seriesloom.llm.common import text_slices, unused_name
 from seriesloom.llm.encoding import END_ID, encoder
-from seriesloom.storage import written_table
+from seriesloom.storage import small_batches, written_table
 
 CAPACITY = 4096
 
@@ -155,13 +155,13 @@ def piece_rows(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
-        for batch, texts in text_chunks(batches):
+        for batch in text_slices(batches):
+            ids, ends = words.all_ids(batch.column("text"), end_id)
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts):
-                ids = words.ids(text.decode(), end_id).astype("<u4")
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start:start + capacity]
-                    rows.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes())))
+            for doc_id, doc_ids in zip(batch.column("doc_id").to_pylist(), np.split(ids.astype("<u4"), ends[:-1])):
+                for piece, start in enumerate(range(0, len(doc_ids), capacity)):
+                    part = doc_ids[start:start + capacity]
+                    rows.append((doc_id, piece, start, len(part), zlib.crc32(part)))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
@@ -179,7 +179,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     part, rank, local, of_part, of_length, shift = (
         unused_name(pieces, c) for c in ("part", "rank", "local", "of_part", "of_length", "shift"))
-    stored = written_table(pieces.select(*names, F.spark_partition_id().alias(part)))
+    with small_batches(pieces.sparkSession):
+        stored = written_table(pieces.select(*names, F.spark_partition_id().alias(part)))
     sizes = stored.groupBy(F.col(part).alias("of_part"), F.col("length").alias("of_length")).agg(F.count(F.lit(1)).alias("n"))
     counts = {r["of_length"]: r["n"] for r in sizes.groupBy("of_length").agg(F.sum("n").alias("n")).collect()}
     slots = Planner(counts, capacity).plan()

@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Folders that each machine of a cluster has for itself.
 MACHINE_LOCAL = ("/tmp/", "/var/tmp/", "/dev/shm/")
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
 
 _local_folder: str | None = None
 _runs: list[list[str]] = []
@@ -58,17 +59,30 @@ def new_path(spark: SparkSession) -> str:
 
 
 @contextmanager
-def early_cleanup(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the actions inside go when each action ends: nothing reads them again."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside the block."""
+    before = {key: spark.conf.get(key, None) for key in values}
     try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def early_cleanup(spark: SparkSession) -> AbstractContextManager[None]:
+    """Shuffle files of the actions inside go when each action ends: nothing reads them again."""
+    return settings(spark, {_CLEANUP: "true"})
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> AbstractContextManager[None]:
+    """Actions inside read Parquet and feed Python in batches of at most ``rows`` rows, for rows with long texts."""
+    now = {key: int(spark.conf.get(key, "0")) for key in _BATCH_ROWS}
+    return settings(spark, {key: str(min(n, rows) if n > 0 else rows) for key, n in now.items()})
 
 
 def written_table(df: DataFrame) -> DataFrame:

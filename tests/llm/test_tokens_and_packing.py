@@ -17,6 +17,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 from llm_data import corpus, frame  # noqa: E402
 from seriesloom.llm import common, encoding, packing, token_files  # noqa: E402
 from seriesloom.llm.encoding import WordEncoder, default_tokenizer  # noqa: E402
+from seriesloom import storage  # noqa: E402
 
 PATH = default_tokenizer()
 WHOLE = Tokenizer.from_file(PATH)
@@ -53,6 +54,31 @@ def test_memory_for_words_is_bounded(monkeypatch):
     assert {"often", "Often,"} <= kept and max(map(len, kept)) <= encoding.LONGEST_CACHED
 
 
+def test_texts_encoded_together_look_up_each_word_once(monkeypatch):
+    """Ids as one by one, in slices of few words too; a word that is frequent in the texts costs one look-up."""
+    looked_up = []
+
+    class Counted(WordEncoder):
+        def __getitem__(self, word):
+            looked_up.append(word)
+            return super().__getitem__(word)
+
+    rng = random.Random(8)
+    texts = ["out", None, "", "\n", "Often, OFTEN often ", *(
+        " ".join(rng.choice(["often", "é-É", "ÜBER", "über###", "don't", "a_b", "x2", "½", "_", "İΣ", "<|x|>", "\tz\n", "語"])
+                 for _ in range(rng.randrange(60))) for _ in range(50)), None, ""]
+    found, ends = Counted(PATH).all_ids(pa.array(texts).slice(1))
+    assert [i.tolist() for i in np.split(found, ends)] == [whole_ids(t) for t in texts[1:]] + [[]]
+    assert looked_up.count("over") == 0 and looked_up.count("often") <= 4 and looked_up.count("don't") == 1
+    monkeypatch.setattr(encoding, "LOOKUP_WORDS", 3)
+    monkeypatch.setattr(encoding, "CACHED_WORDS", 4)
+    words = WordEncoder(PATH)
+    again, _ = words.all_ids(pa.array(texts).slice(1))
+    assert again.tolist() == found.tolist() and len(words) + len(words.older) <= 2 * (4 + 3 * 3)
+    none, ends = words.all_ids(pa.array([], pa.string()))
+    assert len(none) == len(ends) == 0
+
+
 def test_a_batch_of_texts_is_held_once():
     """Slices as before, and no Python copy of the whole batch."""
     texts = ["", None, *(chr(97 + i % 26) * 1_000_000 for i in range(40)), "é", None]
@@ -125,6 +151,20 @@ def test_packed_documents(spark):
     assert sum(r.length for r in pieces) == sum(map(len, ids.values()))
 
 
+def test_texts_reach_the_tasks_in_small_batches(spark):
+    """The stage that reads the texts gets few rows at a time, however many a task has; settings are as before then."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([1] * len(batch)), pa.array([len(batch)] * len(batch))], names=["length", "n"])
+
+    before = {key: spark.conf.get(key) for key in storage._BATCH_ROWS}
+    pieces = spark.range(0, 1300, 1, 1).mapInArrow(sizes, "length long, n long")
+    found = packing.pack_pieces(pieces, 100)
+    assert {key: spark.conf.get(key) for key in storage._BATCH_ROWS} == before
+    rows = found.collect()
+    assert len(rows) == 1300 and check_packing(rows, 100) == 13 and max(r.n for r in rows) <= 500
+
+
 def test_packing_an_empty_table(spark):
     assert packing.pack_documents(frame(spark, []), PATH).collect() == []
 
