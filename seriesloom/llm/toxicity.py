@@ -14,7 +14,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import islice, repeat
+from string import punctuation
 from typing import NamedTuple
 
 import numpy as np
@@ -46,12 +47,19 @@ MAX_GRAMS = 8_000_000
 HELD_WORDS = 400_000
 # Distinct words whose grams a task holds at a time.
 SPELLED_WORDS = 50_000
+# Bytes of text whose words are told apart at a time.
+SLICE_BYTES = 4_000_000
 
 _START, _END = "\x02", "\x03"
+# Which bytes are white space by str.split().
+_BLANK = np.array([chr(b).isspace() and b < 128 for b in range(256)])
 
 
 def _spelled(word: str) -> str:
     """A word without punctuation around it; a word of punctuation alone stays as it is."""
+    core = word.strip(punctuation)
+    if core.isalnum():
+        return core
     start, end = 0, len(word)
     while start < end and not word[start].isalnum():
         start += 1
@@ -60,22 +68,48 @@ def _spelled(word: str) -> str:
     return word[start:end] or word
 
 
+def _lowered(text: bytes) -> bytes:
+    """The text in lower case; of white space, only ASCII's is left."""
+    return text.lower() if text.isascii() else " ".join(text.decode().lower().split()).encode()
+
+
+def spelled_words(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of the texts as spelled, which of them each word in turn is, and the number of words of each text.
+
+    Words are found in the bytes of all texts and told apart by Arrow, so that only distinct ones become Python objects.
+    """
+    def told_apart(words: pa.LargeStringArray) -> tuple[list[str], np.ndarray]:
+        found = words.dictionary_encode()
+        return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+
+    lowered = list(map(_lowered, texts))
+    text_ends = np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1)
+    data = np.frombuffer(b"".join([t + b" " for t in lowered]), np.uint8)
+    blank = _BLANK[data]
+    edges = np.flatnonzero(np.diff(blank, prepend=True))
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.append(0, np.cumsum(ends - starts))
+    letters = pa.py_buffer(data[~blank])
+    written, which = told_apart(pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), letters))
+    words, spelled = told_apart(pa.array(list(map(_spelled, written)), pa.large_string()))
+    return words, spelled[which], np.diff(np.searchsorted(starts, text_ends), prepend=0)
+
+
 def spelling_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Both halves of the grams of all words in turn, and where each word's grams start.
 
     Each character and the end of the word is an event after the ``ORDER - 1`` characters before it.
     """
     pad = _START * (ORDER - 1)
-    text = "".join([f"{pad}{w}{_END}" for w in words])
+    text = pad + f"{_END}{pad}".join(words) + _END
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    halves = codes[:len(codes) - HALF + 1]
+    for i in range(1, HALF):
+        halves = (halves << BITS) | codes[i:len(codes) - HALF + 1 + i]
     # a word's grams end at its own characters, not in its pad
     at = np.arange(sizes.sum()) + np.repeat(np.arange(len(words)) * len(pad), sizes)
-    high, low = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    for i in range(HALF):
-        high = (high << BITS) | codes[at + i]
-        low = (low << BITS) | codes[at + HALF + i]
-    return high, low, np.cumsum(sizes) - sizes
+    return halves[at], halves[at + HALF], np.cumsum(sizes) - sizes
 
 
 def _keys(high: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -87,6 +121,14 @@ def _gram_column(high: np.ndarray, low: np.ndarray) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(high), pa.array(low)], names=["high", "low"])
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key is found, and which of them each key is."""
+    which = pa.array(keys).dictionary_encode().indices.to_numpy()
+    at = np.zeros(which.max(initial=-1) + 1, np.int64)
+    at[which] = np.arange(len(which))
+    return at, which
+
+
 _GRAM = "struct<high: long, low: long>"
 
 
@@ -109,16 +151,16 @@ def labelled_documents(docs: DataFrame, labels: DataFrame, most: int = MAX_LABEL
 
 
 def spelled_out(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-    """Counts of the grams of the counted words, ``SPELLED_WORDS`` words at a time."""
+    """Counts of the grams of the counted words (as spelled), ``SPELLED_WORDS`` words at a time."""
     rest = iter(counts["n"])
     while words := list(islice(rest, SPELLED_WORDS)):
-        high, low, starts = spelling_grams(list(map(_spelled, words)))
+        high, low, starts = spelling_grams(words)
         word = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(high))))
-        distinct, first, inverse = np.unique(_keys(high, low), return_index=True, return_inverse=True)
-        columns = [_gram_column(high[first], low[first])]
+        at, which = _distinct(_keys(high, low))
+        columns = [_gram_column(high[at], low[at])]
         for name in ("n", "toxic", "ordinary"):
-            weights = np.fromiter(map(counts[name].__getitem__, words), float, len(words))
-            columns.append(pa.array(np.bincount(inverse, weights[word], len(distinct)).astype(np.int64)))
+            weights = np.fromiter(map(counts[name].get, words, repeat(0)), float, len(words))
+            columns.append(pa.array(np.bincount(which, weights[word], len(at)).astype(np.int64)))
         yield pa.record_batch(columns, names=["gram", "n", "toxic", "ordinary"])
 
 
@@ -129,13 +171,13 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     """
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {name: Counter() for name in ("n", "toxic", "ordinary")}
-        for batch, texts in text_chunks(batches):
-            usable = [f is not None and f not in (HELD_OUT, CURVE_FOLD) for f in batch.column("fold").to_pylist()]
-            for text, toxic, use in zip(texts, batch.column("toxic").to_pylist(), usable):
-                words = text.decode().lower().split()
-                counts["n"].update(words)
-                if use and toxic is not None:
-                    counts["toxic" if toxic else "ordinary"].update(words)
+        for batch, texts in text_chunks(batches, max_bytes=SLICE_BYTES):
+            words, which, sizes = spelled_words(texts)
+            usable = np.array([f is not None and f not in (HELD_OUT, CURVE_FOLD) for f in batch.column("fold").to_pylist()])
+            toxic = np.array(batch.column("toxic").to_pylist(), float)  # null is nan
+            for name, docs in (("n", None), ("toxic", usable & (toxic > 0)), ("ordinary", usable & (toxic == 0))):
+                times = np.bincount(which if docs is None else which[np.repeat(docs, sizes)], minlength=len(words))
+                counts[name].update({w: n for w, n in zip(words, times.tolist()) if n})
             if len(counts["n"]) > HELD_WORDS:
                 yield from spelled_out(counts)
                 counts = {name: Counter() for name in counts}
@@ -188,20 +230,26 @@ class Model(NamedTuple):
     context_ratios: np.ndarray
 
     def word_ratios(self, words: list[str]) -> np.ndarray:
-        high, low, starts = spelling_grams(words)
         if not len(words):
             return np.zeros(0)
+        high, low, starts = spelling_grams(words)
+        keys = _keys(high, low)
+        # each distinct gram is looked up once, in ascending order: neighbours are near in memory
+        at, which = _distinct(keys)
+        order = np.argsort(keys[at])
+        at = at[order]
 
         def found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if not len(keys):
                 return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int32)
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            return keys[at] == wanted, values[at]
+            place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return keys[place] == wanted, values[place]
 
-        seen, ratio = found(self.grams, self.ratios, _keys(high, low))
-        context_seen, context_ratio = found(self.contexts, self.context_ratios, _keys(high, low >> BITS))
-        each = np.where(seen, ratio, np.where(context_seen, context_ratio, 0)).astype(np.int64)
-        return np.add.reduceat(each, starts) / SCALE
+        seen, ratio = found(self.grams, self.ratios, keys[at])
+        context_seen, context_ratio = found(self.contexts, self.context_ratios, _keys(high[at], low[at] >> BITS))
+        each = np.zeros(len(at), np.int64)
+        each[order] = np.where(seen, ratio, np.where(context_seen, context_ratio, 0))
+        return np.add.reduceat(each[which], starts) / SCALE
 
 
 def train_models(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -282,13 +330,14 @@ def document_features(labelled: DataFrame, grams: DataFrame, contexts: DataFrame
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)  # broadcast as plain arrays: workers may lack this package
         known: dict[str, float] = {}
-        for batch, texts in text_chunks(batches):
-            docs = [t.decode().lower().split() for t in texts]
+        for batch, texts in text_chunks(batches, max_bytes=SLICE_BYTES):
+            words, which, sizes = spelled_words(texts)
             if len(known) > 2 * HELD_WORDS:
                 known.clear()
-            new = list({w for words in docs for w in words} - known.keys())
-            known.update(zip(new, model.word_ratios(list(map(_spelled, new))).tolist()))
-            yield _featured(batch, [np.fromiter(map(known.__getitem__, words), float, len(words)) for words in docs])
+            new = [w for w in words if w not in known]
+            known.update(zip(new, model.word_ratios(new).tolist()))
+            ratios = np.fromiter(map(known.__getitem__, words), float, len(words))[which]
+            yield _featured(batch, np.split(ratios, np.cumsum(sizes)[:-1]))
 
     return labelled.mapInArrow(score, _FEATURED)
 

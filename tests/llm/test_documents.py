@@ -317,6 +317,58 @@ def test_grams_are_spelled_out_some_words_at_a_time(monkeypatch):
     assert peak(5_000) < peak(120_000) / 8
 
 
+ODD_TEXTS = ["Word, word. \x1fWORD\t(word)\n", None, "", " \n ", "a\x1cb\x85c\xa0d\u2003e\u3000f  g", "... «a» .« '' ¿Qué? naïve-x, ΟΔΟΣ İx",
+             "日本語、 \u200bword\u200b 𝒳! x_y _z_ ١٢ ²", "word word"]
+
+
+def plain_words(text):
+    """Words as spelled, one by one."""
+    words = []
+    for w in (text or "").lower().split():
+        inner = [i for i, c in enumerate(w) if c.isalnum()]
+        words.append(w[inner[0]:inner[-1] + 1] if inner else w)
+    return words
+
+
+def test_distinct_words_are_told_apart_as_by_reading_word_by_word():
+    for texts in (ODD_TEXTS, ODD_TEXTS[1:4], ODD_TEXTS[4:5]):
+        words, which, sizes = toxicity.spelled_words([(t or "").encode() for t in texts])
+        assert len(set(words)) == len(words)
+        assert [words[i] for i in which] == [w for t in texts for w in plain_words(t)]
+        assert sizes.tolist() == [len(plain_words(t)) for t in texts]
+
+
+def test_gram_counts_by_brute_force(spark):
+    rows = [(i, t, f, y) for i, t in enumerate(ODD_TEXTS) for f, y in ((2, 1), (2, 0), (3, None), (0, 1), (1, 0), (None, 1))]
+    expected = collections.defaultdict(lambda: [0, 0, 0])
+    for _, t, f, y in rows:
+        for w in plain_words(t):
+            padded = toxicity._START * 5 + w + toxicity._END
+            for i in range(len(w) + 1):
+                halves = [sum(ord(c) << 21 * (2 - k) for k, c in enumerate(padded[j:j + 3])) for j in (i, i + 3)]
+                for k, counted in enumerate((True, f in (2, 3) and y == 1, f in (2, 3) and y == 0)):
+                    expected[tuple(halves)][k] += counted
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fold long, toxic int")
+    found = {tuple(r.gram): [r.n, r.toxic, r.ordinary] for r in toxicity.gram_counts(docs).collect()}
+    assert found == dict(expected)
+
+
+def test_each_distinct_gram_is_looked_up_once(monkeypatch):
+    import numpy as np
+    words = [f"{a}{b}tion" for a in "abcdefgh" for b in "ijklmnop"] * 50
+    grams = {(h, l) for h, l in zip(*[x.tolist() for x in toxicity.spelling_grams(words)[:2]])}
+    keys = np.sort(toxicity._keys(*map(np.array, zip(*grams))))
+    model = toxicity.Model(keys, np.arange(len(keys), dtype=np.int32), keys[:0], np.zeros(0, np.int32))
+    high, low, starts = toxicity.spelling_grams(words)
+    places = {k: i for i, k in enumerate(keys.tolist())}
+    values = [places[k] for k in toxicity._keys(high, low).tolist()]
+    expected = np.add.reduceat(np.array(values), starts) / toxicity.SCALE
+    wanted, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest: wanted.append(len(v)) or search(a, v, *rest))
+    assert model.word_ratios(words).tolist() == expected.tolist()
+    assert sum(wanted) == len(grams) < len(high) / 10
+
+
 def test_grams_of_all_scripts_differ():
     letters = "abcäéкотѕ日本語中文हिन्दीعرب𝒳😀ก\x02"
     words = sorted({a + b + c for a in letters for b in letters for c in letters})
