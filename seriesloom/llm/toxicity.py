@@ -73,15 +73,22 @@ def _lowered(text: bytes) -> bytes:
     return text.lower() if text.isascii() else " ".join(text.decode().lower().split()).encode()
 
 
-def spelled_words(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words of the texts as spelled, which of them each word in turn is, and the number of words of each text.
+def told_apart(words: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The distinct words, and which of them each word is."""
+    found = words.dictionary_encode()
+    return found.dictionary, found.indices.to_numpy()
+
+
+def as_spelled(words: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The distinct words as spelled, and which of them each word is."""
+    return told_apart(pa.array(list(map(_spelled, words.to_numpy(zero_copy_only=False))), pa.large_string()))
+
+
+def written_words(texts: list[bytes]) -> tuple[pa.LargeStringArray, np.ndarray, np.ndarray]:
+    """Distinct words of the texts, which of them each word in turn is, and the number of words of each text.
 
     Words are found in the bytes of all texts and told apart by Arrow, so that only distinct ones become Python objects.
     """
-    def told_apart(words: pa.LargeStringArray) -> tuple[list[str], np.ndarray]:
-        found = words.dictionary_encode()
-        return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
-
     lowered = list(map(_lowered, texts))
     text_ends = np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1)
     data = np.frombuffer(b"".join([t + b" " for t in lowered]), np.uint8)
@@ -90,9 +97,15 @@ def spelled_words(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray
     starts, ends = edges[::2], edges[1::2]
     offsets = np.append(0, np.cumsum(ends - starts))
     letters = pa.py_buffer(data[~blank])
-    written, which = told_apart(pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), letters))
-    words, spelled = told_apart(pa.array(list(map(_spelled, written)), pa.large_string()))
-    return words, spelled[which], np.diff(np.searchsorted(starts, text_ends), prepend=0)
+    words, which = told_apart(pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), letters))
+    return words, which, np.diff(np.searchsorted(starts, text_ends), prepend=0)
+
+
+def spelled_words(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """``written_words`` as spelled."""
+    written, which, sizes = written_words(texts)
+    words, spelled = as_spelled(written)
+    return words.to_numpy(zero_copy_only=False).tolist(), spelled[which], sizes
 
 
 def spelling_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,19 +182,36 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
     Tasks count words, spell out each distinct word once and combine before the shuffle.
     """
+    def summed(which: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+        return np.column_stack([np.bincount(which, c, n) for c in times.T]).astype(np.int64)
+
+    def merged(parts: list[tuple[pa.LargeStringArray, np.ndarray]]) -> tuple[pa.LargeStringArray, np.ndarray]:
+        words, which = told_apart(pa.concat_arrays([w for w, _ in parts]))
+        return words, summed(which, np.concatenate([t for _, t in parts]), len(words))
+
+    def grams(written: pa.LargeStringArray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+        words, which = as_spelled(written)
+        words, times = words.to_numpy(zero_copy_only=False), summed(which, times, len(words))
+        counts = {"n": Counter(dict(zip(words, times.sum(1).tolist())))}
+        for name, column in (("toxic", times[:, 1]), ("ordinary", times[:, 2])):
+            counts[name] = Counter(dict(zip(words[column > 0], column[column > 0].tolist())))
+        return spelled_out(counts)
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {name: Counter() for name in ("n", "toxic", "ordinary")}
+        # distinct words, and how often each is in texts that are not learned from, in toxic and in ordinary ones
+        parts: list[tuple[pa.LargeStringArray, np.ndarray]] = []
         for batch, texts in text_chunks(batches, max_bytes=SLICE_BYTES):
-            words, which, sizes = spelled_words(texts)
-            usable = np.array([f is not None and f not in (HELD_OUT, CURVE_FOLD) for f in batch.column("fold").to_pylist()])
-            toxic = np.array(batch.column("toxic").to_pylist(), float)  # null is nan
-            for name, docs in (("n", None), ("toxic", usable & (toxic > 0)), ("ordinary", usable & (toxic == 0))):
-                times = np.bincount(which if docs is None else which[np.repeat(docs, sizes)], minlength=len(words))
-                counts[name].update({w: n for w, n in zip(words, times.tolist()) if n})
-            if len(counts["n"]) > HELD_WORDS:
-                yield from spelled_out(counts)
-                counts = {name: Counter() for name in counts}
-        yield from spelled_out(counts)
+            words, which, sizes = written_words(texts)
+            kinds = [0 if fold in (None, HELD_OUT, CURVE_FOLD) or toxic is None else 1 if toxic else 2
+                     for fold, toxic in zip(batch.column("fold").to_pylist(), batch.column("toxic").to_pylist())]
+            times = np.bincount(which * 3 + np.repeat(np.array(kinds), sizes), minlength=3 * len(words))
+            parts.append((words, times.reshape(-1, 3)))
+            if sum(len(w) for w, _ in parts) > 2 * HELD_WORDS:
+                parts = [merged(parts)]
+                if len(parts[0][0]) > HELD_WORDS:
+                    yield from grams(*parts.pop())
+        if parts:
+            yield from grams(*merged(parts))
 
     rows = labelled.mapInArrow(count, f"gram {_GRAM}, n long, toxic long, ordinary long")
     return rows.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "ordinary")])
