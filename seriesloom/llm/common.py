@@ -33,6 +33,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: str = "text",
             stop = min(int(np.searchsorted(ends, done + max_bytes)) + 1, len(ends))
             yield batch.slice(start, stop - start)
             start, done = stop, int(ends[stop - 1])
+    pa.default_memory_pool().release_unused()  # the worker lives on, idle or for other operators' tasks
 
 
 def text_chunks(batches: Iterable[pa.RecordBatch], text: str = "text",
@@ -71,7 +72,7 @@ def by_partition_order(df: DataFrame, *keys: str) -> DataFrame:
 class WordHashes(dict):
     """64-bit hash per word; unseen words are hashed on first use, the memory is bounded."""
 
-    def __init__(self, seed: int = 0, normal: Callable[[bytes], bytes] | None = None, most: int = 1_000_000):
+    def __init__(self, seed: int = 0, normal: Callable[[bytes], bytes] | None = None, most: int = 300_000):
         super().__init__()
         self.seed, self.normal, self.most = seed, normal, most
 

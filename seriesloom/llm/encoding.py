@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import os
+import sys
 from string import punctuation
 
 import numpy as np
@@ -118,6 +119,13 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def release_encoders() -> None:
+    """Word ids that earlier tasks left in this Python worker go: other operators' tasks need the memory."""
+    module = sys.modules.get("seriesloom.llm.encoding")  # workers may lack this package, and then keep nothing
+    if module is not None:
+        module.encoder.cache_clear()
+
+
 def default_tokenizer() -> str:
     """Path of the tokenizer file that the registered queries use."""
     import public_tokenizers

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import mixed, text_chunks, unused_name
+from seriesloom.llm.encoding import release_encoders
 from seriesloom.storage import written_table
 
 ORDER = 6
@@ -45,8 +46,10 @@ MAX_LABELLED = 1_000_000
 MAX_GRAMS = 8_000_000
 # Distinct words a task holds before it passes their counts on.
 HELD_WORDS = 400_000
+# Distinct words whose counts or ratios a task keeps from slice to slice.
+KEPT_WORDS = 200_000
 # Distinct words whose grams a task holds at a time.
-SPELLED_WORDS = 50_000
+SPELLED_WORDS = 20_000
 # Bytes of text whose words are told apart at a time.
 SLICE_BYTES = 4_000_000
 
@@ -199,6 +202,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # distinct words, and how often each is in texts that are not learned from, in toxic and in ordinary ones
+        release_encoders()
         parts: list[tuple[pa.LargeStringArray, np.ndarray]] = []
         for batch, texts in text_chunks(batches, max_bytes=SLICE_BYTES):
             words, which, sizes = written_words(texts)
@@ -206,9 +210,9 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                      for fold, toxic in zip(batch.column("fold").to_pylist(), batch.column("toxic").to_pylist())]
             times = np.bincount(which * 3 + np.repeat(np.array(kinds), sizes), minlength=3 * len(words))
             parts.append((words, times.reshape(-1, 3)))
-            if sum(len(w) for w, _ in parts) > 2 * HELD_WORDS:
+            if sum(len(w) for w, _ in parts) > 2 * KEPT_WORDS:
                 parts = [merged(parts)]
-                if len(parts[0][0]) > HELD_WORDS:
+                if len(parts[0][0]) > KEPT_WORDS:
                     yield from grams(*parts.pop())
         if parts:
             yield from grams(*merged(parts))
@@ -362,10 +366,12 @@ def document_features(labelled: DataFrame, grams: DataFrame, contexts: DataFrame
         known: dict[str, float] = {}
         for batch, texts in text_chunks(batches, max_bytes=SLICE_BYTES):
             words, which, sizes = spelled_words(texts)
-            if len(known) > 2 * HELD_WORDS:
+            if len(known) > KEPT_WORDS:
                 known.clear()
             new = [w for w in words if w not in known]
-            known.update(zip(new, model.word_ratios(new).tolist()))
+            for first in range(0, len(new), SPELLED_WORDS):
+                some = new[first:first + SPELLED_WORDS]
+                known.update(zip(some, model.word_ratios(some).tolist()))
             ratios = np.fromiter(map(known.__getitem__, words), float, len(words))[which]
             yield _featured(batch, np.split(ratios, np.cumsum(sizes)[:-1]))
 

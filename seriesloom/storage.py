@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 MACHINE_LOCAL = ("/tmp/", "/var/tmp/", "/dev/shm/")
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _local_folder: str | None = None
 _runs: list[list[str]] = []
@@ -85,6 +86,16 @@ def small_batches(spark: SparkSession, rows: int = 500) -> AbstractContextManage
     return settings(spark, {key: str(min(n, rows) if n > 0 else rows) for key, n in now.items()})
 
 
+def bounded_batches(spark: SparkSession, rows: int = 500, max_bytes: int = 2_000_000) -> AbstractContextManager[None]:
+    """Actions inside read Parquet in batches of at most ``rows`` rows and feed Python in batches of about ``max_bytes``.
+
+    Narrow rows go to Python as many at a time as ever. A limit of bytes that the session has stays.
+    """
+    key = _BATCH_ROWS[1]
+    return settings(spark, {key: str(min(int(spark.conf.get(key, str(rows))), rows)),
+                            _BATCH_BYTES: spark.conf.get(_BATCH_BYTES, None) or str(max_bytes)})
+
+
 def written_table(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return the stored table.
 

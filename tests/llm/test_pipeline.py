@@ -3,13 +3,17 @@
 import os
 import sys
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 sys.path.insert(0, os.path.dirname(__file__))
 from llm_data import components, kept_words  # noqa: E402
 from test_pairs_and_passages import leaks_of  # noqa: E402
 from test_tokens_and_packing import WHOLE, check_packing, crc  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from seriesloom.llm import packing, toxicity  # noqa: E402
+from seriesloom import storage  # noqa: E402
+from seriesloom.llm import decontamination, encoding, ngram_join, packing, substrings, toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -74,3 +78,47 @@ def test_stages_keep_columns_named_like_helpers(spark):
     placed = placed.collect()
     assert sorted(r.part for r in placed) == list(range(50))
     assert all(r["__part"] == r.part == r["rank"] == r["__rank"] and r.length == 1 + r.part % 7 for r in placed)
+
+
+def test_stages_feed_their_tasks_bounded_batches(spark, monkeypatch):
+    """Long texts go to Python about 2 MB at a time; narrow rows, and settings afterwards, are as ever."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([len(batch)] * len(batch), pa.int64())], names=["n"])
+
+    def measured(docs, *others):
+        assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 500
+        found = docs.mapInArrow(sizes, "n long")
+        return found if lazy else storage.written_table(found)
+
+    for module, name in ((toxicity, "without_toxic"), (ngram_join, "one_per_group"), (substrings, "without_repeats"),
+                         (decontamination, "decontaminated")):
+        monkeypatch.setattr(module, name, measured)
+    keys = (*storage._BATCH_ROWS, storage._BATCH_BYTES)
+    before = [spark.conf.get(key, None) for key in keys]
+    ids = spark.range(0, 3000, 1, 1)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        lazy = name == "substring dedup"  # whose last step passes the texts through Python
+        rows = [r.n for r in stage(spark, ids.withColumn("text", F.repeat(F.lit("word "), 2000)), SF).collect()]
+        assert len(rows) == 3000 and max(rows) * 10_000 <= 2_100_000
+        assert {r.n for r in stage(spark, ids, SF).collect()} == {3000}
+    assert [spark.conf.get(key, None) for key in keys] == before
+
+
+def test_word_ids_of_packing_go_when_toxicity_counts():
+    encoder = encoding.encoder(encoding.default_tokenizer())
+    assert len(encoder.ids("some words")) > 2 and encoding.encoder(encoding.default_tokenizer()) is encoder
+
+    class Tasks:
+        def mapInArrow(self, count, schema):
+            list(count([]))
+            return self
+
+        def groupBy(self, *_):
+            return self
+
+        def agg(self, *_):
+            return self
+
+    toxicity.gram_counts(Tasks())
+    assert encoding.encoder(encoding.default_tokenizer()) is not encoder
